@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup
 
 QUERIES = {
+    "op1_byte_bpe": byte_bpe.query,
     "op4_exact_dedup": exact_dedup.query,
 }
 
