@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, exact_dedup, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_token_counts": token_counts.query,
 }
 
 ORACLE = {
