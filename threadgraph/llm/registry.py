@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, media, quality, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, preference, quality, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_media_flac": media.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_token_counts": token_counts.query,
+    "op6_mixing": mixing.query,
     "op7_quality": quality.query,
+    "op9_preference": preference.query,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op9_preference": preference.SQL,
 }
