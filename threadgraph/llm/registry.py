@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, media, mixing, preference, quality, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, pii, preference, quality, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
     "op7_quality": quality.query,
+    "op8_pii": pii.query,
     "op9_preference": preference.query,
 }
 
