@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, media, mixing, pii, preference, quality, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, pii, preference, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_pii": pii.query,
     "op9_preference": preference.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 
 ORACLE = {
