@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
+from .hashing import BASE, BYTES, mixed, span_hashes
 
 LENGTH = 100
 GRAM = 37  # so that a window has 64 k-grams
@@ -41,44 +42,22 @@ SHARD_BYTES = 2_000_000  # bytes of runs that one suffix array covers
 GROUP_BYTES = 6_000_000  # bytes of one anchor's runs beyond which its windows are settled one by one
 FIRST_DOC = -(1 << 63)  # stands for a null doc_id
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_rng = np.random.default_rng(20)
-_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = int(_rng.integers(1 << 40, 1 << 62)) * 2 + 1
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0, base**1, ... modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MULTIPLIER
-    return x ^ (x >> np.uint64(29))
-
-
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place on, by doubling: 1, 2, 4, ... bytes."""
-    values = _BYTES[data]
+    values = BYTES[data]
     levels = {1: values}
     size = 1
     while 2 * size <= GRAM:
         one = levels[size]
-        levels[2 * size] = one[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + one[size:]
+        levels[2 * size] = one[:-size] * np.uint64(pow(BASE, size, 1 << 64)) + one[size:]
         size *= 2
     total, done = levels[size], size
     while done < GRAM:
         size = max(s for s in levels if s <= GRAM - done)
         n = len(data) - done - size + 1
-        total = total[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + levels[size][done : done + n]
+        total = total[:n] * np.uint64(pow(BASE, size, 1 << 64)) + levels[size][done : done + n]
         done += size
-    return _mixed(total)
+    return mixed(total)
 
 
 def _anchors(hashes: np.ndarray) -> np.ndarray:
@@ -117,12 +96,7 @@ def runs(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, total))
     first, owner = window[head], stretch[head]
-    n = len(data)
-    forward = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * _power_table(_BASE, n), out=forward[1:])
-    back = _power_table(pow(_BASE, -1, 1 << 64), n + 1)
-    ends = first + count - 1 + LENGTH
-    content = _mixed((forward[ends] - forward[first]) * back[first])
+    content = span_hashes(data, first, first + count - 1 + LENGTH)
     return owner, first - starts[owner], count, anchor[head] - first, hashes[anchor[head]].view(np.int64), content.view(np.int64)
 
 
@@ -171,7 +145,7 @@ def _scan(batches):
             yield out(h[head], c[head], at[head], n[head], doc[head], lo[head], pa.nulls(int(head.sum()), pa.int64()))
         d, s, e = merged(doc[again], lo[again], lo[again] + n[again] - 1 + LENGTH)
         if len(d):
-            spread = _mixed(d.view(np.uint64) * _MULTIPLIER + s.view(np.uint64)).view(np.int64)  # deals intervals out evenly
+            spread = mixed(d.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)).view(np.int64)  # deals intervals out evenly
             zero = np.zeros(len(d), np.int64)
             yield out(spread, zero, zero, zero, d, s, e)
 
