@@ -1,0 +1,42 @@
+"""Connected components of an edge table, on DataFrames: alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+MAX_ROUNDS = 100
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (its least node) of every node with an edge; ``edges`` has two long columns, u and v.
+
+    Each node is linked to the least of its neighbourhood, in turn among its larger and its smaller neighbours, until nothing
+    changes; every round shuffles the edges, of which there are never more than at the start, and is written to the shared
+    folder. Minima are combined before the shuffle, so a node with very many neighbours is no hot key there.
+    """
+    now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "components")
+    before = None
+    for _ in range(MAX_ROUNDS):
+        mark = _checksum(now)
+        if mark == before:
+            break
+        before = mark
+        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        tied = large.join(least, "u")
+        small = tied.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = materialise(small, "components")
+    else:
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

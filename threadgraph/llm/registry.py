@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, media, mixing, pii, preference, quality, suffix_dedup, token_counts
+from . import byte_bpe, exact_dedup, media, mixing, ngram_join, pii, preference, quality, suffix_dedup, token_counts
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_media_flac": media.query,
+    "op3_ngram_join": ngram_join.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_token_counts": token_counts.query,
     "op6_mixing": mixing.query,
