@@ -249,6 +249,25 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return _run(docs, vocabulary, pattern, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", fields)
 
 
+def tokens(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids (array of int), decoded_sha256: the ids of each text, and what they decode to."""
+
+    def fields(own, ids, texts):
+        import numpy as np
+        import pyarrow as pa
+
+        encoded = own.encode(texts)
+        arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoded]
+        return {
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_tokens": pa.array([len(x) for x in arrays], pa.int64()),
+            "ids": pa.array(arrays, pa.list_(pa.int32())),
+            "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(encoded)], pa.string()),
+        }
+
+    return _run(docs, vocabulary, pattern, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", fields)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
