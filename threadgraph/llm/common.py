@@ -1,14 +1,16 @@
-"""Helpers shared by the corpus operators: inputs, shared storage and text normalisation."""
+"""Helpers shared by the corpus operators: inputs and text normalisation; shared storage is the library's."""
 
 from __future__ import annotations
 
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_dir, shared_path
+
+__all__ = ["WORD_PATTERN", "lower_ascii", "materialise", "shared_dir", "shared_path", "table", "text_or_empty"]
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
@@ -16,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='threadgraph-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a table in the shared folder, which survives the loss of executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)
