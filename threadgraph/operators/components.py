@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     for _ in range(MAX_ROUNDS):
         mark = _checksum(now)
-        if mark == before:
+        if mark == before or not mark[0]:
             break
         before = mark
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
