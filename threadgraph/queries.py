@@ -229,28 +229,28 @@ def node_top(s, d, name, k, strict, descending=True, base=structural):
 
 
 def merge_query(s, d, kind, base, threshold=0.5):
-    return merge.merged_groups(merge.merge(base(s, d), threshold, kind).nodes)
+    return merge.merged_groups(merge.merge(pipeline.written(base(s, d)), threshold, kind).nodes)
 
 
 def merge_ids(s, d):
-    return merge.merge(structural(s, d), 0.5, "REPLY_TO").nodes.select("c_idx", "s_idx", "MERGE_ID")
+    return merge.merge(pipeline.written(structural(s, d)), 0.5, "REPLY_TO").nodes.select("c_idx", "s_idx", "MERGE_ID")
 
 
 def merge_multi(s, d, conj_or):
     limits = {"REPLY_TO": 0.5, "SAME_COMMENT": 0.5, "TEMPORAL": -0.5} if conj_or else {"SAME_ARTICLE": 0.5, "REPLY_TO": 0.5}
-    return merge.merged_groups(merge.merge_multi(structural(s, d), limits, False, conj_or).nodes)
+    return merge.merged_groups(merge.merge_multi(pipeline.written(structural(s, d)), limits, False, conj_or).nodes)
 
 
 def cluster_query(s, d, kind, base, algorithm):
-    return community.cluster(base(s, d), kind, algorithm).nodes.select("c_idx", "s_idx", "CLUSTER_ID")
+    return community.cluster(pipeline.written(base(s, d)), kind, algorithm).nodes.select("c_idx", "s_idx", "CLUSTER_ID")
 
 
 def cluster_multi(s, d):
-    return community.cluster_multi(structural(s, d), ["REPLY_TO", "SAME_COMMENT"]).nodes.select("c_idx", "s_idx", "CLUSTER_ID")
+    return community.cluster_multi(pipeline.written(structural(s, d)), ["REPLY_TO", "SAME_COMMENT"]).nodes.select("c_idx", "s_idx", "CLUSTER_ID")
 
 
 def add_single_edges(s, d, base=0.1):
-    graph = rank.recency(chains(s, d))
+    graph = pipeline.written(rank.recency(chains(s, d)))
     only = filters.edge_threshold(graph, 0.5, "SAME_COMMENT").with_(nodes=graph.nodes)
     few = only.with_(edges=only.edges.where("src_c % 2 = 0"))
     return nearest.add_single_edges(few, base).edges.select(*ENDS, F.round("SAME_COMMENT", 6).alias("same_comment"), F.round("TEMPORAL", 6).alias("temporal"))
