@@ -258,3 +258,18 @@ def test_build_cache_and_document(spark, comments, tmp_path):
     assert cache.get(plain_comments, [1, 2], none, ignore_cache=True).edges.count() == 0
     assert cache.get(plain_comments, [1, 2], none, override_cache=True).edges.count() == 0
     assert pipeline.cache_key([3, 1]) == "[1, 3]"
+
+
+def test_sweep(spark, comments, tmp_path):
+    from threadgraph.plans import sweeps
+
+    every = sweeps.sweeps()
+    assert len(every) == 52 and len({label for label, _ in every}) == 49
+    for _, own in every:
+        on = [name for name, s in config.resolve(own).items() if s is not None]
+        assert len(on) in (2, 3)
+    picked = [(k, every[k]) for k in (0, 19, 25, 31, 46)]
+    out = pipeline.sweep(comments, {f"{k}:{label}": own for k, (label, own) in picked})
+    pipeline.write_sweep(out, str(tmp_path / "sweep"))
+    back = spark.read.csv(str(tmp_path / "sweep"), header=True).collect()
+    assert len(back) == 5 and all(int(r["remaining edges"]) + int(r["removed edges"]) > 0 for r in back)

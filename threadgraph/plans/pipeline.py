@@ -130,3 +130,9 @@ def sweep(comments: DataFrame, configs: dict[str, dict], vectors: DataFrame | No
         before, after = graph.edges.count(), apply_steps(graph, settings).edges.count()
         rows.append((k, label, after, before - after, time.perf_counter() - began))
     return comments.sparkSession.createDataFrame(rows, "config_id long, description string, remaining_edges long, removed_edges long, seconds double")
+
+
+def write_sweep(result: DataFrame, path: str) -> None:
+    """A sweep as CSV, under the benchmark's column names; it has a row for each configuration, and so one file."""
+    names = {"config_id": "configuration ID", "description": "Description", "remaining_edges": "remaining edges", "removed_edges": "removed edges", "seconds": "seconds"}
+    result.select(*[F.col(c).alias(n) for c, n in names.items()]).coalesce(1).write.mode("overwrite").csv(path, header=True)

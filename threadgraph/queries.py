@@ -11,7 +11,7 @@ from .functions import text as tx
 from .functions.stem import porter_stem
 from .functions.vectors import cosine
 from .operators import community, edges, filters, merge, nearest, rank, search, view
-from .plans import pipeline
+from .plans import pipeline, sweeps
 from .schema import EDGE_WEIGHTS, ENDS, Graph
 from .sources import comments as src
 from .sources import ingest, store
@@ -373,15 +373,12 @@ def chronological(s, d):
     return view.chronological(comments(s, d)).select("id", F.unix_micros("ts").alias("micros"))
 
 
-SWEEP = {
-    "SC_default": {"TemporalComparator": {"active": False}, "PageRanker": {"edge_type": "SAME_COMMENT"}, "PageRankBottomFilter": {"active": False}},
-    "SC_SB_k50": {"TemporalComparator": {"active": False}, "PageRanker": {"active": False}, "PageRankBottomFilter": {"active": False}, "SizeBottomFilter": {"top_k": 50}},
-    "SC_BSC_k1": {"TemporalComparator": {"active": False}, "PageRanker": {"active": False}, "PageRankBottomFilter": {"active": False}, "BottomSameCommentFilter": {"top_edges": 1}},
-}
+SWEEP = ("SC_CD", "SC_SB", "SC_VB_strict", "RT_merge_01")
 
 
 def config_sweep(s, d):
-    return pipeline.sweep(comments(s, d), SWEEP)
+    own = dict(sweeps.sweeps())
+    return pipeline.sweep(comments(s, d), {label: own[label] for label in SWEEP}).drop("seconds")
 
 
 def queries() -> dict:
