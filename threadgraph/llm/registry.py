@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_ngram_join": ngram_join.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_preference": preference.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }

@@ -353,3 +353,20 @@ def _cut(docs: DataFrame, schema: str, made) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM t)),
+d AS MATERIALIZED (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+runs AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS new FROM d),
+spans AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM runs) GROUP BY doc_id, k),
+gaps AS (SELECT s.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY s.doc_id ORDER BY lo), 0) AS before FROM spans s),
+cut AS (
+  SELECT t.doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed,
+    string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (lo - before))::BIGINT), '' ORDER BY lo) || substr(max(h), (2 * max(hi) + 1)::BIGINT) AS kept
+  FROM gaps JOIN t USING (doc_id) GROUP BY t.doc_id
+)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)
+"""
