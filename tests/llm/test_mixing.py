@@ -55,6 +55,8 @@ def test_odd_and_empty(spark, docs_of, odd_texts, monkeypatch):
     renamed = docs.withColumn("probability", docs.doc_id).withColumn("weight", docs.lang)
     kept = mixing.sampled(renamed, budget=1.0)
     assert kept.columns == renamed.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in mixing.mix(docs, budget=1.0).collect() if r.sampled)
+    assert [tuple(r) for r in kept.select("probability", "weight").collect()] == [tuple(r) for r in kept.select("doc_id", "lang").collect()]
     monkeypatch.setitem(mixing.MAX_NAMES, "source", 1)
     out = mixing.mix(docs, budget=0.5).collect()
     assert len(out) == len(odd_texts) and all(r.probability is not None for r in out)

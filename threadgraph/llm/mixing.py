@@ -115,11 +115,10 @@ def _pooled(col: Column, names: set) -> Column:
     return F.when(F.array_contains(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>"), col), col).otherwise(POOL)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: float = 0.5, budget: float = 0.6, seed: int = 17) -> DataFrame:
-    """doc_id, n_tokens, source, lang, topic, weight, probability, sampled: one row per document."""
+def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: float = 0.5, budget: float = 0.6) -> tuple[DataFrame, dict[str, set]]:
+    """(_source, _lang, _topic, weight, probability) of each cell, and the names that each axis tells apart."""
     targets = {"lang": LANG_TARGETS} if targets is None else targets
-    rows = described(docs)
-    cells, names = _cells(materialise(rows.groupBy(*AXES).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells"))
+    cells, names = _cells(materialise(described(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells"))
     wanted = []
     for k, axis in enumerate(AXES):
         seen: dict = defaultdict(float)
@@ -138,21 +137,36 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: fl
     chance = probabilities(cells, share, budget)
     total = sum(cells.values())
     known = [[*c, share.get(c, 0.0) * total / cells[c] if cells[c] else 1.0, chance[c]] for c in sorted(cells)]
-    spark = docs.sparkSession
     schema = "array<struct<_source:string,_lang:string,_topic:string,weight:double,probability:double>>"
     literal = json.dumps([dict(zip(("_source", "_lang", "_topic", "weight", "probability"), c, strict=True)) for c in known])
-    lookup = spark.range(1).select(F.inline(F.from_json(F.lit(literal), schema)))
-    keys = [_pooled(F.col(a), names[a]) == F.col(f"_{a}") for a in AXES]
-    # Uniform in [0, 1): the leading 53 bits of a hash.
+    return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(literal), schema))), names
+
+
+def _looked_up(rows: DataFrame, lookup: DataFrame, names: dict[str, set], columns: dict[str, str]) -> DataFrame:
+    keys = [_pooled(F.col(columns[a]), names[a]) == F.col(f"_{a}") for a in AXES]
+    return rows.join(F.broadcast(lookup), keys[0] & keys[1] & keys[2], "left")  # cells are bounded by MAX_NAMES
+
+
+def _drawn(seed: int) -> Column:
+    """Whether a row is in the sample: 53 bits of a hash, as a number from 0 to 1, against its probability."""
     uniform = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    joined = rows.join(F.broadcast(lookup), keys[0] & keys[1] & keys[2], "left")  # cells are bounded by MAX_NAMES
-    return joined.select("doc_id", "n_tokens", "source", "lang", "topic", "weight", "probability", (uniform < F.col("probability")).alias("sampled"))
+    return uniform < F.col("probability")
 
 
-def sampled(docs: DataFrame, **options) -> DataFrame:
-    """The documents that were sampled, with all their columns."""
-    chosen = mix(docs, **options).where("sampled").select(F.col("doc_id").alias("_sampled_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_sampled_id")), "left_semi")
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
+    """doc_id, n_tokens, source, lang, topic, weight, probability, sampled: one row per document."""
+    lookup, names = calibrated(docs, targets, **options)
+    joined = _looked_up(described(docs), lookup, names, {a: a for a in AXES})
+    return joined.select("doc_id", "n_tokens", "source", "lang", "topic", "weight", "probability", _drawn(seed).alias("sampled"))
+
+
+def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
+    """The documents that were sampled, with all their columns; nothing is shuffled for it but the sums by cell."""
+    lookup, names = calibrated(docs, targets, **options)
+    own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic(text_or_empty())}
+    rows = docs.withColumns({f"__mix_{a}": c for a, c in own.items()}).withColumnsRenamed({n: f"__kept_{n}" for n in ("weight", "probability") if n in docs.columns})
+    joined = _looked_up(rows, lookup, names, {a: f"__mix_{a}" for a in AXES}).where(_drawn(seed))
+    return joined.select(*[F.col(f"__kept_{n}").alias(n) if n in ("weight", "probability") else F.col(n) for n in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
