@@ -28,7 +28,7 @@ from .common import table, text_or_empty
 ROUNDS = 24  # steps of one recursion
 SLICE_CHARS = 1_500_000  # text that a slice holds, but for a longer document, which is a slice of its own
 FRESH_BYTES = 1_000_000  # bytes of new words that one seed holds
-MEMO_WORDS = 350_000  # words in each of the two generations that a worker remembers
+MEMO_WORDS = 250_000  # words in each of the two generations that a worker remembers
 DECODE_TOKENS = 400_000  # rows of one decoding query
 
 CONTRACT = f"""
