@@ -99,6 +99,30 @@ def test_large_groups_in_blocks(docs_of, texts, monkeypatch):
     assert got == brute(texts)
 
 
+def test_copies_as_hubs_of_their_batch(spark, docs_of, texts):
+    rng = random.Random(11)
+    base = words(rng, 120, 900)
+    near = base + " a near copy"
+
+    def components(rows, parts, size):
+        sets = nj.sets_of(docs_of(rows))
+        own = {r.doc: r for r in sets.collect()}
+        dealt = spark.sparkContext.parallelize([[own[k] for k in part] for part in parts], len(parts)).flatMap(lambda x: x)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = {r.doc: r.component for r in nj.components_of(spark.createDataFrame(dealt, sets.schema)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {k: found.get(k, k) for k in own} == {k: c for k, (_, c) in brute(rows).items()}
+
+    components([base, base, near], [[0], [1, 2]], 2)  # the copy is the hub of the near copy
+    components([base, base, near], [[0], [1], [2]], 1)
+    components([near, base, base, near + " too"], [[1], [2, 3], [0]], 2)
+    mixed = list(range(len(texts)))
+    rng.shuffle(mixed)
+    components(texts, [mixed[k::9] for k in range(9)], 4)
+
+
 def test_one_of_each_nulls_repeats_and_empty(spark, docs_of):
     rng = random.Random(2)
     a, b = words(rng, 50, 900), words(rng, 50, 900)

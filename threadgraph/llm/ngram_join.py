@@ -492,12 +492,14 @@ def components_of(sets: DataFrame) -> DataFrame:
     least = live.where("same is not null").groupBy("same").agg(F.min("doc").alias("rep"))
     member = live.select("doc", "same").join(least, "same", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
     member = materialise(member, "ngram-members")
-    copies = member.where("doc <> rep").select("doc")
+    copies = member.where("doc <> rep").distinct()
 
     posted = live.select("doc", "n", "items").mapInArrow(_prefixes, "item long, doc long, hub long")
     stars = posted.repartition("item").sortWithinPartitions("item", "doc").mapInArrow(_meet, "u long, v long").distinct()
-    # A copy is never a hub: the first of its equals has the same items and goes before it.
-    stars = stars.join(copies, stars["u"] == copies["doc"], "left_anti")
+    # A copy has the stars of its representative, which shares its items, so its own are left out. It may be a hub, though: the
+    # least of its batch, when its representative is in another one. Its representative then is the hub.
+    stars = stars.join(copies.select(F.col("doc").alias("u")), "u", "left_anti")
+    stars = stars.join(copies.select(F.col("doc").alias("v"), "rep"), "v", "left").select("u", F.coalesce("rep", "v").alias("v"))
     groups = materialise(connected_components(stars), "ngram-groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
