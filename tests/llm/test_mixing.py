@@ -60,3 +60,39 @@ def test_odd_and_empty(spark, docs_of, odd_texts, monkeypatch):
     monkeypatch.setitem(mixing.MAX_NAMES, "source", 1)
     out = mixing.mix(docs, budget=0.5).collect()
     assert len(out) == len(odd_texts) and all(r.probability is not None for r in out)
+
+
+def test_more_sources_than_the_driver_rakes(spark):
+    rng = random.Random(6)
+    n = mixing.MAX_NAMES["source"] + 30
+    rows = [(k, words(rng, rng.randint(1, 30)) + (" | x" if k // n % 2 else ""), ["en", "de"][k // (2 * n) % 2], f"s{k % n}") for k in range(4 * n)]
+    rows += [(4 * n + k, words(rng, 30), ["en", "de"][k % 2], f"s{k % 5}") for k in range(60)] + [(4 * n + 60, "", "fr", "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {f"s{n - 1}": 0.2, "s7": 0.1, "s8": 0.0, "absent": 0.1}, "lang": {"en": 0.7, "de": 0.3}}
+    out = mixing.mix(docs, targets, budget=0.5).collect()
+    assert len(out) == len(rows)
+
+    cells = defaultdict(float)
+    for r in out:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    total = sum(cells.values())
+    wanted = [defaultdict(float), targets["lang"], defaultdict(float)]
+    for c, tokens in cells.items():
+        wanted[0][c[0]] += tokens
+        wanted[2][c[2]] += tokens
+    wanted = [{k: v**0.5 for k, v in w.items() if v} if w is not targets["lang"] else w for w in wanted]
+    others = {k: v for k, v in wanted[0].items() if k not in targets["source"]}
+    wanted[0] = targets["source"] | {k: 0.6 * v / sum(others.values()) for k, v in others.items()}
+    share = mixing.rake(dict(cells), wanted)
+    chance = mixing.probabilities(dict(cells), share, 0.5)
+    assert any(p == 1 for c, p in chance.items() if cells[c]) and 0 in chance.values()
+    for r in out:
+        c = r.source, r.lang, r.topic
+        assert r.probability == pytest.approx(chance[c], rel=1e-6, abs=1e-9)
+        assert r.weight == pytest.approx(share[c] * total / cells[c] if cells[c] else 1.0, rel=1e-6, abs=1e-9)
+    mass = defaultdict(float)
+    for r in out:
+        mass[r.source] += r.n_tokens * r.weight / total
+    assert mass[f"s{n - 1}"] == pytest.approx(0.2 / 0.9, rel=1e-6) and mass["s8"] == 0
+    kept = mixing.sampled(docs, targets, budget=0.5)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out if r.sampled)

@@ -6,8 +6,9 @@ scaled to inclusion probabilities of at most 1 so that the expected number of sa
 document is then kept or not by a hash of its doc_id against the probability of its cell.
 
 Targets are shares by name. An axis without given targets aims at the observed shares raised to ``temperature`` (below 1: small
-categories gain). Each axis tells apart the ``MAX_NAMES`` categories with the most tokens and pools the others in one, which
-bounds the cells that the driver rakes and that are broadcast; no document is dropped for that.
+categories gain). Every category of an axis is raked by its own target, however many there are. Up to ``MAX_NAMES`` of them the
+driver rakes the cells, which are then few enough to be broadcast; with more on any axis, cells and factors are tables that are
+joined by axis in each round, and only totals come to the driver.
 
 Defined results: null source, language or text count as ``(null)``, ``(null)`` and empty; a document without tokens has the
 probability of its cell, and a cell without tokens has probability 1; targets of categories that no document has are spread
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, materialise, table, text_or_empty
 
-MAX_NAMES = {"source": 200, "lang": 50, "topic": 8}  # 80 k cells at most, with pools a little more
-POOL = "(other)"
+MAX_NAMES = {"source": 200, "lang": 50, "topic": 8}  # that the driver rakes: 80 k cells at most
 ROUNDS, TOLERANCE = 200, 1e-9
 LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 AXES = ("source", "lang", "topic")
@@ -99,26 +99,15 @@ def probabilities(cells: dict[tuple, float], share: dict[tuple, float], budget:
     return out
 
 
-def _cells(sums: DataFrame) -> tuple[dict[tuple, float], dict[str, set]]:
-    """Token sums by pooled cell, and the names that each axis tells apart."""
-    names = {}
-    pooled = sums
-    for axis in AXES:
-        top = sums.groupBy(axis).agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), axis).limit(MAX_NAMES[axis]).collect()
-        names[axis] = {r[axis] for r in top}
-        pooled = pooled.withColumn(axis, _pooled(F.col(axis), names[axis]))
-    rows = pooled.groupBy(*AXES).agg(F.sum("n_tokens").alias("n")).collect()  # bounded by MAX_NAMES
-    return {tuple(r[a] for a in AXES): float(r["n"]) for r in rows}, names
+def _few(sums: DataFrame) -> bool:
+    """Whether every axis has few enough names for the driver."""
+    row = sums.agg(*[F.countDistinct(a).alias(a) for a in AXES]).first()
+    return all(row[a] <= MAX_NAMES[a] for a in AXES)
 
 
-def _pooled(col: Column, names: set) -> Column:
-    return F.when(F.array_contains(F.array(*[F.lit(n) for n in sorted(names)]).cast("array<string>"), col), col).otherwise(POOL)
-
-
-def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: float = 0.5, budget: float = 0.6) -> tuple[DataFrame, dict[str, set]]:
-    """(_source, _lang, _topic, weight, probability) of each cell, and the names that each axis tells apart."""
-    targets = {"lang": LANG_TARGETS} if targets is None else targets
-    cells, names = _cells(materialise(described(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells"))
+def _raked_here(sums: DataFrame, targets: dict[str, dict], temperature: float, budget: float) -> DataFrame:
+    """The lookup of ``calibrated``, worked out by the driver."""
+    cells = {tuple(r[a] for a in AXES): float(r["n_tokens"]) for r in sums.collect()}  # bounded by MAX_NAMES
     wanted = []
     for k, axis in enumerate(AXES):
         seen: dict = defaultdict(float)
@@ -139,12 +128,72 @@ def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temperat
     known = [[*c, share.get(c, 0.0) * total / cells[c] if cells[c] else 1.0, chance[c]] for c in sorted(cells)]
     schema = "array<struct<_source:string,_lang:string,_topic:string,weight:double,probability:double>>"
     literal = json.dumps([dict(zip(("_source", "_lang", "_topic", "weight", "probability"), c, strict=True)) for c in known])
-    return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(literal), schema))), names
+    return F.broadcast(sums.sparkSession.range(1).select(F.inline(F.from_json(F.lit(literal), schema))))
+
+
+def _target_table(full: DataFrame, axis: str, given: dict | None, temperature: float) -> DataFrame:
+    """axis, target: the target share of each category that has tokens, if it is over 0."""
+    seen = full.groupBy(axis).agg(F.pow(F.sum("n"), F.lit(float(temperature))).alias("tempered"))
+    if given is None:
+        valued = seen.withColumn("v", F.col("tempered"))
+    else:
+        rows = full.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{axis} string, given double")
+        seen = seen.join(rows, axis, "left")
+        whole = seen.where("given is null").agg(F.sum("tempered")).first()[0]
+        rest = max(0.0, 1 - sum(given.values()))
+        valued = seen.withColumn("v", F.coalesce("given", rest * F.col("tempered") / F.lit(whole)))
+    valued = materialise(valued.where("v > 0").select(axis, "v"), "mixing-targets")
+    whole = valued.agg(F.sum("v")).first()[0]
+    return valued.select(axis, (F.col("v") / F.lit(whole)).alias("target"))
+
+
+def _raked_apart(sums: DataFrame, targets: dict[str, dict], temperature: float, budget: float) -> DataFrame:
+    """The lookup of ``calibrated`` by the same steps as ``rake`` and ``probabilities``, on tables."""
+    cells = sums.select(*AXES, F.col("n_tokens").cast("double").alias("n"))
+    full = cells.where("n > 0")
+    total = full.agg(F.sum("n")).first()[0] or 0.0
+    wanted = [_target_table(full, axis, targets.get(axis), temperature) for axis in AXES]
+    now = full.withColumn("share", F.col("n") / F.lit(total))
+    for _ in range(ROUNDS):
+        now = now.withColumn("worst", F.lit(0.0))
+        for axis, target in zip(AXES, wanted, strict=True):
+            held = now.groupBy(axis).agg(F.sum("share").alias("held"))
+            factor = held.join(target, axis, "left").select(axis, F.coalesce(F.col("target") / F.col("held"), F.lit(0.0)).alias("factor"))
+            now = now.join(factor, axis).withColumn("worst", F.greatest("worst", F.abs(F.col("factor") - 1)))
+            # A share of 0 stays 0: its cell has no part in the rounds that follow.
+            now = now.withColumn("share", F.col("share") * F.col("factor")).drop("factor").where("share > 0")
+        now = materialise(now, "mixing-shares")
+        worst = now.agg(F.max("worst")).first()[0]
+        now = now.drop("worst")
+        if worst is None or worst < TOLERANCE:
+            break
+    # Cells are full in the order of share / n, so the scale tells which ones are; it grows until no further one is full.
+    scale, left = 0.0, None
+    while True:
+        free = F.lit(scale) * F.col("share") < F.col("n")
+        row = now.agg(F.count(F.when(free, 1)).alias("k"), F.sum(F.when(free, F.col("share"))).alias("share"), F.sum(F.when(~free, F.col("n"))).alias("taken")).first()
+        if not row["k"] or (left is not None and row["k"] >= left):
+            break
+        scale, left = max(0.0, budget * total - (row["taken"] or 0.0)) / row["share"], row["k"]
+    share = F.coalesce("share", F.lit(0.0))
+    found = cells.join(now.drop("n"), list(AXES), "left").select(
+        *[F.col(a).alias(f"_{a}") for a in AXES],
+        F.when(F.col("n") > 0, share * F.lit(total) / F.col("n")).otherwise(1.0).alias("weight"),
+        F.when(F.col("n") > 0, F.least(F.lit(1.0), F.lit(scale) * share / F.col("n"))).otherwise(1.0).alias("probability"),
+    )
+    return materialise(found, "mixing-lookup")
+
+
+def calibrated(docs: DataFrame, targets: dict[str, dict] | None = None, temperature: float = 0.5, budget: float = 0.6) -> DataFrame:
+    """_source, _lang, _topic, weight, probability of each cell."""
+    targets = {"lang": LANG_TARGETS} if targets is None else targets
+    sums = materialise(described(docs).groupBy(*AXES).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-cells")
+    return (_raked_here if _few(sums) else _raked_apart)(sums, targets, temperature, budget)
 
 
-def _looked_up(rows: DataFrame, lookup: DataFrame, names: dict[str, set], columns: dict[str, str]) -> DataFrame:
-    keys = [_pooled(F.col(columns[a]), names[a]) == F.col(f"_{a}") for a in AXES]
-    return rows.join(F.broadcast(lookup), keys[0] & keys[1] & keys[2], "left")  # cells are bounded by MAX_NAMES
+def _looked_up(rows: DataFrame, lookup: DataFrame, columns: dict[str, str]) -> DataFrame:
+    keys = [F.col(columns[a]) == F.col(f"_{a}") for a in AXES]
+    return rows.join(lookup, keys[0] & keys[1] & keys[2], "left")
 
 
 def _drawn(seed: int) -> Column:
@@ -155,17 +204,17 @@ def _drawn(seed: int) -> Column:
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
     """doc_id, n_tokens, source, lang, topic, weight, probability, sampled: one row per document."""
-    lookup, names = calibrated(docs, targets, **options)
-    joined = _looked_up(described(docs), lookup, names, {a: a for a in AXES})
+    lookup = calibrated(docs, targets, **options)
+    joined = _looked_up(described(docs), lookup, {a: a for a in AXES})
     return joined.select("doc_id", "n_tokens", "source", "lang", "topic", "weight", "probability", _drawn(seed).alias("sampled"))
 
 
 def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
-    """The documents that were sampled, with all their columns; nothing is shuffled for it but the sums by cell."""
-    lookup, names = calibrated(docs, targets, **options)
+    """The documents that were sampled, with all their columns; with few categories nothing is shuffled for it but the sums by cell."""
+    lookup = calibrated(docs, targets, **options)
     own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic(text_or_empty())}
     rows = docs.withColumns({f"__mix_{a}": c for a, c in own.items()}).withColumnsRenamed({n: f"__kept_{n}" for n in ("weight", "probability") if n in docs.columns})
-    joined = _looked_up(rows, lookup, names, {a: f"__mix_{a}" for a in AXES}).where(_drawn(seed))
+    joined = _looked_up(rows, lookup, {a: f"__mix_{a}" for a in AXES}).where(_drawn(seed))
     return joined.select(*[F.col(f"__kept_{n}").alias(n) if n in ("weight", "probability") else F.col(n) for n in docs.columns])
 
 
