@@ -59,7 +59,14 @@ def chains(spark: SparkSession, d: str) -> Graph:
 
 
 def similar(spark: SparkSession, d: str) -> Graph:
-    """Comments, by their first sentences only, with SIMILARITY edges between them."""
+    """All sentences, with SIMILARITY edges between those of comments that qualify."""
+    own = comments(spark, d)
+    n = edges.nodes_of(own)
+    return Graph(own, n, edges.assemble([edges.edges_similarity(own, n, vectors(spark, d))]))
+
+
+def similar_first(spark: SparkSession, d: str) -> Graph:
+    """The same for first sentences only, which is what the SQL counterparts hold."""
     own = comments(spark, d)
     n = edges.nodes_of(own).where("s_idx = 0")
     return Graph(own, n, edges.assemble([edges.edges_similarity(own, n, vectors(spark, d))]))
@@ -447,10 +454,13 @@ def queries() -> dict:
     for kind in ("same_comment", "same_comment_all", "same_article", "same_article_all", "reply_to", "reply_to_all", "temporal", "assembled"):
         q[f"edges_{kind}"] = partial(edges_query, kind=kind)
     for name, kind in SHORT.items():
-        base = {"similarity": similar, "temporal": four}.get(name, structural)
+        base = {"similarity": similar_first, "temporal": four}.get(name, structural)
         q[f"filter_edge_{name}"] = partial(edge_filter, kind=kind, base=base, threshold=0.08 if name == "similarity" else 0.5)
         q[f"bottom_edge_{name}"] = partial(edge_top, kind=kind, base=base, k=2)
-        q[f"merge_{name}"] = partial(merge_query, kind=kind, base=base, threshold=0.11 if name == "similarity" else 0.5)
+        q[f"merge_{name}"] = partial(merge_query, kind=kind, base=similar if name == "similarity" else base, threshold=0.11 if name == "similarity" else 0.5)
+    q["edges_similarity_all"] = lambda s, d: digest(similar(s, d).edges)
+    q["filter_edge_similarity_all"] = partial(edge_filter, kind="SIMILARITY", base=similar, threshold=0.08)
+    q["bottom_edge_similarity_all"] = partial(edge_top, kind="SIMILARITY", base=similar, k=2)
     q["filter_edge_temporal_smaller"] = partial(edge_filter, kind="TEMPORAL", base=four, threshold=0.2, smaller_as=True)
     q["bottom_edge_temporal_ascending"] = partial(edge_top, kind="TEMPORAL", base=four, k=2, descending=False)
     for name, weight in WEIGHTS.items():
