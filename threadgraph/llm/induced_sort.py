@@ -1,15 +1,21 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
+"""Suffix arrays by recursive induced sorting, and permuted common prefixes, on numpy arrays.
 
-The two induction passes scan buckets, not single suffixes: all suffixes that a bucket holds hand their predecessors on in one
-array operation, in order, and predecessors in the same bucket make up its next wave. The cost is linear, with a step of Python
-for each bucket and wave. The reduced string of leftmost-smaller (LMS) names has as many letters as names, where buckets hold
-one suffix and that would not pay: there the ranks are refined by doubling, on those that are still tied.
+Suffixes are classified by type, the leftmost smaller ones (LMS) are sorted by induction, named, and sorted in full by the same
+algorithm on the string of their names; all others are induced from them. There are two ways to induce, with the same result.
+Over a small alphabet (bytes) buckets are scanned in waves: all suffixes that a bucket holds hand their predecessors on in one
+array operation, in order, and predecessors in the same bucket make up its next wave. Over the large alphabets of names, where
+buckets hold few suffixes, suffixes are scanned one by one. Both are linear.
+
+Common prefixes are found in text order. Where the letters before a suffix and before its predecessor are equal, the common
+prefix is one less than that of the place before; only the other places, whose prefixes add up to O(n log n), are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+WAVE = 64  # suffixes a letter from which on buckets are scanned in waves
+
 
 def classify(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last is larger than the empty suffix."""
@@ -42,8 +48,9 @@ class _Buckets:
         return np.concatenate(own) if own else np.zeros(0, np.int64)
 
 
-def _induce(text: np.ndarray, small: np.ndarray, lms_by_letter: list[np.ndarray], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """From LMS suffixes in order: the larger-type and the smaller-type suffixes of each bucket, in order."""
+def _induce_waves(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """All suffixes in order, from LMS suffixes in order; a bucket at a time."""
+    lms_by_letter = _by_letter(text, lms, size)
     large = _Buckets(size)
     n = len(text)
     large.add(text[n - 1 :], np.array([n - 1]))  # its successor is the empty suffix
@@ -63,7 +70,7 @@ def _induce(text: np.ndarray, small: np.ndarray, lms_by_letter: list[np.ndarray]
         before = own[own > 0] - 1
         large.add(text[before], before)
     smalls = _Buckets(size)  # each bucket from its end on
-    out: list[tuple[np.ndarray, np.ndarray]] = [None] * size
+    out: list[np.ndarray] = [None] * (2 * size)
     for letter in range(size - 1, -1, -1):
         done, wave = [], smalls.take(letter)
         while len(wave):
@@ -75,12 +82,12 @@ def _induce(text: np.ndarray, small: np.ndarray, lms_by_letter: list[np.ndarray]
             wave = before[same]
             smalls.add(letters[~same], before[~same])
         own = np.concatenate(done)[::-1] if done else np.zeros(0, np.int64)
-        out[letter] = (larges[letter], own)
+        out[2 * letter], out[2 * letter + 1] = larges[letter], own
         before = larges[letter][::-1]
         before = before[before > 0] - 1
         before = before[small[before]]
         smalls.add(text[before], before)
-    return out
+    return np.concatenate(out)
 
 
 def _by_letter(text: np.ndarray, suffixes: np.ndarray, size: int) -> list[np.ndarray]:
@@ -90,58 +97,52 @@ def _by_letter(text: np.ndarray, suffixes: np.ndarray, size: int) -> list[np.nda
     return [buckets.take(k) for k in range(size)]
 
 
-def _order(buckets) -> np.ndarray:
-    return np.concatenate([part for pair in buckets for part in pair])
-
-
-def _refine(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of the reduced string: ranks by 1, 2, 4, ... names, until none are tied."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    reach = 1
-    tied = np.arange(n)
-    while True:
-        counts = np.bincount(rank, minlength=int(rank.max()) + 1)
-        tied = tied[counts[rank[tied]] > 1]
-        if not len(tied):
-            break
-        far = tied + reach
-        second = np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
-        order = np.lexsort((second, rank[tied]))
-        own, first, second = tied[order], rank[tied][order], second[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        # Within a group of tied ranks r, r + 1, ...: the group's rank counts all names below it, so there is room.
-        head = np.ones(len(own), bool)
-        head[1:] = first[1:] != first[:-1]
-        place = np.arange(len(own))
-        start = np.maximum.accumulate(np.where(head, place, 0))
-        last_new = np.maximum.accumulate(np.where(new, place, 0))
-        rank[own] = first + last_new - start
-        reach *= 2
-    return np.argsort(rank, kind="stable")
+def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """All suffixes in order, from LMS suffixes in order; a suffix at a time."""
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    letters, is_small, n = text.tolist(), small.tolist(), len(text)
+    order = [-1] * n
+    free = ends.tolist()
+    for suffix in reversed(lms.tolist()):
+        free[letters[suffix]] -= 1
+        order[free[letters[suffix]]] = suffix
+    free = [0, *ends[:-1].tolist()]
+    order[free[letters[-1]]] = n - 1  # its successor is the empty suffix
+    free[letters[-1]] += 1
+    for k in range(n):
+        before = order[k] - 1
+        if before >= 0 and not is_small[before]:
+            letter = letters[before]
+            order[free[letter]] = before
+            free[letter] += 1
+    free = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        before = order[k] - 1
+        if before >= 0 and is_small[before]:
+            letter = letters[before]
+            free[letter] -= 1
+            order[free[letter]] = before
+    return np.array(order, np.int64)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of ``text`` (small non-negative integers) in order; a shorter suffix goes before one that it begins."""
+    """Suffixes of ``text`` (non-negative integers) in order; a shorter suffix goes before one that it begins."""
     text = np.ascontiguousarray(text)
     n = len(text)
     if n < 2:
         return np.arange(n)
     size = int(text.max()) + 1
+    induce = _induce_waves if n >= WAVE * size else _induce_each
     small = classify(text)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(lms):
-        first = _order(_induce(text, small, _by_letter(text, lms, size), size))
+        first = induce(text, small, lms, size)
         flag = np.zeros(n, bool)
         flag[lms] = True
-        sorted_lms = first[flag[first]]
-        names = _names(text, small, lms, sorted_lms)
-        # Room for refined ranks: a name's rank is the number of smaller LMS substrings.
-        counts = np.bincount(names)
-        ranks = (np.cumsum(counts) - counts)[names]
-        lms = lms[_refine(ranks)]
-    return _order(_induce(text, small, _by_letter(text, lms, size), size))
+        in_order = first[flag[first]]
+        names = _names(text, small, lms, in_order)
+        lms = in_order if names.max() + 1 == len(lms) else lms[suffix_array(names)]
+    return induce(text, small, lms, size)
 
 
 def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -169,18 +170,24 @@ def _names(text: np.ndarray, small: np.ndarray, lms: np.ndarray, ordered: np.nda
     return names
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each entry of ``order`` (suffixes in order), by place: the length it has in common with the entry before, up to ``most``."""
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, barrier: int = -1) -> np.ndarray:
+    """By place in the text: how much a suffix has in common with the one before it in ``order``; prefixes end before ``barrier``."""
     n = len(text)
-    phi = np.full(len(order), -1, np.int64)
-    phi[1:] = order[:-1]
-    length = np.zeros(len(order), np.int64)
-    open_ = np.flatnonzero(phi >= 0)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    follows = np.zeros(n, bool)  # one less than at the place before
+    follows[1:] = (before[1:] > 0) & (text[:-1] != barrier)
+    follows[1:] &= text[:-1] == text[np.maximum(before[1:] - 1, 0)]
+    length = np.zeros(n, np.int64)
+    open_ = np.flatnonzero(~follows & (before >= 0))
     step = 0
-    while len(open_) and step < most:
-        a, b = order[open_] + step, phi[open_] + step
+    while len(open_):
+        a, b = open_ + step, before[open_] + step
         fits = (a < n) & (b < n)
         open_, a, b = open_[fits], a[fits], b[fits]
-        open_ = open_[text[a] == text[b]]
-        length[open_] = step = step + 1
-    return length
+        open_ = open_[(text[a] == text[b]) & (text[a] != barrier)]
+        step += 1
+        length[open_] = step
+    place = np.arange(n)
+    source = np.maximum.accumulate(np.where(follows, 0, place))
+    return length[source] - (place - source)

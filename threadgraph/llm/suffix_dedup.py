@@ -17,9 +17,10 @@ place) goes. Matches never cross documents and are judged on the input.
 Runs are compared by a 64-bit hash of their bytes in addition to the anchor's 64 bits and both offsets. Steps are written to
 the shared folder, so lost executors only cost the tasks at hand.
 
-Defined results: null and empty texts have no bytes; doc_id orders documents and null goes first; rows with the same doc_id are
-the same document (repeated rows repeat nothing by that, and get equal results); documents of any length are worked off in
-overlapping stretches; an empty table gives an empty result; further columns are ignored.
+Defined results: null and empty texts have no bytes; documents are told apart by doc_id and a 64-bit hash of their text, in whose
+order they go, null doc_ids first; so rows that share a doc_id, or have none, are documents of their own if their texts differ,
+while wholly equal rows are one document (they repeat nothing by that, and get equal results); documents of any length are worked
+off in overlapping stretches; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
@@ -41,6 +43,8 @@ SLICE_BYTES = 1_000_000
 SHARD_BYTES = 2_000_000  # bytes of runs that one suffix array covers
 GROUP_BYTES = 6_000_000  # bytes of one anchor's runs beyond which its windows are settled one by one
 FIRST_DOC = -(1 << 63)  # stands for a null doc_id
+SALTS = 64  # parts that equal windows are dealt into
+
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place on, by doubling: 1, 2, 4, ... bytes."""
@@ -118,84 +122,93 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[head], start[head], reach[np.append(head[1:], len(doc)) - 1]
 
 
-ROWS = "h long, c long, at int, n int, doc long, lo long, hi long"  # hi: end of an interval that is a repeat; null for a run
+# hi: end of an interval that is a repeat; null for a run, of which ``form`` has the anchor's offset and the number of windows
+ROWS = "h long, c long, form int, doc long, tag long, lo int, hi int"
+KEYS = ["h", "c", "form", "doc", "tag", "lo"]
+KINDS = {"long": "int64", "int": "int32", "binary": "binary", "string": "string"}
 
 
-def _scan(batches):
-    """Runs of a slice's documents (the earliest of equal ones), and the intervals of the others."""
+def _batch(schema: str, *columns):
+    """A batch by a schema in SQL; a column that is None is null."""
     import pyarrow as pa
 
-    def out(h, c, at, n, doc, lo, hi):
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        names = ("h", "c", "at", "n", "doc", "lo", "hi")
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h, c, at, n, doc, lo, hi), kinds, strict=True)], names=list(names))
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = [getattr(pa, KINDS[k])() for _, k in fields]
+    size = len(columns[0])
+    arrays = [pa.nulls(size, k) if c is None else c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
+
+
+def _again(kind: list[np.ndarray], own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order: which are the first of their kind, and which differ from that first one in the ``own`` columns."""
+    n = len(kind[0])
+    head = np.ones(n, bool)
+    head[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in kind])
+    lead = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    return head, np.logical_or.reduce([x != x[lead] for x in own])
+
+
+def _scan(batches):
+    """Runs of a slice's documents (the earliest of equal ones), and the intervals of the others."""
 
     def work(parts):
-        docs = np.array([d for d, _, _ in parts], np.int64)
-        offsets = np.array([o for _, o, _ in parts], np.int64)
-        owner, lo, n, at, h, c = runs(np.frombuffer(b"".join(p for _, _, p in parts), np.uint8), np.array([len(p) for _, _, p in parts], np.int64))
-        doc, lo = docs[owner], lo + offsets[owner]
-        order = np.lexsort((lo, doc, n, at, c, h))
-        h, c, at, n, doc, lo = (x[order] for x in (h, c, at, n, doc, lo))
-        head = np.ones(len(h), bool)
-        head[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        again = (doc != doc[lead]) | (lo != lo[lead])
-        if head.any():
-            yield out(h[head], c[head], at[head], n[head], doc[head], lo[head], pa.nulls(int(head.sum()), pa.int64()))
-        d, s, e = merged(doc[again], lo[again], lo[again] + n[again] - 1 + LENGTH)
-        if len(d):
-            spread = mixed(d.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)).view(np.int64)  # deals intervals out evenly
+        docs, tags, offsets = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+        owner, lo, n, at, h, c = runs(np.frombuffer(b"".join(p[3] for p in parts), np.uint8), np.array([len(p[3]) for p in parts], np.int64))
+        lo, doc, tag = lo + offsets[owner], docs[owner], tags[owner]
+        form = at * (SPAN + 1) + n
+        order = np.lexsort((lo, tag, doc, form, c, h))
+        h, c, form, doc, tag, lo, n, owner = (x[order] for x in (h, c, form, doc, tag, lo, n, owner))
+        if not len(h):
+            return
+        head, again = _again([h, c, form], [doc, tag, lo])
+        yield _batch(ROWS, *(x[head] for x in (h, c, form, doc, tag, lo)), None)
+        who, s, e = merged(owner[again], lo[again], lo[again] + n[again] - 1 + LENGTH)
+        if len(who):
+            d, t = docs[who], tags[who]
+            spread = mixed(t.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)).view(np.int64)  # deals intervals out evenly
             zero = np.zeros(len(d), np.int64)
-            yield out(spread, zero, zero, zero, d, s, e)
+            yield _batch(ROWS, spread, zero, zero, d, t, s, e)
 
     for batch in batches:
         parts, held = [], 0
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = text.as_buffer().to_pybytes()
             for at in range(0, max(len(raw) - LENGTH + 1, 0), SLICE_BYTES):
                 part = raw[at : at + SLICE_BYTES + LENGTH - 1]
                 if held + len(part) > SLICE_BYTES and parts:
                     yield from work(parts)
                     parts, held = [], 0
-                parts.append((doc, at, part))
+                parts.append((doc, tag, at, part))
                 held += len(part)
         if parts:
             yield from work(parts)
 
 
-FOUND = "kind int, h long, doc long, lo long, hi long"  # kind 0: bytes lo to hi are repeats; 1: bytes to send for
+FOUND = "kind int, h long, doc long, tag long, lo int, hi int"  # kind 0: bytes lo to hi are repeats; 1: bytes to send for
 
 
 def _meet(batches):
     """Rows by anchor, sorted: repeats of earlier runs, and the runs to send for where an anchor has different ones."""
-    import pyarrow as pa
+    before = None  # the last first-of-its-kind row: h, c, form, doc, tag, lo, and whether it is sent for
 
-    before = None  # the last first-of-its-kind row: h, c, at, n, doc, lo, and whether it is sent for
-
-    def out(kind, h, doc, lo, hi):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(h), kind), pa.int32()), *(pa.array(x, pa.int64()) for x in (h, doc, lo, hi))], names=["kind", "h", "doc", "lo", "hi"]
-        )
+    def out(kind, *columns):
+        return _batch(FOUND, np.full(len(columns[0]), kind), *columns)
 
     for batch in batches:
         end = batch.column(6)
         ready = np.asarray(end.is_valid())
-        columns = [batch.column(k).to_numpy() for k in range(6)]
+        columns = [batch.column(k).to_numpy().astype(np.int64) for k in range(6)]
         if ready.any():
-            own = end.drop_null().to_numpy()
-            yield out(0, columns[0][ready], columns[4][ready], columns[5][ready], own)
-        h, c, at, n, doc, lo = (x[~ready].astype(np.int64) for x in columns)
+            yield out(0, *(columns[k][ready] for k in (0, 3, 4, 5)), end.drop_null().to_numpy())
+        h, c, form, doc, tag, lo = (x[~ready] for x in columns)
         if before is not None:
-            h, c, at, n, doc, lo = (np.concatenate([[v], x]) for v, x in zip(before[:6], (h, c, at, n, doc, lo), strict=True))
+            h, c, form, doc, tag, lo = (np.concatenate([[v], x]) for v, x in zip(before[:6], (h, c, form, doc, tag, lo), strict=True))
         if not len(h):
             continue
-        head = np.ones(len(h), bool)
-        head[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        again = (doc != doc[lead]) | (lo != lo[lead])
+        hi = lo + form % (SPAN + 1) - 1 + LENGTH
+        head, again = _again([h, c, form], [doc, tag, lo])
         if again.any():
-            yield out(0, h[again], doc[again], lo[again], lo[again] + n[again] - 1 + LENGTH)
+            yield out(0, *(x[again] for x in (h, doc, tag, lo, hi)))
         first = np.flatnonzero(head)
         wanted = np.zeros(len(first), bool)
         shared = h[first[1:]] == h[first[:-1]]
@@ -206,17 +219,17 @@ def _meet(batches):
             done[0] = False
         pick = first[done]
         if len(pick):
-            yield out(1, h[pick], doc[pick], lo[pick], lo[pick] + n[pick] - 1 + LENGTH)
+            yield out(1, *(x[pick] for x in (h, doc, tag, lo, hi)))
         last = first[-1]
         sent = bool(wanted[-1]) or (len(first) == 1 and before is not None and before[6])
-        before = (*(int(x[last]) for x in (h, c, at, n, doc, lo)), sent)
+        before = (*(int(x[last]) for x in (h, c, form, doc, tag, lo)), sent)
 
 
-SETTLED = "doc long, lo long, hi long, piece binary"  # piece: a window that is still to be settled
+SETTLED = "doc long, tag long, lo int, hi int, piece binary"  # piece: a window that is still to be settled
 
 
-def equal_windows(pieces: list[bytes], docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of the windows that also start earlier in one of the pieces."""
+def equal_windows(pieces: list[bytes], docs: np.ndarray, tags: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals (doc, tag, lo, hi) of the windows that also start earlier in one of the pieces."""
     from .induced_sort import permuted_common_prefixes, suffix_array
 
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -228,43 +241,45 @@ def equal_windows(pieces: list[bytes], docs: np.ndarray, places: np.ndarray) ->
     windows = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
     piece_at[windows] = np.repeat(np.arange(len(pieces)), counts)
     order = suffix_array(text)
-    order = order[piece_at[order] >= 0]
-    common = permuted_common_prefixes(text, order, LENGTH)
-    group = np.cumsum(common < LENGTH) - 1
+    common = permuted_common_prefixes(text, order, barrier=0)
+    # Suffixes that start no window have less than LENGTH bytes before the next barrier, so groups of equal windows are whole.
+    group = np.cumsum(common[order] < LENGTH)
+    window = piece_at[order] >= 0
+    order, group = order[window], group[window]
     piece = piece_at[order]
-    doc, place = docs[piece], places[piece] + order - starts[piece]
+    # Pieces of a document share a number, and numbers go in the order of documents.
+    by = np.lexsort((tags, docs))
+    new = np.ones(len(by), bool)
+    new[1:] = (docs[by[1:]] != docs[by[:-1]]) | (tags[by[1:]] != tags[by[:-1]])
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    named = by[new]
+    doc, place = number[piece], places[piece] + order - starts[piece]
     by = np.lexsort((place, doc, group))
     group, doc, place = group[by], doc[by], place[by]
-    head = np.ones(len(group), bool)
-    head[1:] = group[1:] != group[:-1]
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
-    again = (doc != doc[lead]) | (place != place[lead])
-    return merged(doc[again], place[again], place[again] + LENGTH)
+    again = _again([group], [doc, place])[1]
+    who, lo, hi = merged(doc[again], place[again], place[again] + LENGTH)
+    return docs[named[who]], tags[named[who]], lo, hi
 
 
 def _settle(batches):
     """Pieces by anchor: repeats among their windows, through suffix arrays."""
-    import pyarrow as pa
-
-    def out(doc, lo, hi, pieces=None):
-        arrays = [pa.array(x, pa.int64()) for x in (doc, lo, hi)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(pieces, pa.binary()) if pieces else pa.nulls(len(doc), pa.binary())], names=["doc", "lo", "hi", "piece"])
 
     def work(rows):
         if len(rows) > 1:
-            found = equal_windows([r[2] for r in rows], np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
+            found = equal_windows([r[3] for r in rows], *(np.array([r[k] for r in rows], np.int64) for k in range(3)))
             if len(found[0]):
-                yield out(*found)
+                yield _batch(SETTLED, *found, None)
 
     def defer(rows):
-        for doc, lo, piece in rows:
+        for doc, tag, lo, piece in rows:
             n = len(piece) - LENGTH + 1
-            yield out([doc] * n, range(lo, lo + n), range(lo + LENGTH, lo + LENGTH + n), [piece[k : k + LENGTH] for k in range(n)])
+            yield _batch(SETTLED, [doc] * n, [tag] * n, range(lo, lo + n), range(lo + LENGTH, lo + LENGTH + n), [piece[k : k + LENGTH] for k in range(n)])
 
     shard, group, key, held, own = [], [], None, 0, 0
     deferring = False
     for batch in batches:
-        for h, doc, lo, piece in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for h, *row, piece in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if h != key:
                 shard += group
                 held += own
@@ -272,7 +287,7 @@ def _settle(batches):
                 if held >= SHARD_BYTES:
                     yield from work(shard)
                     shard, held = [], 0
-            group.append((doc, lo, piece))
+            group.append((*row, piece))
             own += len(piece)
             if deferring or own > GROUP_BYTES:
                 deferring = True
@@ -287,25 +302,40 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, doc and tag (which name a document and order it), text."""
+    text = text_or_empty()
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("doc"), F.xxhash64(F.lit(1), text).alias("tag"), text.alias("text"))
+
+
+def _later_windows(windows: DataFrame) -> DataFrame:
+    """Those that an equal one goes before. A window that very many rows have is dealt out by document first, so that only the
+    earliest of each of the ``SALTS`` parts meet in one task."""
+    order = ["doc", "tag", "lo"]
+    one = windows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
+    one = one.withColumn("_nth", F.dense_rank().over(Window.partitionBy("piece", "_salt").orderBy(*order)))
+    one = materialise(one, "suffix-windows")
+    two = one.where("_nth = 1").withColumn("_nth", F.dense_rank().over(Window.partitionBy("piece").orderBy(*order)))
+    return one.where("_nth > 1").union(two.where("_nth > 1"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc, lo, hi: intervals of repeated bytes, which may overlap."""
+    """doc, tag, lo, hi: intervals of repeated bytes, which may overlap."""
     spark = docs.sparkSession
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC))
-    plain = docs.select(own.alias("doc"), text_or_empty().alias("text"))
-    keys = ["h", "c", "at", "n", "doc", "lo"]
-    found = materialise(plain.mapInArrow(_scan, ROWS).repartition("h").sortWithinPartitions(*keys).mapInArrow(_meet, FOUND), "suffix-found")
+    plain = _documents(docs).select("doc", "tag", "text")
+    found = materialise(plain.mapInArrow(_scan, ROWS).repartition("h").sortWithinPartitions(*KEYS).mapInArrow(_meet, FOUND), "suffix-found")
     release(spark)
-    wanted = found.where("kind = 1").groupBy("doc").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("runs"))
+    # A document's runs are fewer than its bytes, which a row holds anyway.
+    wanted = found.where("kind = 1").distinct().groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("runs"))
     raw = F.col("text").cast("binary")
-    cut = F.transform("runs", lambda r: F.struct(r["h"].alias("h"), F.col("doc").alias("doc"), r["lo"].alias("lo"), F.substring(raw, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")).alias("piece")))
-    pieces = plain.join(wanted, "doc").select(F.inline(cut))
-    settled = materialise(pieces.repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_settle, SETTLED), "suffix-settled")
+    cut = F.transform("runs", lambda r: F.struct(r["h"].alias("h"), F.col("doc").alias("doc"), F.col("tag").alias("tag"), r["lo"].alias("lo"), F.substring(raw, r["lo"] + 1, r["hi"] - r["lo"]).alias("piece")))
+    pieces = plain.join(wanted, ["doc", "tag"]).select(F.inline(cut))
+    settled = materialise(pieces.repartition("h").sortWithinPartitions("h", "doc", "tag", "lo").mapInArrow(_settle, SETTLED), "suffix-settled")
     release(spark)
-    from pyspark.sql import Window
-
-    nth = F.dense_rank().over(Window.partitionBy("piece").orderBy("doc", "lo"))
-    rest = settled.where("piece is not null").withColumn("_nth", nth).where("_nth > 1")
-    return found.where("kind = 0").select("doc", "lo", "hi").union(settled.where("piece is null").select("doc", "lo", "hi")).union(rest.select("doc", "lo", "hi"))
+    rest = _later_windows(settled.where("piece is not null"))
+    names = ["doc", "tag", "lo", "hi"]
+    return found.where("kind = 0").select(*names).union(settled.where("piece is null").select(*names)).union(rest.select(*names))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -319,10 +349,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _cut(docs: DataFrame, schema: str, made) -> DataFrame:
-    of = repeats(docs).groupBy("doc").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST_DOC))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("doc"), text_or_empty().alias("text"))
-    joined = plain.join(of, "doc", "left").select("doc_id", "text", "los", "his")
+    of = repeats(docs).groupBy("doc", "tag").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    joined = _documents(docs).join(of, ["doc", "tag"], "left").select("doc_id", "text", "los", "his")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
@@ -338,7 +366,7 @@ def _cut(docs: DataFrame, schema: str, made) -> DataFrame:
                     n_removed.append(0)
                     n_spans.append(0)
                     continue
-                lo, hi = los.values.to_numpy(), his.values.to_numpy()
+                lo, hi = los.values.to_numpy().astype(np.int64), his.values.to_numpy().astype(np.int64)
                 _, lo, hi = merged(np.zeros(len(lo), np.int64), lo, hi)
                 edges = [0, *np.column_stack([lo, hi]).ravel().tolist(), len(raw)]
                 kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)))
