@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 from threadgraph.llm import exact_dedup
@@ -10,7 +11,8 @@ def brute(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
         groups[(text or "").translate(UPPER)].append(doc_id)
-    return {(d, max(g), len(g), d == max(g), hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for d in g}
+    best = {n: max((d for d in g if d is not None), default=None) for n, g in groups.items()}
+    return {(d, best[n], len(g), d == best[n], hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for d in g}
 
 
 def test_groups(docs_of, odd_texts):
@@ -26,6 +28,43 @@ def test_dedup_keeps_columns_and_repeated_rows_once(docs_of):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 4]
 
 
+def test_shared_and_null_ids_lose_no_text(spark):
+    rng = random.Random(4)
+    ids, texts = [None, None, None, 5, 5, 6, 7], ["A", "a", "B", "c", "C", "d", None, "HOT", "hot", "hoT"]
+    rows = [(5, "A"), (5, "C"), (5, "B"), (9, "b"), *((rng.choice(ids), rng.choice(texts)) for _ in range(150)), *[(None, "hot")] * 90]
+    for capacity in (4, 4096):
+        for own in (rows, rows[:4], [(5, "B"), (5, "A"), (9, "b")]):
+            docs = spark.createDataFrame(own, "doc_id long, text string").repartition(3)
+            got = exact_dedup.exact_groups(docs, capacity=capacity)
+            assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(next(b for b in brute(own) if (b[0], b[4]) == (d, digest(t)))) for d, t in own)
+            kept = [(r.doc_id, digest(r.text)) for r in exact_dedup.exact_dedup(docs, capacity=capacity).collect()]
+            assert len(kept) == len(set(kept)) and set(kept) == {(b[1], b[4]) for b in brute(own)}
+
+
+def digest(text):
+    return hashlib.sha256((text or "").translate(UPPER).encode()).hexdigest()
+
+
+def test_index_is_what_results_are_read_from(docs_of, monkeypatch):
+    docs = docs_of([f"text {k % 60}" for k in range(300)] + ["hot"] * 100)
+    seen = []
+    plain = exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    exact_dedup.exact_groups(docs, capacity=8)
+    index = dict(seen)["exact-index"]
+    assert index.count() == 400 and index.select("_bucket").distinct().count() > 20
+    # A bucket is a range of keys; the hot text is dealt into parts.
+    spans = sorted((r.lo, r.hi) for r in index.selectExpr("_bucket", "_key - (-9223372036854775807 - 1) as k", "shiftrightunsigned(_key, 1) as u").groupBy("_bucket").agg({"u": "min"}).join(index.selectExpr("_bucket", "shiftrightunsigned(_key, 1) as u").groupBy("_bucket").agg({"u": "max"}), "_bucket").toDF("b", "lo", "hi").collect())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert index.where("_parts > 1").select("_part").distinct().count() > 8
+
+
+def test_names_of_the_index_may_be_taken(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 6, True), (2, "A", "y", 8, False)], "doc_id long, text string, _kept_id string, _KEY int, _bucket boolean")
+    out = exact_dedup.exact_dedup(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "A", "y", 8, False)]
+
+
 def test_clashing_columns_and_empty(spark):
     docs = spark.createDataFrame([(1, "a", 5, 6, True), (2, "A", 7, 8, False)], "doc_id long, text string, _key int, group_size int, kept boolean")
     assert [tuple(r) for r in exact_dedup.exact_dedup(docs).collect()] == [(2, "A", 7, 8, False)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir, shared_path
 
-__all__ = ["WORD_PATTERN", "lower_ascii", "materialise", "shared_dir", "shared_path", "table", "text_or_empty"]
+__all__ = ["WORD_PATTERN", "fresh_names", "lower_ascii", "materialise", "shared_dir", "shared_path", "table", "text_or_empty"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -25,3 +25,15 @@ def lower_ascii(col: Column) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def fresh_names(taken: list[str], *wanted: str) -> dict[str, str]:
+    """A column name for each wanted one that is none of those taken, in whatever case."""
+    known, out = {t.lower() for t in taken}, {}
+    for name in wanted:
+        own = f"_{name}"
+        while own.lower() in known:
+            own = f"_{own}"
+        known.add(own.lower())
+        out[name] = own
+    return out
