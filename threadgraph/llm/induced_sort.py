@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WAVE = 64  # suffixes a letter from which on buckets are scanned in waves
+WAVE = 200  # suffixes a letter from which on buckets are scanned in waves
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -99,29 +99,35 @@ def _by_letter(text: np.ndarray, suffixes: np.ndarray, size: int) -> list[np.nda
 
 def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """All suffixes in order, from LMS suffixes in order; a suffix at a time."""
+    n = len(text)
     ends = np.cumsum(np.bincount(text, minlength=size))
-    letters, is_small, n = text.tolist(), small.tolist(), len(text)
-    order = [-1] * n
-    free = ends.tolist()
-    for suffix in reversed(lms.tolist()):
-        free[letters[suffix]] -= 1
-        order[free[letters[suffix]]] = suffix
+    # Letter of the suffix before each one, if that is of the larger (smaller) type, or -1; the last entry is of no suffix.
+    larger, smaller = np.full(n + 1, -1), np.full(n + 1, -1)
+    larger[1:n] = np.where(small[:-1], -1, text[:-1])
+    smaller[1:n] = np.where(small[:-1], text[:-1], -1)
+    order = np.full(n, -1, np.int64)
+    own = text[lms]
+    by = np.argsort(own, kind="stable")
+    counts = np.bincount(own, minlength=size)
+    order[np.arange(len(own)) + np.repeat(ends - np.cumsum(counts), counts)] = lms[by]  # at the ends of their buckets
+    order = order.tolist()
     free = [0, *ends[:-1].tolist()]
-    order[free[letters[-1]]] = n - 1  # its successor is the empty suffix
-    free[letters[-1]] += 1
-    for k in range(n):
-        before = order[k] - 1
-        if before >= 0 and not is_small[before]:
-            letter = letters[before]
-            order[free[letter]] = before
-            free[letter] += 1
+    order[free[int(text[-1])]] = n - 1  # its successor is the empty suffix
+    free[int(text[-1])] += 1
+    letter_of = larger.tolist()
+    for suffix in order:  # grows as it is read
+        letter = letter_of[suffix]
+        if letter >= 0:
+            place = free[letter]
+            order[place] = suffix - 1
+            free[letter] = place + 1
     free = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        before = order[k] - 1
-        if before >= 0 and is_small[before]:
-            letter = letters[before]
-            free[letter] -= 1
-            order[free[letter]] = before
+    letter_of = smaller.tolist()
+    for suffix in reversed(order):
+        letter = letter_of[suffix]
+        if letter >= 0:
+            free[letter] = place = free[letter] - 1
+            order[place] = suffix - 1
     return np.array(order, np.int64)
 
 
