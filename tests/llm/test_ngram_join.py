@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadgraph.llm import ngram_join as nj
 from threadgraph.operators.components import connected_components
@@ -35,6 +36,20 @@ def brute(texts):
     return {k: (len(s), find(k)) for k, s in enumerate(sets)}
 
 
+class Links:
+    def __init__(self, n):
+        self.above = list(range(n))
+
+    def find(self, x):
+        while self.above[x] != x:
+            x = self.above[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.find(a), self.find(b)
+        self.above[max(a, b)] = min(a, b)
+
+
 def edited(rng, text, rate):
     return " ".join(f"e{rng.randrange(10**6)}" if rng.random() < rate else w for w in text.split(" "))
 
@@ -84,13 +99,13 @@ def test_trees_against_all_pairs_and_blocks():
                 sizes.append(len(s) + own)
         split = rng.choice([None, len(sets) // 2])
         links = nj.link_group(sets, sizes, split)
-        plain = nj.Links(len(sets))
+        plain = Links(len(sets))
         for a in range(len(sets)):
             for b in range(a):
                 i = len(np.intersect1d(sets[a], sets[b]))
                 if 100 * i >= 75 * (sizes[a] + sizes[b] - i) and (split is None or (b < split <= a)):
                     plain.join(a, b)
-        assert [links.find(k) for k in range(len(sets))] == [plain.find(k) for k in range(len(sets))]
+        assert links.tolist() == [plain.find(k) for k in range(len(sets))]
 
 
 def test_large_groups_in_blocks(docs_of, texts, monkeypatch):
@@ -106,11 +121,12 @@ def test_copies_as_hubs_of_their_batch(spark, docs_of, texts):
 
     def components(rows, parts, size):
         sets = nj.sets_of(docs_of(rows))
-        own = {r.doc: r for r in sets.collect()}
-        dealt = spark.sparkContext.parallelize([[own[k] for k in part] for part in parts], len(parts)).flatMap(lambda x: x)
+        own = {r.doc_id: r for r in sets.collect()}
+        # Rows are numbered here as they are in the list.
+        dealt = spark.sparkContext.parallelize([[(k, *own[k][1:]) for k in part] for part in parts], len(parts)).flatMap(lambda x: x)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         try:
-            found = {r.doc: r.component for r in nj.components_of(spark.createDataFrame(dealt, sets.schema)).collect()}
+            found = {r.id: r.component for r in nj.components_of(spark.createDataFrame(dealt, sets.schema)).collect()}
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert {k: found.get(k, k) for k in own} == {k: c for k, (_, c) in brute(rows).items()}
@@ -125,16 +141,48 @@ def test_copies_as_hubs_of_their_batch(spark, docs_of, texts):
 
 def test_one_of_each_nulls_repeats_and_empty(spark, docs_of):
     rng = random.Random(2)
-    a, b = words(rng, 50, 900), words(rng, 50, 900)
-    rows = [(4, a, 1), (3, a.upper(), 1), (3, a.upper(), 1), (9, b, 1), (None, b, 1), (6, "", 1), (7, None, 1)]
+    a, b, c = (words(rng, 50, 900) for _ in range(3))
+    rows = [(4, a, 1), (3, a.upper(), 1), (3, a.upper(), 1), (9, b, 1), (None, b, 1), (6, "", 1), (7, None, 1), (None, c, 1), (None, c + " x", 2), (None, "", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component int")
-    out = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in nj.jaccard_components(docs).collect()))
-    assert out == [(False, 0, 46, 9), (True, 3, 46, 3), (True, 3, 46, 3), (True, 4, 46, 3), (True, 6, 0, 6), (True, 7, 0, 7), (True, 9, 46, 9)]
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
+    out = sorted((*key(r), r.n_shingles, r.component_id or 0) for r in nj.jaccard_components(docs).collect())
+    assert out == [(False, 0, 0, 0), (False, 0, 46, 0), (False, 0, 46, 9), (False, 0, 47, 0), (True, 3, 46, 3), (True, 3, 46, 3), (True, 4, 46, 3), (True, 6, 0, 6), (True, 7, 0, 7), (True, 9, 46, 9)]
     kept = nj.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 3), (True, 6), (True, 7), (True, 9)]
-    assert nj.one_of_each(docs.union(docs.where("doc_id is null").selectExpr("doc_id", "'x' as text", "component"))).where("doc_id is null").count() == 2
-    assert nj.jaccard_components(docs.where("false")).count() == 0
+    assert sorted((*key(r), (r.text or "")[:5]) for r in kept.collect()) == [(False, 0, ""), (False, 0, c[:5]), (True, 3, a[:5].upper()), (True, 6, ""), (True, 7, ""), (True, 9, b[:5])]
+    assert nj.jaccard_components(docs.where("false")).count() == 0 == nj.one_of_each(docs.where("false")).count()
+
+
+def test_rows_that_share_an_id_do_not_bridge(spark):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80, 900) for _ in range(3))
+    for shared in (None, 7):
+        docs = spark.createDataFrame([(1, a + " e1"), (2, b + " e2"), (shared, a), (shared, b), (shared, c)], "doc_id long, text string").withColumn("_doc", F.lit(5)).withColumn("_MARK", F.lit(6))
+        got = sorted((r.doc_id or 0, r.component_id or 0) for r in nj.jaccard_components(docs).collect())
+        own = shared or 0
+        assert got == sorted([(1, 1), (2, 2), (own, 1), (own, 2), (own, own)])
+        kept = nj.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, a + " e1"), (2, b + " e2"), (own, c)])
+
+
+def test_counting_a_bucket_in_ranges(docs_of, texts, monkeypatch):
+    rng = random.Random(1)
+    hashes, owner = np.array([rng.randrange(1 << 41) for _ in range(500)], np.uint64).repeat(2), np.arange(1000) % 40
+    import pyarrow as pa
+
+    docs = np.zeros(40, nj.ROW)
+    rows = [*nj._pack(0, docs, hashes, owner, 1), *nj._pack(40, docs, hashes[::3], owner[::3], 1)]
+    names = [f.split()[0] for f in nj.PACKED.split(", ")]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds)], names=names)
+    found = []
+    for limit in (10**9, 60):
+        monkeypatch.setattr(nj, "RANGE_ITEMS", limit)
+        out = [r for b in nj._count([batch]) for r in b.to_pylist() if r["docs"] is None]
+        assert (limit == 60) == (len(out) > 2)
+        found.append({(r["slice"], o, i, s) for r in out for o, i, s in zip(np.frombuffer(r["owner"], "<u4").tolist(), [r["item"][k : k + 5] for k in range(0, len(r["item"]), 5)], np.frombuffer(r["spread"], "<u2").tolist())})
+    assert found[0] == found[1] and len(found[0]) > 900
 
 
 def test_connected_components(spark):

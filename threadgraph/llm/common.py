@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_dir, shared_path
 
-__all__ = ["WORD_PATTERN", "fresh_names", "lower_ascii", "materialise", "shared_dir", "shared_path", "table", "text_or_empty"]
+__all__ = ["WORD_PATTERN", "fresh_names", "join_hot", "lower_ascii", "materialise", "shared_dir", "shared_path", "table", "text_or_empty"]
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -37,3 +37,20 @@ def fresh_names(taken: list[str], *wanted: str) -> dict[str, str]:
         known.add(own.lower())
         out[name] = own
     return out
+
+
+def join_hot(rows: DataFrame, ones: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``ones``, which has one row for each ``key``, and with it the ``count`` of rows that have the key.
+
+    Keys of over a thousandth of the ``total``, or 1,000 rows, are 1,000 at most: they are broadcast, so that no task gets all rows
+    of one. The others meet in a shuffle. Keys aren't null.
+    """
+    most = max(1_000, -(-total // 1_000))
+    ones = materialise(ones, "join-ones")
+    hot = ones.where(F.col(count) > most).drop(count)
+    rest = ones.drop(count)
+    if hot.isEmpty():
+        return rows.join(rest, key, "left")
+    there = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
+    return there.unionByName(others)

@@ -11,16 +11,20 @@ links ends up in one component.
    Documents with equal sets become one.
 3. Of two sets that link, the first few elements in that order, ``n - ceil(PERCENT / 100 * n) + 1`` of them, share one. Stars
    around the least document of each shared element, and their connected components, give the groups that may link.
-4. Within a group, each set is stored in prefix trees, one for each of those elements, and looked up before that: the walk
-   shares the overlap counted along common paths, and leaves a subtree when the sizes, or the elements that remain on both
-   sides, can't reach the overlap that is needed, or when all its sets are in the same component already. Groups of over
-   ``BLOCK`` sets are worked off by pairs of blocks. Their links give the components.
+4. Within a group, the sets are stored in one prefix tree, whose nodes hold up to ``SEGMENT`` elements, and each set is looked
+   up in it, a level at a time: the overlap counted along a path is shared by all sets below, and a subtree is left when the
+   sizes, or the elements that remain on both sides, can't reach the overlap that is needed, when its sets were looked up
+   themselves, or when all of them are in the component already. Groups of more than ``BLOCK`` sets or ``BLOCK_ITEMS`` elements
+   are worked off by pairs of blocks. Their links give the components.
 
-Shingles are told apart by 48 bits of hash or more. Every step that others build on is written to the shared folder.
+Shingles are told apart by 48 bits of hash or more (256 buckets at least, and 40 bits within). Buckets are as many as the bytes
+of all texts ask for, and what a bucket holds is counted in ranges of bounded size. Every step that others build on is written to
+the shared folder. Rows are numbered by partition and place, so any number of them may share a doc_id.
 
 Defined results: null and empty texts, and texts of white space, have empty sets and link with nothing; with fewer than WORDS
-words the whole sequence is the only shingle; repeated rows and equal sets share a component; rows of a null doc_id are reported
-with a null component and never make up a component's id; an empty table gives an empty result; further columns are ignored.
+words the whole sequence is the only shingle; repeated rows and equal sets share a component; a component's id is the least
+doc_id of its rows that have one, and null if none has; rows that share a doc_id, or have none, are told apart; ``one_of_each``
+takes rows of equal doc_id and text (by 64 bits of hash) for one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise, table, text_or_empty
+from .common import fresh_names, join_hot, materialise, table, text_or_empty
 from .hashing import mixed, powers, span_hashes
 from .suffix_dedup import release
 
@@ -41,8 +45,11 @@ WORDS, PERCENT = 5, 75
 PART_BYTES = 1_000_000  # bytes that are hashed at once
 SLICE_BYTES = 6_000_000  # bytes of the documents whose shingles are sorted and packed together
 LOW_BITS = 40  # of a hash within its bucket
-BLOCK = 2000  # sets that one task holds in trees
-NULL_DOC = (1 << 63) - 1  # stands for a null doc_id
+LEAST_BUCKETS, BUCKET_BYTES = 256, 256_000_000  # a bucket for so many bytes of text
+RANGE_ITEMS = 4_000_000  # shingles of a bucket that are counted together
+BLOCK, BLOCK_ITEMS = 2000, 1_000_000  # sets, and elements of sets, that one task holds in a tree
+SEGMENT = 32  # elements of a node of the tree
+ROW = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("named", "?")])  # what is known of a document but its text
 
 
 def _byte_classes() -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +119,7 @@ def _pack(slice_id: int, docs: np.ndarray, hashes: np.ndarray, owner: np.ndarray
     own[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[own], owner[own]
     sizes = np.bincount(owner, minlength=len(docs))
-    yield {"bucket": slice_id % buckets, "slice": slice_id, "docs": docs.astype("<i8").tobytes(), "sizes": sizes.astype("<i4").tobytes()}
+    yield {"bucket": slice_id % buckets, "slice": slice_id, "docs": docs.tobytes(), "sizes": sizes.astype("<i4").tobytes()}
     if not len(hashes):
         return
     bucket = (hashes >> np.uint64(LOW_BITS)).astype(np.int64)
@@ -143,14 +150,15 @@ def _scanner(buckets: int):
                     hashes.append(h)
                     owners.append((o + start).astype(np.int32))
                     start, held = k + 1, 0
-            rows = list(_pack(part << 32 | ordinal, np.array(docs, np.int64), np.concatenate(hashes), np.concatenate(owners), buckets))
-            ordinal += 1
+            # A slice goes by the number of its first row.
+            rows = list(_pack(part << 32 | ordinal, np.array(docs, ROW), np.concatenate(hashes), np.concatenate(owners), buckets))
+            ordinal += len(docs)
             return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
         for batch in batches:
             docs, texts, held = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append(doc)
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                docs.append((doc or 0, mark, doc is not None))
                 texts.append(text.as_buffer().to_pybytes())
                 held += len(texts[-1])
                 if held >= SLICE_BYTES:
@@ -182,8 +190,23 @@ def _count(batches):
     def work(bucket, rows):
         if not rows:
             return
-        owners = [_width(r[4], r[5]) for r in rows]
-        items = np.concatenate([np.frombuffer(r[5], "<u4").astype(np.uint64) | np.repeat(np.arange(256, dtype=np.uint64) << np.uint64(32), np.frombuffer(r[6], "<u4")) for r in rows])
+        # The rows' hashes are in order, so ranges of them by their high byte are slices; a range is at least one high byte's.
+        highs = np.array([np.frombuffer(r[6], "<u4") for r in rows], np.int64)
+        ends = np.cumsum(highs, axis=1)
+        total = np.cumsum(highs.sum(axis=0))
+        low = 0
+        while low < 256:
+            before = int(total[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(total, before + RANGE_ITEMS, side="right")))
+            if total[high - 1] > before:
+                cuts = [(int(e[low - 1]) if low else 0, int(e[high - 1])) for e in ends]
+                yield from count(bucket, rows, highs[:, low:high], low, cuts)
+            low = high
+
+    def count(bucket, rows, highs, low, cuts):
+        owners = [_width(r[4], r[5])[a:b] for r, (a, b) in zip(rows, cuts, strict=True)]
+        bytes_ = np.arange(low, low + highs.shape[1], dtype=np.uint64) << np.uint64(32)
+        items = np.concatenate([np.frombuffer(r[5], "<u4")[a:b].astype(np.uint64) | np.repeat(bytes_, own) for r, own, (a, b) in zip(rows, highs, cuts, strict=True)])
         which = np.repeat(np.arange(len(rows)), [len(o) for o in owners])
         order = np.argsort(items, kind="stable")
         head = np.ones(len(items), bool)
@@ -192,12 +215,13 @@ def _count(batches):
         spread = np.empty(len(items), np.int64)
         spread[order] = np.bincount(group)[group]
         again = spread > 1
+        # Counts only serve the order of elements, in which beyond 16 bits all are equally common.
         owner, which, items, spread = np.concatenate(owners)[again], which[again], items[again], np.minimum(spread[again], 0xFFFF)
-        cuts = np.searchsorted(which, np.arange(len(rows) + 1))
+        bounds = np.searchsorted(which, np.arange(len(rows) + 1))
         found = []
         for k, r in enumerate(rows):
-            own = slice(cuts[k], cuts[k + 1])
-            if cuts[k] < cuts[k + 1]:
+            own = slice(bounds[k], bounds[k + 1])
+            if bounds[k] < bounds[k + 1]:
                 packed = items[own]
                 found.append({"slice": r[1], "bucket": bucket, "owner": owner[own].astype("<u4").tobytes(), "item": packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), "spread": spread[own].astype("<u2").tobytes()})
         if found:
@@ -216,7 +240,7 @@ def _count(batches):
     yield from work(key, rows)
 
 
-SETS = "doc long, n int, items binary, spread binary, same string"
+SETS = "id long, doc_id long, mark long, n int, items binary, spread binary, same string"
 
 
 def _assemble(batches):
@@ -229,7 +253,7 @@ def _assemble(batches):
         if not rows:
             return
         head = next(r for r in rows if r[2] is not None)
-        docs, sizes = np.frombuffer(head[2], "<i8"), np.frombuffer(head[3], "<i4")
+        docs, sizes = np.frombuffer(head[2], ROW), np.frombuffer(head[3], "<i4")
         parts = [r for r in rows if r[2] is None]
         items_of, spread_of, same = [None] * len(docs), [None] * len(docs), [None] * len(docs)
         if parts:
@@ -254,9 +278,9 @@ def _assemble(batches):
                 items_of[k], spread_of[k] = items[own].tobytes(), spread[own].tobytes()
                 if held[k] == sizes[k]:
                     same[k] = hashlib.md5(items_of[k]).hexdigest()
-        yield pa.RecordBatch.from_pydict(
-            {"doc": pa.array(docs), "n": pa.array(sizes), "items": pa.array(items_of, pa.binary()), "spread": pa.array(spread_of, pa.binary()), "same": pa.array(same, pa.string())}
-        )
+        columns = {"id": head[0] + np.arange(len(docs)), "doc_id": pa.array(docs["doc"], mask=~docs["named"]), "mark": docs["mark"].copy()}
+        columns |= {"n": sizes, "items": pa.array(items_of, pa.binary()), "spread": pa.array(spread_of, pa.binary()), "same": pa.array(same, pa.string())}
+        yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
 
     key, rows = None, []
     for batch in batches:
@@ -268,131 +292,119 @@ def _assemble(batches):
     yield from work(rows)
 
 
-# --- 4: prefix trees ----------------------------------------------------------------------------------------------------
-
-
-class Links:
-    """Union-find over the sets of a task; the least place stands for its component."""
-
-    def __init__(self, n: int):
-        self.above = list(range(n))
-
-    def find(self, x: int) -> int:
-        above = self.above
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.above[max(a, b)] = min(a, b)
-
-
-class Node:
-    """Elements ``path[start:end]`` of one of the sets below, and what is known of all of them."""
-
-    __slots__ = ("path", "start", "end", "children", "sets", "roots", "least", "most", "rest")
-
-    def __init__(self, path, start, end, n, rest, root):
-        self.path, self.start, self.end = path, start, end
-        self.children: dict[int, Node] = {}
-        self.sets: list[int] | None = None  # those that end here
-        self.roots = [root]  # components of the sets below
-        self.least = self.most = n  # their sizes
-        self.rest = rest  # the most elements that a set has after the start of this path
+# --- 4: the prefix tree -------------------------------------------------------------------------------------------------
 
 
 class Tree:
-    """Prefix tree of ordered sets, with shared paths compressed."""
-
-    def __init__(self):
-        self.top: dict[int, Node] = {}
-
-    def add(self, items: np.ndarray, at: int, place: int, n: int, links: Links) -> None:
-        """Store the elements of a set from ``at`` on."""
-        children, end, root = self.top, len(items), links.find(place)
-        if at >= end:  # nothing follows: a path of no elements
-            key, at = -1, end
-        else:
-            key = int(items[at])
-        while True:
-            node = children.get(key)
-            if node is None:
-                children[key] = node = Node(items, at, end, n, end - at, root)
-                node.sets = [place]
-                return
-            if root not in node.roots:
-                node.roots.append(root)
-            node.least, node.most, node.rest = min(node.least, n), max(node.most, n), max(node.rest, end - at)
-            length = min(node.end - node.start, end - at)
-            differ = np.flatnonzero(node.path[node.start : node.start + length] != items[at : at + length])
-            common = int(differ[0]) if len(differ) else length
-            if common < node.end - node.start:  # split the path
-                lower = Node(node.path, node.start + common, node.end, 0, node.rest - common, root)
-                lower.children, lower.sets, lower.roots, lower.least, lower.most = node.children, node.sets, list(node.roots), node.least, node.most
-                node.children, node.sets, node.end = {int(lower.path[lower.start]): lower}, None, node.start + common
-            at += common
-            if at >= end:
-                node.sets = [*(node.sets or []), place]
-                return
-            children, key = node.children, int(items[at])
-
-    def links_of(self, items: np.ndarray, at: int, place: int, n: int, links: Links) -> None:
-        """Join ``place`` with every stored set that it links with and isn't joined to; the overlap so far is one element."""
-        stack = [(node, 1, at) for node in self.top.values()]
-        size = len(items)
-        while stack:
-            node, overlap, passed = stack.pop()
-            if 100 * node.most < PERCENT * n or 100 * n < PERCENT * node.least:
-                continue
-            root = links.find(place)
-            if len(node.roots) > 1 or node.roots[0] != root:
-                node.roots = list({links.find(r) for r in node.roots})
-            if node.roots == [root]:
-                continue
-            # Sizes below are at least these; what is left on both sides bounds the overlap.
-            least = max(node.least, -(-PERCENT * n // 100))
-            if overlap + min(node.rest, size - passed) < needed(least, n):
-                continue
-            part = node.path[node.start : node.end]
-            if len(part):
-                rest = items[passed:]
-                where = np.searchsorted(rest, part)
-                overlap += int(np.count_nonzero(rest[np.minimum(where, len(rest) - 1)] == part)) if len(rest) else 0
-                passed += int(np.searchsorted(rest, part[-1], side="right"))
-            if node.sets:
-                for other in node.sets:
-                    if overlap >= needed(self.sizes[other], n) and links.find(other) != links.find(place):
-                        links.join(other, place)
-            stack += [(child, overlap, passed) for child in node.children.values()]
-
-    sizes: list[int]
+    """Prefix tree of sets (ordered elements below ``universe``), as arrays of nodes, level by level; a node's children adjoin.
 
+    A node stands for the sets ``first`` to ``last`` (in the tree's order) and for up to SEGMENT elements that they share.
+    """
 
-def link_group(sets: list[np.ndarray], sizes: list[int], split: int | None = None) -> Links:
-    """Components of sets (ordered elements that other sets have too; sizes count the others as well).
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, universe: int):
+        own = np.array(sorted(range(len(sets)), key=lambda k: sets[k].astype(">i4").tobytes()), np.int64)
+        items = [sets[k] for k in own]
+        held = np.array([len(i) for i in items])
+        shared = [0, *(_common(a, b) for a, b in zip(items, items[1:], strict=False))]  # with the set before
+        nodes, path = [], []  # (first, last, depth of start, of end); elements
+        children = [(0, 0)]
+        cells = [(0, len(items), 0)]
+        at = 0
+        while at < len(cells):
+            first, last, depth = cells[at]
+            at += 1
+            begin = len(nodes)
+            while first < last and held[first] == depth:  # sets that end here
+                first += 1
+            while first < last:
+                to = first + 1
+                while to < last and shared[to] > depth:
+                    to += 1
+                end = min([depth + SEGMENT, int(held[first]), *shared[first + 1 : to]])
+                nodes.append((first, to, depth, end))
+                path.append(items[first][depth:end])
+                cells.append((first, to, end))
+                first = to
+            children.append((begin, len(nodes)))
+        self.sizes, self.universe = sizes[own], universe
+        self.own, self.place = own, np.argsort(own)
+        self.top = children[1]
+        self.child = np.array(children[2:], np.int64).reshape(-1, 2)
+        self.first, self.last, start, self.end = np.array(nodes, np.int64).reshape(-1, 4).T
+        self.path = np.full((len(nodes), SEGMENT), universe, np.int32)
+        for k, part in enumerate(path):
+            self.path[k, : len(part)] = part
+        self.final = self.path[np.arange(len(nodes)), self.end - start - 1] if nodes else np.zeros(0, np.int32)
+        self.rest = np.array([max(held[a:b]) for a, b in zip(self.first, self.last, strict=True)], np.int64) - start  # elements from the node on, at most
+        self.least = np.array([self.sizes[a:b].min() for a, b in zip(self.first, self.last, strict=True)], np.int64)
+        self.most = np.array([self.sizes[a:b].max() for a, b in zip(self.first, self.last, strict=True)], np.int64)
+        self.ends = np.array([np.searchsorted(held[a:b] > d, True) for a, b, d in zip(self.first, self.last, self.end, strict=True)], np.int64)
+        self.member = np.zeros(universe + 1, bool)
+
+    def linked(self, items: np.ndarray, n: int, labels: np.ndarray, label: int, done: int) -> np.ndarray:
+        """Places (in the tree's order, from ``done`` on) of the sets that a set links with; not all of those with its label."""
+        self.member[items] = True
+        change = np.cumsum(np.append(False, labels[1:] != labels[:-1]))  # equal at both ends of a stretch of one label
+        least_size = -(-PERCENT * n // 100)
+        nodes = np.arange(*self.top)
+        overlap = np.zeros(len(nodes), np.int64)
+        passed = np.zeros(len(nodes), np.int64)
+        found = []
+        while len(nodes):
+            first, last, least = self.first[nodes], self.last[nodes], self.least[nodes]
+            use = (last > done) & (100 * self.most[nodes] >= PERCENT * n) & (100 * n >= PERCENT * least)
+            use &= overlap + np.minimum(self.rest[nodes], len(items) - passed) >= needed(np.maximum(least, least_size), n)
+            use &= (labels[first] != label) | (change[first] != change[last - 1])
+            nodes, overlap = nodes[use], overlap[use]
+            if not len(nodes):
+                break
+            overlap = overlap + np.count_nonzero(self.member[self.path[nodes]], axis=1)
+            passed = np.searchsorted(items, self.final[nodes], side="right")
+            ending = np.flatnonzero(self.ends[nodes])
+            if len(ending):
+                count = self.ends[nodes[ending]]
+                sets = np.repeat(self.first[nodes[ending]], count) + _steps(count)
+                links = np.repeat(overlap[ending], count) >= needed(self.sizes[sets], n)
+                found.append(sets[links])
+            begin, count = self.child[nodes, 0], self.child[nodes, 1] - self.child[nodes, 0]
+            nodes, overlap, passed = np.repeat(begin, count) + _steps(count), np.repeat(overlap, count), np.repeat(passed, count)
+        self.member[items] = False
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of leading elements that are equal."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def _steps(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count, one after the other."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def link_group(sets: list[np.ndarray], sizes: list[int], split: int | None = None) -> np.ndarray:
+    """Components of sets (ordered elements that other sets have too; sizes count the others as well), by their least place.
 
     With ``split``, only links between the first ``split`` sets and the rest are asked for.
     """
-    links = Links(len(sets))
-    forest: dict[int, Tree] = {}
-    order = sorted(range(len(sets)), key=lambda k: (split is not None and k >= split, sizes[k], k))
-    for k in order:
-        items, n = sets[k], sizes[k]
-        first = items[: max(0, prefix_size(n) - (n - len(items)))].tolist()
-        if split is None or k >= split:
-            for at, item in enumerate(first):
-                if item in forest:
-                    forest[item].links_of(items, at + 1, k, n, links)
-        if split is None or k < split:
-            for at, item in enumerate(first):
-                tree = forest.get(item)
-                if tree is None:
-                    forest[item] = tree = Tree()
-                    tree.sizes = sizes
-                tree.add(items, at + 1, k, n, links)
-    return links
+    sizes = np.array(sizes, np.int64)
+    stored = len(sets) if split is None else split
+    tree = Tree(sets[:stored], sizes[:stored], 1 + max((int(s[-1]) for s in sets if len(s)), default=0))
+    # Labels of the stored sets, in the tree's order, and of the others.
+    labels = np.arange(len(sets))
+    for k in tree.own if split is None else range(split, len(sets)):
+        place = int(tree.place[k]) if split is None else k
+        found = tree.linked(sets[k], int(sizes[k]), labels[:stored], labels[place], place + 1 if split is None else 0)
+        if len(found):
+            labels[np.isin(labels, labels[found])] = labels[place]
+    own = np.concatenate([tree.own, np.arange(stored, len(sets))])
+    least = np.full(len(sets), len(sets))
+    np.minimum.at(least, labels, own)
+    out = np.empty(len(sets), np.int64)
+    out[own] = least[labels]
+    return out
 
 
 def _link(batches):
@@ -415,7 +427,7 @@ def _link(batches):
         sets = [rank[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         sides = [r[1] for r in rows]
         links = link_group(sets, [r[3] for r in rows], sides.index(1) if 1 in sides else None)
-        pairs = [(rows[k][2], rows[links.find(k)][2]) for k in range(len(rows)) if links.find(k) != k]
+        pairs = [(rows[k][2], rows[least][2]) for k, least in enumerate(links.tolist()) if least != k]
         if pairs:
             yield pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -477,66 +489,88 @@ def _meet(batches):
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc, n, items, spread, same: a row per document (null doc_id as NULL_DOC)."""
+    """id, doc_id, mark (hash of the text), n, items, spread, same: a row per row, numbered."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), text_or_empty().alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("mark"), text_or_empty().alias("text"))
+    held = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // BUCKET_BYTES))
     packed = plain.mapInArrow(_scanner(buckets), PACKED)
     counted = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, BACK)
     return counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(_assemble, SETS)
 
 
 def components_of(sets: DataFrame) -> DataFrame:
-    """doc, component of the documents that link with another."""
+    """id, rep, component of the rows that may link with others: ids of the least row of equal sets and of a linked one."""
     live = sets.where("items is not null")
-    least = live.where("same is not null").groupBy("same").agg(F.min("doc").alias("rep"))
-    member = live.select("doc", "same").join(least, "same", "left").select("doc", F.coalesce("rep", "doc").alias("rep"))
+    rows = live.count()
+    least = live.where("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"))
+    alone = live.where("same is null").select("id", F.col("id").alias("rep"))
+    member = join_hot(live.where("same is not null").select("id", "same"), least, "same", "k", rows).select("id", "rep").union(alone)
     member = materialise(member, "ngram-members")
-    copies = member.where("doc <> rep").distinct()
+    copies = member.where("id <> rep")
 
-    posted = live.select("doc", "n", "items").mapInArrow(_prefixes, "item long, doc long, hub long")
+    posted = live.select("id", "n", "items").mapInArrow(_prefixes, "item long, doc long, hub long")
     stars = posted.repartition("item").sortWithinPartitions("item", "doc").mapInArrow(_meet, "u long, v long").distinct()
     # A copy has the stars of its representative, which shares its items, so its own are left out. It may be a hub, though: the
     # least of its batch, when its representative is in another one. Its representative then is the hub.
-    stars = stars.join(copies.select(F.col("doc").alias("u")), "u", "left_anti")
-    stars = stars.join(copies.select(F.col("doc").alias("v"), "rep"), "v", "left").select("u", F.coalesce("rep", "v").alias("v"))
+    stars = stars.join(copies.select(F.col("id").alias("u")), "u", "left_anti")
+    hubs = stars.groupBy("v").agg(F.count(F.lit(1)).alias("k")).join(copies.select(F.col("id").alias("v"), "rep"), "v")
+    stars = join_hot(stars, hubs, "v", "k", rows).select("u", F.coalesce("rep", "v").alias("v"))
     groups = materialise(connected_components(stars), "ngram-groups")
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
-    sized = groups.join(sizes, "component").select(F.col("node").alias("doc"), "component", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    weighed = groups.join(live.select(F.col("id").alias("node"), (F.octet_length("items") / 8).alias("w")), "node")
+    sizes = groups_of(weighed)
+    sized = join_hot(groups, sizes, "component", "k", rows).select(F.col("node").alias("id"), "component", "blocks")
     # Block i meets itself, the later blocks (side 0) and the earlier ones (side 1).
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), (j < F.col("block")).cast("int").alias("side")))
-    dealt = sized.withColumn("block", block).select("doc", "component", F.explode(tasks).alias("t"))
-    dealt = dealt.select("doc", F.concat_ws("/", "component", "t.i", "t.j").alias("task"), F.col("t.side").alias("side"))
-    rows = dealt.hint("merge").join(live.select("doc", "n", "items", "spread"), "doc").select("task", "side", "doc", "n", "items", "spread")
-    links = materialise(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "u long, v long"), "ngram-links")
+    dealt = sized.withColumn("block", block).select("id", "component", F.explode(tasks).alias("t"))
+    dealt = dealt.select("id", F.concat_ws("/", "component", "t.i", "t.j").alias("task"), F.col("t.side").alias("side"))
+    shipped = dealt.hint("merge").join(live.select("id", "n", "items", "spread"), "id").select("task", "side", "id", "n", "items", "spread")
+    links = materialise(shipped.repartition("task").sortWithinPartitions("task").mapInArrow(_link, "u long, v long"), "ngram-links")
 
     joined = connected_components(links)
-    # A component's id is the least doc_id of all members, of equal sets too: representatives are the least of theirs.
-    labelled = member.join(joined, member["rep"] == joined["node"], "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    return labelled.dropDuplicates(["doc"])
+    copied = member.groupBy("rep").agg(F.count(F.lit(1)).alias("k"))
+    labels = copied.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "k", F.coalesce("component", "rep").alias("component"))
+    return join_hot(member, labels, "rep", "k", rows).select("id", "rep", "component")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of the input."""
+def groups_of(weighed: DataFrame) -> DataFrame:
+    """component, k (sets), blocks that it is dealt into."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("w") / BLOCK_ITEMS)).cast("int")
+    return weighed.groupBy("component").agg(F.count(F.lit(1)).alias("k"), blocks.alias("blocks"))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, mark, n, best (unnamed, doc_id, mark: the least row of the component): a row per row of the input."""
     sets = materialise(sets_of(docs), "ngram-documents")
     gc.collect()
     release(docs.sparkSession)
-    found = components_of(sets)
-    every = sets.select("doc", "n").join(found, "doc", "left")
-    doc = F.when(F.col("doc") != NULL_DOC, F.col("doc"))
-    own = F.coalesce("component", "doc")
-    return every.select(doc.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(own != NULL_DOC, own).alias("component_id"))
+    found = materialise(components_of(sets), "ngram-components").select("id", "component")
+    own = sets.select("id", "doc_id", "mark", "n", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark").alias("own"))
+    linked = own.join(found, "id")
+    least = linked.groupBy("component").agg(F.min("own").alias("best"), F.count(F.lit(1)).alias("k"))
+    linked = join_hot(linked, least, "component", "k", found.count()).select("doc_id", "mark", "n", "best")
+    alone = own.join(found, "id", "left_anti").select("doc_id", "mark", "n", F.col("own").alias("best"))
+    return linked.union(alone)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of the input."""
+    return labelled(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("best.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, whose doc_id is the least of their component, once each; rows of null doc_id go through."""
-    found = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
+    """Of each component the row of least doc_id (and, among such or without one, of least text hash), with all its columns, once."""
+    names = fresh_names(docs.columns, "doc", "mark", "kept_doc", "kept_mark")
+    doc, mark, kept_doc, kept_mark = (names[n] for n in ("doc", "mark", "kept_doc", "kept_mark"))
+    of = lambda column: F.struct(column.isNull().alias("none"), F.coalesce(column, F.lit(0)).alias("id"))
+    found = labelled(docs).where("doc_id <=> best.doc_id and mark = best.mark").select(of(F.col("doc_id")).alias(kept_doc), F.col("mark").alias(kept_mark))
     found = materialise(found, "ngram-kept")
     release(docs.sparkSession)  # what led to the ids isn't needed beside the shuffle of the texts
-    named = docs.where(docs["doc_id"].isNotNull()).join(found, docs["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+    keyed = docs.withColumns({doc: of(F.col("doc_id").cast("long")), mark: F.xxhash64(text_or_empty())})
+    kept = keyed.join(found, (F.col(doc) == F.col(kept_doc)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
+    return kept.dropDuplicates([doc, mark]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
