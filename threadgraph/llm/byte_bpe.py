@@ -7,6 +7,12 @@ when no pair of it is in the table. A recursion runs at most ``ROUNDS`` steps be
 starts from there, so what is kept for long words stays bounded. Decoding joins the ids of each document with the
 vocabulary and concatenates their bytes by an ordered aggregation.
 
+A piece of more than ``LONG`` bytes is put together from parts of that size, so that no recursion sees a long word. Tokens side by
+side are the encoding of their bytes exactly if every two neighbours are the encoding of theirs: contractions within the two
+happen in the same order as in the whole, so the first one to cross their border in the whole would do so in the pair. Where two
+parts meet in a pair that isn't, the tokens around the border are encoded anew, more of them to either side until both ends are
+such pairs again.
+
 The task has no shuffle, no state beyond a bounded memo of words, and can be rerun on any executor.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and both digests are those of no bytes; texts of
@@ -27,8 +33,10 @@ from .common import table, text_or_empty
 
 ROUNDS = 24  # steps of one recursion
 SLICE_CHARS = 1_500_000  # text that a slice holds, but for a longer document, which is a slice of its own
-FRESH_BYTES = 1_000_000  # bytes of new words that one seed holds
+FRESH_BYTES = 500_000  # bytes of new words that one seed holds
 MEMO_WORDS = 250_000  # words in each of the two generations that a worker remembers
+LONG = 512  # bytes of a word from which on it is put together from parts
+BORDER = 6  # tokens to either side of a border that are encoded anew at first
 DECODE_TOKENS = 400_000  # rows of one decoding query
 
 CONTRACT = f"""
@@ -65,6 +73,7 @@ class Codec:
         import regex
 
         self.ranks = parse_ranks(data)
+        self.tokens = {m: t for t, m in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.memo: dict[str, bytes] = {}
@@ -99,26 +108,89 @@ class Codec:
             seed = out.filter(pa.array(n >= ROUNDS)).select(["w", "toks"])
         return done
 
-    def learn(self, fresh: list[str]) -> None:
-        known, words, held = self.ranks, [], 0
-        pending: list[str] = []
+    def words(self, wanted: list[bytes], lookup: bool = True) -> list[bytes]:
+        """Ids of each short word: contracted, ``FRESH_BYTES`` of words at a time; with ``lookup``, those of the vocabulary are one id."""
+        out: list[bytes] = []
+        pending: list[bytes] = []
+        place: list[int] = []
+        held = 0
 
         def flush():
-            self.memo.update(zip(pending, self.contract(words), strict=True))
-
-        for piece in fresh:
-            raw = piece.encode()
-            if (whole := known.get(raw)) is not None:
-                self.memo[piece] = whole.to_bytes(4, "little")
-                continue
-            pending.append(piece)
-            words.append(raw)
-            held += len(raw)
-            if held >= FRESH_BYTES:
-                flush()
-                pending, words, held = [], [], 0
-        if words:
+            for k, ids in zip(place, self.contract(pending), strict=True):
+                out[k] = ids
+
+        for word in wanted:
+            whole = self.ranks.get(word) if lookup else None
+            out.append(b"" if whole is None else whole.to_bytes(4, "little"))
+            if whole is None and word:
+                place.append(len(out) - 1)
+                pending.append(word)
+                held += len(word)
+                if held >= FRESH_BYTES:
+                    flush()
+                    pending, place, held = [], [], 0
+        if pending:
             flush()
+        return out
+
+    def long_word(self, raw: bytes) -> bytes:
+        """Ids of a word of any length, by its parts."""
+        import numpy as np
+
+        known: dict[bytes, list[int]] = {}
+
+        def learn(strings):
+            fresh = sorted({x for x in strings if x not in known})
+            known.update(zip(fresh, (np.frombuffer(ids, "<u4").tolist() for ids in self.words(fresh, lookup=False)), strict=True))
+
+        def bytes_of(ids):
+            return b"".join(map(self.tokens.__getitem__, ids))
+
+        def pair(a, b):  # whether two tokens side by side stay as they are
+            both = bytes_of((a, b))
+            learn([both])
+            return known[both] == [a, b]
+
+        cuts = [raw[k : k + LONG] for k in range(0, len(raw), LONG)]
+        learn(cuts)
+        parts = [known[x] for x in cuts]
+        # What most borders need, in three queries: their pairs; where these aren't encodings, the tokens around; their ends' pairs.
+        borders = list(zip(parts, parts[1:], strict=False))
+        learn(bytes_of((a[-1], b[0])) for a, b in borders)
+        borders = [(a, b) for a, b in borders if not pair(a[-1], b[0])]
+        learn(bytes_of(a[-BORDER:] + b[:BORDER]) for a, b in borders)
+        middles = [known[bytes_of(a[-BORDER:] + b[:BORDER])] for a, b in borders]
+        learn(bytes_of((a[-BORDER - 1], m[0])) for (a, _), m in zip(borders, middles, strict=True) if len(a) > BORDER)
+        learn(bytes_of((m[-1], b[BORDER])) for (_, b), m in zip(borders, middles, strict=True) if len(b) > BORDER)
+        done = list(parts[0])
+        for part in parts[1:]:
+            rest = part
+            while rest and not pair(done[-1], rest[0]):
+                left = right = BORDER
+                while True:
+                    right = min(right, len(rest))
+                    around = bytes_of(done[-left:] + rest[:right])
+                    learn([around])
+                    middle = known[around]
+                    if left < len(done) and not pair(done[-left - 1], middle[0]):
+                        left *= 2
+                    elif right < len(rest) and right < 8 * BORDER and not pair(middle[-1], rest[right]):
+                        right *= 2
+                    else:
+                        break
+                # On the right the ends may still differ: the border then has moved on.
+                del done[-left:]
+                done += middle
+                rest = rest[right:]
+            done += rest
+        return np.array(done, "<u4").tobytes()
+
+    def learn(self, fresh: list[str]) -> None:
+        short = [x for x in fresh if len(x) <= LONG and len(x.encode()) <= LONG]
+        self.memo.update(zip(short, self.words([x.encode() for x in short]), strict=True))
+        for piece in set(fresh).difference(short):
+            whole = self.ranks.get(piece.encode())
+            self.memo[piece] = self.long_word(piece.encode()) if whole is None else whole.to_bytes(4, "little")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
