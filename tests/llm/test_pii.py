@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from threadgraph.llm import pii
 
@@ -55,32 +56,81 @@ def test_query_columns(spark, tmp_path, docs_of, texts):
     for r in pii.query(spark, str(tmp_path)).collect():
         want = base(texts[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in pii.KINDS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in pii.KINDS[:4]]
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) >= len(want)
 
 
-def test_model_adds_other_forms_and_leaves_clean_texts(docs_of):
-    seen = ["write to a.b@c.org now", "host 10.0.0.1 up", "card 4111 1111 1111 1111 ok", "card 4111 1111 1111 1112 no", "call +1 (555) 010-9999 now", "call +1 2 now", "999.1.1.1"] * 30
-    extra = ["mail jo [at] site [dot] org please", "host 10[.]0[.]0[.]1", "card 4111.1111.1111.1111", "phone (555) 010-9999 today", "card 4111.1111.1111.1112"]
-    clean = ["just 5 words and 12 numbers", "section 1.2.3 of 2024", "at 10:30 (at) noon"]
+@pytest.fixture(scope="module")
+def model(spark):
+    return pii.fit(spark)
+
+
+def test_model_adds_other_forms_and_leaves_clean_texts(docs_of, model):
+    seen = ["write to a.b@c.org now", "card 4111 1111 1111 1112 no", "call +1 (555) 010-9999 now", "call +1 2 now", "999.1.1.1"]
+    extra = ["mail jo [at] site [dot] org please", "host 10[.]0[.]0[.]1", "card 4111.1111.1111.1111", "phone (555) 010-9999 today", 'token = "04dbebab91ab85687d33eeaaf9ac699e11883344"']
+    clean = ["just 5 words and 12 numbers", "section 1.2.3 of 2024", "at 10:30 (at) noon", "order 4111.1111.1111.1112", "part 555-010-9999 in stock", "token = required", "number 9807915762804491 there", "look at it. dot the i"]
     docs = docs_of([*seen, *extra, *clean])
-    out = {r.doc_id: [pii.KINDS[c.kind] for c in r.spans] for r in pii.find(docs).collect()}
-    assert [out[len(seen) + k] for k in range(5)] == [["email"], ["ip"], ["card"], ["phone"], []]
-    assert all(not out[len(seen) + 5 + k] for k in range(3))
-    text = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert text[0] == "write to [email] now" and text[4] == "call [phone] now" and text[len(seen)] == "mail [email] please"
+    out = {r.doc_id: [pii.KINDS[c.kind] for c in r.spans] for r in pii.find(docs, model).collect()}
+    assert [out[k] for k in range(5)] == [["email"], [], ["phone"], [], []]
+    assert [out[len(seen) + k] for k in range(5)] == [["email"], ["ip"], ["card"], ["phone"], ["secret"]]
+    assert [out[len(seen) + 5 + k] for k in range(len(clean))] == [[]] * len(clean)
+    text = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    assert text[0] == "write to [email] now" and text[2] == "call [phone] now" and text[len(seen)] == "mail [email] please"
+
+
+def test_recall_and_precision_on_plants_not_seen(spark, model):
+    held = pii.labelled_candidates(pii.plants(spark, 6000, seed=99))
+    scored = held.withColumn("base_span", F.col("base") & (F.col("valid") == 1)).withColumn("accepted", model.accepts(F.struct(*pii.FEATURES)))
+    rows = scored.select("doc_id", "_kind", "_personal", "kind", "valid", "base", "base_span", "accepted", "positive").collect()
+    rest = [r for r in rows if not r.base_span]
+    for k, kind in enumerate(pii.KINDS):
+        # A planted item is found if any of its candidates is; of the forms that no base rule reads, the model has to find them.
+        items = {r.doc_id for r in rows if r._kind == k and r._personal}
+        found = {r.doc_id for r in rows if r.positive and (r.base_span or r.accepted) and r.kind == k}
+        hard = items - {r.doc_id for r in rows if r.positive and r.base_span and r.kind == k}
+        right = [bool(r.positive) for r in rest if r.accepted and r.kind == k]
+        print(kind, "recall", len(found) / len(items), "without base forms", len(found & hard) / len(hard), "precision", sum(right) / len(right))
+        assert len(found) >= 0.95 * len(items) and len(found & hard) >= 0.9 * len(hard) and sum(right) >= 0.9 * len(right)
+        share = len({r.doc_id for r in rest if r.kind == k and r._kind == k}) / len({r.doc_id for r in rows if r._kind == k})
+        assert share > 0.2
+    # What decides is not the check: candidates that pass theirs are turned down, in numbers.
+    assert sum(bool(r.valid) and not r.accepted for r in rest) > 100
+    assert model.trees and len({t.feature for t in model.trees}) > 1
+
+
+def test_every_plant_is_proposed_and_as_it_says(spark):
+    rows = pii.plants(spark, 3000, seed=5).collect()
+    found = {(r.doc_id, r.kind) for r in pii.labelled_candidates(pii.plants(spark, 3000, seed=5)).collect() if r.positive}
+    for r in rows:
+        assert 0 < r.s < r.e <= len(r.text)
+        assert not r.personal or (r.doc_id, r.kind) in found, r.text
+    assert {(r.kind, r.personal) for r in rows} == {(k, p) for k in range(5) for p in (0, 1)}
+
+
+def test_rows_without_or_with_shared_ids_keep_their_own_spans(spark, model):
+    rows = [(None, "write a@b.cd x", 1), (None, "nothing", 2), (7, "host 1.2.3.4", 3), (7, "call +1 (555) 010-9999 or a@b.cd", 4), (7, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found int").withColumn("_text", F.lit(1)).withColumn("spans", F.lit("x"))
+    assert sorted(r.text for r in pii.redact(docs, model).collect()) == sorted(["write [email] x", "nothing", "host [ip]", "call [phone] or [email]", ""])
+    assert sorted(len(r.spans) for r in pii.find(docs, model).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_many_matches_and_a_long_text(docs_of, model):
+    texts = ["a@b.cd " * 3001, "1.2.3.4 " * 101, ("x" * 999 + " ") * 2000 + "a@b.cd"]
+    out = {r.doc_id: r for r in pii.find(docs_of(texts), model).collect()}
+    for k, text in enumerate(texts):
+        assert [(pii.KINDS[c.kind], c.s, c.e) for c in out[k].base] == base(text)
 
 
 def test_trees_column_equals_value(spark):
-    counts = [{"kind": 0, "digits": d, "groups": g, "valid": v, "before": 0, "after": a, "cue": 0, "n": 10, "positive": 10 * (v and d > 2)} for d in range(6) for g in range(4) for v in range(2) for a in range(2)]
+    rest = {"before": 0, "cue": 0, "marks": 0, "length": 0, "kind": 0}
+    counts = [{**rest, "digits": d, "groups": g, "valid": v, "after": a, "n": 10, "positive": 10 * (v and d > 2)} for d in range(6) for g in range(4) for v in range(2) for a in range(2)]
     start, trees = pii.boost(counts)
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([{k: r[k] for k in pii.FEATURES} for r in counts]).select(F.struct(*pii.FEATURES).alias("c"))
     for r in df.select("c", sum((t.column(F.col("c")) for t in trees), F.lit(start)).alias("s")).collect():
         want = start + sum(t.value(r.c.asDict()) for t in trees)
         assert r.s == pytest.approx(want) and (want > 0) == bool(r.c.valid and r.c.digits > 2)
 
 
-def test_empty(docs_of):
-    assert pii.find(docs_of(["x"]).where("false")).count() == 0
-    assert [r.spans for r in pii.find(docs_of([None, "", "nothing"])).collect()] == [[], [], []]
+def test_empty(docs_of, model):
+    assert pii.find(docs_of(["x"]).where("false"), model).count() == 0
+    assert [r.spans for r in pii.find(docs_of([None, "", "nothing"]), model).collect()] == [[], [], []]
