@@ -1,7 +1,10 @@
 import random
+import re
+import struct
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from threadgraph.llm import mixing
 
@@ -96,3 +99,88 @@ def test_more_sources_than_the_driver_rakes(spark):
     assert mass[f"s{n - 1}"] == pytest.approx(0.2 / 0.9, rel=1e-6) and mass["s8"] == 0
     kept = mixing.sampled(docs, targets, budget=0.5)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in out if r.sampled)
+
+
+def plain_topic(text):
+    if "@" in text:
+        return "contact"
+    if re.search("licen[sc]e|copyright", text, re.IGNORECASE):
+        return "licence"
+    if " | " in text:
+        return "table"
+    return "shouting" if "!!" in text else "note" if len(text) < 600 else "prose"
+
+
+def plain_mix(rows, targets, temperature, budget, seed):
+    """Plain raking and sampling: weights and probabilities by document."""
+    cell_of = {}
+    tokens = {}
+    for k, (_, text, lang, source) in enumerate(rows):
+        cell_of[k] = ("(null)" if source is None else source, "(null)" if lang is None else lang, plain_topic(text or ""))
+        tokens[k] = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    cells = sorted(set(cell_of.values()))
+    n = {c: sum(tokens[k] for k in tokens if cell_of[k] == c) for c in cells}
+    total = sum(n.values())
+    table = {c: n[c] / total for c in cells}
+    wanted = []
+    for axis, name in enumerate(mixing.AXES):
+        sums = {}
+        for c in cells:
+            sums[c[axis]] = sums.get(c[axis], 0) + n[c]
+        raw = {v: s**temperature for v, s in sums.items() if s} if name not in targets else {v: t for v, t in targets[name].items() if sums.get(v)}
+        wanted.append({v: t / sum(raw.values()) for v, t in raw.items()})
+    for _ in range(3000):
+        for axis in range(3):
+            for v in {c[axis] for c in cells}:
+                held = sum(table[c] for c in cells if c[axis] == v)
+                for c in cells:
+                    if c[axis] == v and held:
+                        table[c] *= wanted[axis].get(v, 0) / held
+    # The scale at which capped probabilities take the budget, by bisection.
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        scale = (low + high) / 2
+        taken = sum(min(n[c], scale * table[c] * total) for c in cells)
+        low, high = (scale, high) if taken < budget * total else (low, scale)
+    out = []
+    for k, row in enumerate(rows):
+        c = cell_of[k]
+        p = min(1.0, low * table[c] * total / n[c]) if n[c] else 1.0
+        h = 42
+        if row[0] is not None:
+            h = xxhash.xxh64(struct.pack("<q", row[0]), seed=h).intdigest()
+        h = xxhash.xxh64(struct.pack("<i", seed), seed=h).intdigest()
+        out.append((row[0], tokens[k], *c, table[c] * total / n[c] if n[c] else 1.0, p, (h >> 11) / 2**53 < p))
+    return out
+
+
+def test_against_plain_raking_and_sampling(spark):
+    rng = random.Random(21)
+    extras = ["", " write a@b.cd", " | cell", " Copyright 2001", " wow!!", " word" * 200]
+    rows = [(k, words(rng, rng.randint(0, 30)) + rng.choice(extras), rng.choice(["en", "en", "de", "fr", None, "(null)"]), rng.choice(["big"] * 6 + ["s1", "s2", "(other)", None])) for k in range(700)]
+    rows += [(None, "a b c", "en", "big"), (3, None, None, None), (3, None, None, None), (701, "", "it", "s9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {"en": 0.4, "de": 0.3, "fr": 0.2, "(null)": 0.1, "xx": 0.5}}
+    want = plain_mix(rows, targets, 0.5, 0.4, 17)
+    key = lambda r: (r[0] is not None, r[0] or 0, *map(str, r[1:5]))
+    got = sorted((tuple(r) for r in mixing.mix(docs, targets, budget=0.4).select("doc_id", "n_tokens", "source", "lang", "topic", "weight", "probability", "sampled").collect()), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-6, abs=1e-9) and a[6] == pytest.approx(b[6], rel=1e-6, abs=1e-9) and a[7] == b[7]
+    assert 100 < sum(r[7] for r in got) < 600
+
+
+def test_targets_that_cannot_be_met_warn():
+    cells = {("a", "p", "m"): 5.0, ("b", "q", "m"): 5.0}
+    with pytest.warns(UserWarning, match="did not settle"):
+        share = mixing.rake(cells, [{"a": 0.2, "b": 0.8}, {"p": 0.7, "q": 0.3}, {"m": 1.0}])
+    assert sum(share.values()) == pytest.approx(1)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    rows = [(k, words(random.Random(k), 20), "en", f"s{k % 3}", "q", "r", 7, True) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _source string, __mix_lang string, _of_probability int, probability boolean")
+    kept = mixing.sampled(docs, budget=0.5)
+    assert kept.columns == docs.columns
+    out = {tuple(r) for r in kept.collect()}
+    assert out and out < set(rows)
+    assert sorted(r[0] for r in out) == sorted(r.doc_id for r in mixing.mix(docs, budget=0.5).collect() if r.sampled)

@@ -10,21 +10,25 @@ categories gain). Every category of an axis is raked by its own target, however
 driver rakes the cells, which are then few enough to be broadcast; with more on any axis, cells and factors are tables that are
 joined by axis in each round, and only totals come to the driver.
 
-Defined results: null source, language or text count as ``(null)``, ``(null)`` and empty; a document without tokens has the
-probability of its cell, and a cell without tokens has probability 1; targets of categories that no document has are spread
+A corpus may have no way to meet all targets (a category that occurs only together with another one, say). Raking then goes on
+for ``ROUNDS`` rounds, takes the shares of the last one, in which the topics' targets hold, and warns.
+
+Defined results: null source, language or text count as categories named ``(null)`` and as empty; a document without tokens has
+the probability of its cell, and a cell without tokens has probability 1; targets of categories that no document has are spread
 over the others in proportion; repeated rows of a doc_id share their fate; a null doc_id is hashed like any value; an empty
-table gives an empty result.
+table gives an empty result; further columns are ignored by ``mix``, and kept by ``sampled``, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise, table, text_or_empty
+from .common import WORD_PATTERN, fresh_names, materialise, table, text_or_empty
 
 MAX_NAMES = {"source": 200, "lang": 50, "topic": 8}  # that the driver rakes: 80 k cells at most
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -74,14 +78,22 @@ def rake(cells: dict[tuple, float], targets: list[dict]) -> dict[tuple, float]:
                 sums[c[axis]] += v
             for c in share:
                 now = sums[c[axis]]
-                factor = target.get(c[axis], 0.0) / now if now else 0.0
+                if not now:  # a target of 0 was met
+                    continue
+                factor = target.get(c[axis], 0.0) / now
                 worst = max(worst, abs(factor - 1))
                 share[c] *= factor
         if worst < TOLERANCE:
             break
+    else:
+        _warn(worst)
     return share
 
 
+def _warn(worst: float) -> None:
+    warnings.warn(f"raking did not settle in {ROUNDS} rounds: a factor is still off by {worst:.2g}", stacklevel=2)
+
+
 def probabilities(cells: dict[tuple, float], share: dict[tuple, float], budget: float) -> dict[tuple, float]:
     """Inclusion probability of each cell: in proportion to share / tokens, at most 1, and ``budget`` of the tokens expected."""
     total = sum(cells.values())
@@ -137,7 +149,8 @@ def _target_table(full: DataFrame, axis: str, given: dict | None, temperature: f
     if given is None:
         valued = seen.withColumn("v", F.col("tempered"))
     else:
-        rows = full.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{axis} string, given double")
+        known = json.dumps([{axis: k, "given": float(v)} for k, v in given.items()])
+        rows = full.sparkSession.range(1).select(F.inline(F.from_json(F.lit(known), f"array<struct<{axis}:string,given:double>>")))
         seen = seen.join(rows, axis, "left")
         whole = seen.where("given is null").agg(F.sum("tempered")).first()[0]
         rest = max(0.0, 1 - sum(given.values()))
@@ -167,6 +180,8 @@ def _raked_apart(sums: DataFrame, targets: dict[str, dict], temperature: float,
         now = now.drop("worst")
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        _warn(worst)
     # Cells are full in the order of share / n, so the scale tells which ones are; it grows until no further one is full.
     scale, left = 0.0, None
     while True:
@@ -196,10 +211,10 @@ def _looked_up(rows: DataFrame, lookup: DataFrame, columns: dict[str, str]) -> D
     return rows.join(lookup, keys[0] & keys[1] & keys[2], "left")
 
 
-def _drawn(seed: int) -> Column:
+def _drawn(seed: int, probability: str = "probability") -> Column:
     """Whether a row is in the sample: 53 bits of a hash, as a number from 0 to 1, against its probability."""
     uniform = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return uniform < F.col("probability")
+    return uniform < F.col(probability)
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
@@ -212,10 +227,13 @@ def mix(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17,
 def sampled(docs: DataFrame, targets: dict[str, dict] | None = None, seed: int = 17, **options) -> DataFrame:
     """The documents that were sampled, with all their columns; with few categories nothing is shuffled for it but the sums by cell."""
     lookup = calibrated(docs, targets, **options)
-    own = {"source": F.coalesce(F.col("source").cast("string"), F.lit("(null)")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("(null)")), "topic": topic(text_or_empty())}
-    rows = docs.withColumns({f"__mix_{a}": c for a, c in own.items()}).withColumnsRenamed({n: f"__kept_{n}" for n in ("weight", "probability") if n in docs.columns})
-    joined = _looked_up(rows, lookup, {a: f"__mix_{a}" for a in AXES}).where(_drawn(seed))
-    return joined.select(*[F.col(f"__kept_{n}").alias(n) if n in ("weight", "probability") else F.col(n) for n in docs.columns])
+    names = fresh_names(docs.columns, *AXES, *[f"of_{n}" for n in lookup.columns])
+    own = {a: F.coalesce(F.col(a).cast("string"), F.lit("(null)")) for a in ("source", "lang")} | {"topic": topic(text_or_empty())}
+    rows = docs.withColumns({names[a]: c for a, c in own.items()})
+    known = lookup.toDF(*[names[f"of_{n}"] for n in lookup.columns])
+    keys = [F.col(names[a]) == F.col(names[f"of__{a}"]) for a in AXES]
+    joined = rows.join(known, keys[0] & keys[1] & keys[2], "left")
+    return joined.where(_drawn(seed, names["of_probability"])).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Quality classifier: random Fourier features over document statistics, ridge regression and isotonic calibration.
 
-Fitting uses at most ``MAX_LABELLED`` labelled rows, picked by a hash of their doc_id (the one bounded sample here). Their
+Fitting uses at most ``MAX_LABELLED`` labelled rows, picked by a hash of their doc_id (the one bounded sample here, whatever ids repeat). Their
 statistics go to a table in the shared folder; each partition sums its part of the normal equations, the driver adds the sums,
 solves them, and calibrates the scores of the rows set aside for that by pooling adjacent violators. Scoring is one pass over all
 texts without a shuffle.
@@ -157,7 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int =
             x = _statistics_of(batch.column(1))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "y": batch.column(2), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
-    known = materialise(joined.mapInArrow(run, "id long, y double, x array<double>"), "quality-labelled")
+    # Documents may repeat a doc_id, so the bound is set again on what was joined.
+    described = joined.mapInArrow(run, "id long, y double, x array<double>")
+    known = materialise(described.orderBy(F.xxhash64("id"), "id", "y", "x").limit(MAX_LABELLED), "quality-labelled")
     known = known.withColumn("calibrates", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(CALIBRATION_SHARE)) == 0)
     rng = np.random.default_rng(seed)
     moments = _summed(known, ["x", "y"], lambda x, y: [np.array(float(len(x))), x.sum(0), (x * x).sum(0)])
