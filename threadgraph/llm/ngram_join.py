@@ -47,7 +47,7 @@ SLICE_BYTES = 6_000_000  # bytes of the documents whose shingles are sorted and
 LOW_BITS = 40  # of a hash within its bucket
 LEAST_BUCKETS, BUCKET_BYTES = 256, 256_000_000  # a bucket for so many bytes of text
 RANGE_ITEMS = 4_000_000  # shingles of a bucket that are counted together
-BLOCK, BLOCK_ITEMS = 2000, 1_000_000  # sets, and elements of sets, that one task holds in a tree
+BLOCK, BLOCK_ITEMS = 500, 250_000  # sets, and elements of sets, that one task holds in a tree
 SEGMENT = 32  # elements of a node of the tree
 ROW = np.dtype([("doc", "<i8"), ("mark", "<i8"), ("named", "?")])  # what is known of a document but its text
 
