@@ -269,7 +269,7 @@ def test_sweep(spark, comments, tmp_path):
         on = [name for name, s in config.resolve(own).items() if s is not None]
         assert len(on) in (2, 3)
     picked = [(k, every[k]) for k in (0, 19, 25, 31, 46)]
-    out = pipeline.sweep(comments, {f"{k}:{label}": own for k, (label, own) in picked})
+    out = pipeline.sweep(comments, [every[k] for k, _ in picked])
     pipeline.write_sweep(out, str(tmp_path / "sweep"))
     back = spark.read.csv(str(tmp_path / "sweep"), header=True).collect()
     assert len(back) == 5 and all(int(r["remaining edges"]) + int(r["removed edges"]) > 0 for r in back)

@@ -7,7 +7,7 @@ from threadgraph.functions import stem, vectors
 from threadgraph.functions import text as tx
 from threadgraph.operators import search, view
 from threadgraph.sources import comments as src
-from threadgraph.sources import ingest, store
+from threadgraph.sources import ingest, pages, store
 from threadgraph.streaming import live
 
 
@@ -148,3 +148,58 @@ def test_streams(spark, tmp_path, kind):
         assert sorted(out) == [(1, 1), (2, -1), (3, 1)]
     else:
         assert sorted((r[0], r[3]) for r in out) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_selectors():
+    page = pages.document('<div id=a class="x y"><p>1<p>2 <b>3</b><ul><li>4<li>5<ul><li>6</ul></ul></div><P class=x>7</P><img src=q><br/>8<script>no</script>')
+    texts = lambda selector: [e.text().strip() for e in page.all(selector)]
+    assert texts("p") == ["1", "2 3456", "7"] and texts(".x") == ["12 3456", "7"] and texts("#a > p, img") == ["1", "2 3456", ""]
+    assert texts("div li li") == ["6"] and texts("li > ul > li") == ["6"] and texts("ul > li") == ["4", "56", "6"]
+    outer = page.first("ul")
+    assert [e.text() for e in outer.all(":scope > li")] == ["4", "56"]
+    assert texts('img[src="q"]') == [""] and texts("img[src='r']") == [] and texts("p.x.y") == [] and page.first("nav") is None
+    assert pages.document(None).all("p") == [] and pages.document("</p></div>text").text() == "text"
+
+
+def test_pages_that_lack_parts_and_further_pages(spark):
+    rows = [
+        ("https://taz.de/1", 1, "<article><p class=article>only text</p></article>"), ("https://www.zeit.de/1", 1, None), ("https://example.org/", 1, "<h1>no platform</h1>"),
+        ("https://www.zeit.de/2", 1, '<section id="comments"><div class="comment-section__body"><div class="comment__container"><a data-url="https://www.zeit.de/2?load=1"></a></div></div></section><ul class="pager__pages"><li><a href="https://www.zeit.de/2?page=2">2</a></li></ul>'),
+        ("https://www.zeit.de/2", 2, '<article id="c9"><a class="comment-meta__date">#2 — vor 2 Stunden</a><div class="comment__body"><p> a </p><p>b</p></div></article><article>no id</article>'),
+        ("https://www.faz.net/3", 1, '<a data-next-page-count="2"></a><li class="lst-Comments_Item-level1"></li>'), ("https://www.sueddeutsche.de/4", 1, '<div class="sz-article-body__asset"><a class="sz-teaser--article" href="/x/leserdiskussion-1">d</a></div>'),
+        ("https://www.tagesschau.de/5", 1, '<div class="modConComments"><h3 class="headline"><a href="https://meta.tagesschau.de/5">m</a></h3></div>'),
+    ]
+    df = spark.createDataFrame(rows, "url string, page int, html string")
+    found = {(r.url, r.text): r.problem for r in pages.articles(df).collect()}
+    assert found["https://taz.de/1", "only text"] == "no title, published" and found["https://www.zeit.de/1", None] and not any("example" in u for u, _ in found)
+    (r,) = pages.comments(df, F.lit("2020-05-10 12:00:00").cast("timestamp")).collect()
+    assert (r.comment_id, r.text, r.username, r.reply_to, str(r.timestamp), r.ordinal) == ("c9", "a\n\nb", "", None, "2020-05-10 10:00:00", [2, 0])
+    more = {(r.url[-1], r.more) for r in pages.more_pages(df).collect()}
+    assert more == {("2", "https://www.zeit.de/2?load=1"), ("2", "https://www.zeit.de/2?page=2"), ("3", "https://www.faz.net/3#page=2"), ("4", "/x/leserdiskussion-1"), ("5", "https://meta.tagesschau.de/5")}
+    assert pages.comments(df.where("false")).count() == 0 == pages.articles(df.where("false")).count()
+
+
+def test_replies_of_any_depth_and_lists_that_go_on(spark):
+    node = lambda i, *below, more=None: {"id": i, "user": {"username": "u", "id": "1"}, "body": i, "created_at": "2020-01-01T00:00:00.000Z", "action_summaries": None, "replies": {"nodes": list(below), **({"hasNextPage": True, "endCursor": more} if more else {})}}
+    deep = node("40")
+    for k in range(39, 0, -1):
+        deep = node(str(k), deep, more="c12" if k == 12 else None)
+    pages_ = spark.createDataFrame([("x", 0, None, json.dumps({"nodes": [deep, node("z")], "hasNextPage": True, "endCursor": "top"})), ("x", 1, "12", json.dumps({"nodes": [node("12b")]})), ("y", 0, None, "[]"), ("y", 1, None, "{")], "url string, page int, parent string, payload string")
+    out = {r.comment_id: r for r in ingest.spiegel(pages_).collect()}
+    assert set(out) == {*map(str, range(1, 41)), "z", "12b"}
+    assert all(out[str(k)].reply_to == str(k - 1) for k in range(2, 41)) and out["12b"].reply_to == "12" and out["z"].reply_to is None
+    order = [r.comment_id for r in sorted(out.values(), key=lambda r: r.ordinal)]
+    assert order == [*map(str, range(1, 41)), "z", "12b"]
+    assert {(r.parent, r.cursor) for r in ingest.spiegel_more(pages_).collect()} == {("12", "c12"), (None, "top")}
+
+
+def test_stories_and_text_vectors(spark):
+    articles = spark.createDataFrame([(1, "https://taz.de/1"), (2, "https://faz.net/2")], "id long, url string")
+    listed = spark.createDataFrame([("a", ["https://m.faz.net/2#c", "https://no.org/", "https://taz.de/1"]), ("none", [])], "title string, sources array<string>")
+    assert {r.title: [s.id for s in r.sources] for r in src.stories(listed, articles).collect()} == {"a": [2, None, 1], "none": []}
+    known = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0]), ("zero", [0.0, 0.0])], "word string, embedding array<double>")
+    texts = spark.createDataFrame([(1, "a b\nb  unknown zero"), (2, ""), (3, None)], "id long, text string")
+    got = {r.id: r.embedding for r in vectors.sentence_vectors(texts, known, 2).collect()}
+    assert got[1] == pytest.approx([0.2, 2.8 / 3]) and got[2] == got[3] == [0.0, 0.0]
+    df = spark.createDataFrame([("The Äpfel, 3x_y!",), (None,)], "t string")
+    assert [r.x for r in df.select(tx.preprocess(F.col("t"), stop_words=["the"]).alias("x")).collect()] == [["äpfel", ",", "3x_y", "!"], []]

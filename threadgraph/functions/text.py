@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A cut is one white space character after . or ?, unless an abbreviation such as z.B. or Dr. ends there.
+#: Fixed value: a cut is one white space character after . or ?, unless an abbreviation such as z.B. or Dr. ends there.
 SENTENCE_END = r"(?U)(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?)\s"
 MIN_SENTENCE = 10  # code points; shorter sentences make no node
 # Marks that normalisation sets apart, and marks that it drops.
@@ -58,3 +58,13 @@ def token_window(text: Column, length: int = 125) -> Column:
     found = tokens(text)
     last = F.slice(found, F.greatest(F.size(found) - length + 1, F.lit(1)), F.lit(length))
     return F.concat(last, F.array_repeat(F.lit(""), F.lit(length) - F.size(last)))
+
+
+def preprocess(text: Column, lower: bool = True, stop_words: list[str] | None = None, letters_only: bool = False) -> Column:
+    """Tokens of a text (T9): words and single marks; without stop words, and without what isn't all letters, on request."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"), F.lit(0))
+    if letters_only:
+        tokens = F.filter(tokens, lambda t: t.rlike(r"^[\p{L}\p{M}]+$"))
+    if stop_words:
+        tokens = F.filter(tokens, lambda t: ~F.lower(t).isin(*[w.lower() for w in stop_words]))
+    return F.transform(tokens, F.lower) if lower else tokens

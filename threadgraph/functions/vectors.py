@@ -1,8 +1,8 @@
-"""Similarity of dense vectors."""
+"""Vectors of texts, and similarity of dense vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,21 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
         .when((norm_a == 0) | (norm_b == 0), 0.0)
         .otherwise(dot(a, b) / (norm_a * norm_b))
     )
+
+
+def sentence_vectors(texts: DataFrame, word_vectors: DataFrame, size: int, key: str = "id", text: str = "text") -> DataFrame:
+    """key, embedding: the mean of the unit vectors of a text's words; words that are unknown, or whose vector is 0, don't count.
+
+    ``word_vectors`` has word and embedding (``size`` numbers). Words are what white space separates, and count as often as they
+    occur. They are counted by text before they meet their vectors, and sums are combined before the shuffle. A text without
+    known words has a zero vector.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+", -1), lambda w: w != "")
+    counted = texts.select(F.col(key).alias("_k"), F.explode(words).alias("word")).groupBy("_k", "word").agg(F.count(F.lit(1)).alias("_n"))
+    length = norm(F.col("embedding"))
+    known = word_vectors.where(length > 0).select("word", F.transform("embedding", lambda x: x.cast("double") / length).alias("_v"))
+    joined = counted.join(known, "word")
+    sums = [F.sum(F.col("_n") * F.get("_v", F.lit(k))) for k in range(size)]
+    means = joined.groupBy("_k").agg(F.sum("_n").alias("_all"), F.array(*sums).alias("_sum")).select("_k", F.transform("_sum", lambda x: x / F.col("_all")).alias("_mean"))
+    zero = F.array_repeat(F.lit(0.0), size)
+    return texts.select(F.col(key)).join(means, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("_mean", zero).alias("embedding"))

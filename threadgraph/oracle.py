@@ -173,6 +173,50 @@ CAST = "(SELECT 1 AS vote_id, id, s_idx, 1 AS vote FROM nodes WHERE (id + s_idx)
 TOTALS = f"(SELECT *, min(votes) OVER () AS least, max(votes) OVER () AS most FROM (SELECT id, sum(vote)::BIGINT AS votes FROM (SELECT DISTINCT vote_id, id, vote FROM {CAST}) GROUP BY id))"
 
 
+STRIPPED = r"regexp_replace(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x85\xa0]+', ''), '[\s\x0b\x1c-\x1f\x85\xa0]+$', '')"
+INGEST_TURNS = f"""WITH t AS (
+  SELECT conv_id, turn, role, text, {STRIPPED} AS stripped, lpad((turn % 60)::VARCHAR, 2, '0') AS minute, 'c' || turn AS comment_id,
+    row_number() OVER w - 1 AS k, lag(turn) OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)"""
+ANSWERS = "CASE WHEN k % 2 = 1 THEN 'c' || before END AS reply_to"
+AT = "epoch(('{day} {hour}:' || minute || ':00')::TIMESTAMP)::BIGINT AS at"
+INGEST = {
+    # Threads come from the last one back, each with its answer behind it.
+    "ingest_taz": f"""{INGEST_TURNS} SELECT 'https://taz.de/a/' || conv_id AS url, comment_id, {STRIPPED.replace('text', 'role')} AS username, '/u/' || role AS user_id, {AT.format(day='2024-01-01', hour='09')},
+      stripped AS text, {ANSWERS}, (row_number() OVER (PARTITION BY conv_id ORDER BY k // 2 DESC, k) - 1)::BIGINT AS place FROM t""",
+    "ingest_faz": f"""{INGEST_TURNS} SELECT 'https://www.faz.net/a/' || conv_id AS url, comment_id, role AS username, 'u' || turn AS user_id, {AT.format(day='2024-03-02', hour='11')},
+      'T' || turn || ' ' || text AS text, {ANSWERS}, turn * 3 AS recommended, k AS place FROM t""",
+    "ingest_zeit": f"""{INGEST_TURNS} SELECT 'https://www.zeit.de/a/' || conv_id AS url, comment_id, role AS username, CASE WHEN role = 'user' THEN '/p/' || role END AS user_id,
+      {AT.format(day='2024-03-07', hour='09')}, stripped || chr(10) || chr(10) || 'end' AS text, {ANSWERS}, turn % 4 AS leseempfehlungen, k AS place FROM t""",
+    "ingest_tagesschau": f"""{INGEST_TURNS} SELECT 'https://www.tagesschau.de/a/' || conv_id AS url, comment_id, role AS username, {AT.format(day='2023-12-24', hour='18')},
+      stripped AS text, 'Title ' || turn AS title, k // 2 AS place FROM t WHERE k % 2 = 0""",
+    "ingest_spiegel": f"""{INGEST_TURNS} SELECT conv_id::VARCHAR AS url, 'n' || turn AS comment_id, role AS username, epoch_ms(('2024-01-01 08:' || minute || ':30.5')::TIMESTAMP) AS at, text,
+      'n' || before AS reply_to, turn AS upvotes, 0::BIGINT AS love, k + 2 AS depth FROM t WHERE turn % 5 <> 4""",
+    "ingest_disqus": r"""SELECT conv_id::VARCHAR AS url, 'd' || turn AS comment_id, role AS username, epoch(('2024-01-0' || (1 + turn % 9) || ' 10:00:00')::TIMESTAMP)::BIGINT AS at,
+      regexp_replace(regexp_replace(text || ' end', '[ \t\n\x0b\f\r]+', ' ', 'g'), ' +', ' ', 'g') AS text, CASE WHEN turn > 0 THEN 'd' || (turn - 1) END AS reply_to FROM conversations""",
+    "ingest_articles": """WITH h AS (SELECT * FROM (VALUES
+        (0, 'www.sueddeutsche.de', 'SueddeutscheScraper'), (1, 'www.zeit.de', 'ZONScraper'), (2, 'www.welt.de', 'WeltScraper'), (3, 'www.tagesschau.de', 'TagesschauScraper'),
+        (4, 'www.faz.net', 'FAZScraper'), (5, 'www.spiegel.de', 'SPONScraper'), (6, 'taz.de', 'TAZScraper')) v(k, host, scraper))
+      SELECT 'https://' || host || '/' || page_id AS url,
+        CASE k WHEN 0 THEN 'Over Title ' || page_id WHEN 4 THEN 'Over - Title ' || page_id WHEN 5 THEN 'Title ' || page_id || ' - Over' ELSE 'Title ' || page_id END AS title,
+        CASE WHEN k = 3 THEN 'Over' END AS subtitle, 'Sum' AS summary, CASE WHEN k = 1 THEN 'Ann, Bo' ELSE 'Ann' END AS author,
+        CASE WHEN k = 0 THEN 'a b part ' || page_id ELSE 'a b' || chr(10) || chr(10) || 'part ' || page_id END AS text,
+        epoch(('2024-02-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || ' 10:00:00')::TIMESTAMP)::BIGINT AS at, scraper, NULL::VARCHAR AS problem
+      FROM pages JOIN h ON page_id % 7 = k""",
+    "example_stories": """WITH a AS (SELECT DISTINCT conv_id AS id, 'https://www.zeit.de/a/' || conv_id AS url FROM conversations)
+      SELECT (id % 40)::VARCHAR AS title, string_agg(url || '=' || CASE WHEN id % 3 <> 1 THEN id::VARCHAR ELSE '-' END, ';' ORDER BY url) AS sources FROM a GROUP BY 1""",
+    "text_vectors": rf"""WITH {RAW}, w AS (SELECT c_idx, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '')) AS word FROM comments),
+      k AS (SELECT DISTINCT word, (length(word) * 31 + ascii(word)) % 500 AS vec_id FROM w WHERE length(word) % 5 <> 4),
+      e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings),
+      m AS (SELECT c_idx, {', '.join(f'avg(v[{i + 1}] / l) AS m{i}' for i in (0, 1, 31, 63))} FROM w JOIN k USING (word) JOIN e USING (vec_id) WHERE l > 0 GROUP BY c_idx)
+      SELECT c_idx, {', '.join(f'round(coalesce(m{i}, 0), 5) AS v{i}' for i in (0, 1, 31, 63))} FROM comments LEFT JOIN m USING (c_idx)""",
+    "preprocess_text": r"""WITH t AS (SELECT conv_id, turn, list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]'),
+        lambda x: regexp_full_match(x, '[\p{L}\p{M}]+') AND lower(x) NOT IN ('the', 'und', 'de', 'of')), lambda x: lower(x)) AS l FROM conversations)
+      SELECT conv_id, turn, len(l)::BIGINT AS n, md5(array_to_string(l, ' ')) AS h FROM t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {NODES}"
     o: dict[str, str] = {}
@@ -187,16 +231,18 @@ def oracle_sql() -> dict[str, str]:
     o["token_window"] = f"SELECT doc_id, CASE WHEN len(l) >= 20 THEN array_to_string(l[-20:], ' ') ELSE array_to_string(l || [('') FOR i IN range(20 - len(l))], ' ') END AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array({normal}, '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> '') AS l FROM documents)"
     o["reply_resolve"] = f"WITH {RAW} SELECT id, article_id, reply_to, reply_to_id FROM comments"
     o["article_nest"] = f"WITH {RAW} SELECT article_id AS id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM raw GROUP BY article_id"
-    o["article_lookup"] = "SELECT u.url, a.id FROM (SELECT 'https://www.zeit.de/a/' || r AS url FROM range(0, 200, 7) t(r)) u LEFT JOIN (SELECT DISTINCT conv_id AS id, 'https://www.zeit.de/a/' || conv_id AS url FROM conversations) a USING (url)"
+    o["article_lookup"] = """WITH a AS (SELECT DISTINCT conv_id AS id, 'https://www.zeit.de/a/' || conv_id AS url FROM conversations)
+      SELECT url, id FROM a UNION ALL SELECT url || '/x', NULL FROM a"""
+    o |= INGEST
     o["scraper_dispatch"] = f"SELECT page_id, {PLATFORM} AS platform FROM {URLS}"
     o["url_normalize"] = f"SELECT page_id, CASE {PLATFORM} WHEN 'WeltScraper' THEN split_part(url, '#', 1) WHEN 'FAZScraper' THEN replace(split_part(url, '#', 1), 'https://m.', 'https://') ELSE CASE WHEN {PLATFORM} IS NOT NULL THEN url END END AS prepared FROM {URLS}"
     o["ingest_welt"] = """
       WITH r AS (SELECT conv_id::VARCHAR AS url, turn AS page, 'w' || turn % 5 AS comment_id, role AS username, text, length(text) AS likes, epoch_us(('2024-01-0' || (1 + turn % 9) || ' 10:00:00')::TIMESTAMP) AS micros FROM conversations)
       SELECT url, comment_id, arg_max(username, page) AS username, arg_max(text, page) AS text, arg_max(likes, page) AS likes, arg_max(micros, page) AS micros, min(page) AS page FROM r GROUP BY url, comment_id"""
     o["backfill_urls"] = "SELECT trim(url) AS url FROM pages WHERE page_id % 3 <> 0"
-    o["delete_article"] = f"""WITH {RAW}, a AS (SELECT DISTINCT conv_id AS id FROM conversations)
-      SELECT 'article' AS kind, id FROM a WHERE NOT (id % 10 = 0 AND id < 1000) UNION ALL SELECT 'comment', id FROM raw WHERE NOT (article_id % 10 = 0 AND article_id < 1000)
-      UNION ALL SELECT 'graph', id FROM a WHERE NOT ((id % 10 = 0 AND id < 1000) OR ((id + 1) % 10 = 0 AND id + 1 < 1000))"""
+    o["delete_article"] = f"""WITH {RAW}, a AS (SELECT DISTINCT conv_id AS id FROM conversations), gone AS (SELECT conv_id AS id FROM conversations GROUP BY conv_id HAVING count(*) > 6)
+      SELECT 'article' AS kind, id FROM a WHERE id NOT IN (FROM gone) UNION ALL SELECT 'comment', id FROM raw WHERE article_id NOT IN (FROM gone)
+      UNION ALL SELECT 'graph', id FROM a WHERE id NOT IN (FROM gone) AND id + 1 NOT IN (FROM gone)"""
     o["embedding_cosine"] = f"WITH {VECTORS} SELECT a.c_idx AS vec_id, round(CASE WHEN a.n = 0 AND b.n = 0 THEN 1 WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE list_dot_product(a.e, b.e) / (a.n * b.n) END, 6) AS cos FROM v a JOIN v b ON b.c_idx = a.c_idx + 1"
     o["edges_similarity"] = f"WITH {RAW}, {COSINES} SELECT c_a, c_b, round((1 - cos) / 0.25 * 0.1, 6) AS weight FROM cosines WHERE cos < 0.75"
     o["edges_same_comment"] = f"{w} SELECT {ENDS}, w AS SAME_COMMENT FROM ({EDGES['SAME_COMMENT']})"
@@ -236,7 +282,7 @@ def oracle_sql() -> dict[str, str]:
     o["merge_multi_or"] = f"{STRUCTURAL}, {groups('REPLY_TO >= 0.5 OR SAME_COMMENT >= 0.5')} {GROUPED}"
     o["merge_multi_and"] = f"{STRUCTURAL}, {groups('REPLY_TO >= 0.5 AND SAME_ARTICLE >= 0.5')} {GROUPED}"
     recency = node_weights("RECENCY", "")[1]
-    o["add_single_edges"] = f"""{CHAINS}, N AS MATERIALIZED (FROM {recency}), K AS MATERIALIZED (SELECT * FROM E WHERE SAME_COMMENT >= 0.5 AND src_c % 2 = 0), {ADDED}
+    o["add_single_edges"] = f"""{CHAINS}, N AS MATERIALIZED (FROM {recency}), Z AS (SELECT c_idx, s_idx FROM nodes WHERE e - s >= 60), K AS MATERIALIZED (SELECT * FROM E SEMI JOIN (SELECT c_idx AS src_c, s_idx AS src_s FROM Z) USING (src_c, src_s) SEMI JOIN (SELECT c_idx AS tgt_c, s_idx AS tgt_s FROM Z) USING (tgt_c, tgt_s)), {ADDED}
       SELECT {ENDS}, SAME_COMMENT AS same_comment, NULL::DOUBLE AS temporal FROM K UNION ALL SELECT {ENDS}, NULL, 0.1 FROM new"""
     default = f"""{FOUR}, {pagerank('TEMPORAL', 100, 9, 1e-6)}, N AS MATERIALIZED (FROM {recency}), voted AS MATERIALIZED (SELECT c_idx, s_idx FROM {node_weights('VOTES', '')[1]} WHERE w >= 2),
       top AS MATERIALIZED (SELECT c_idx, s_idx FROM ranks ORDER BY pr DESC, c_idx, s_idx LIMIT 200),

@@ -119,15 +119,22 @@ def to_document(graph: Graph) -> DataFrame:
     return comments.crossJoin(F.broadcast(graph.edges.agg(F.to_json(F.sort_array(F.collect_list(edge))).alias("edges"))))  # one row
 
 
-def sweep(comments: DataFrame, configs: dict[str, dict], vectors: DataFrame | None = None) -> DataFrame:
-    """A row for each configuration: id, description, remaining and removed edges, seconds."""
-    rows = []
+def sweep(comments: DataFrame, configs: list[tuple[str, dict]], vectors: DataFrame | None = None) -> DataFrame:
+    """A row for each configuration (label, settings; labels may repeat): id, description, remaining and removed edges, seconds.
+
+    Configurations that generate alike share the generated edges, which are written once; their time counts for the first.
+    """
+    rows, generated = [], {}
     placed = materialise(comments, "sweep-comments")
-    for k, (label, overrides) in enumerate(configs.items()):
+    for k, (label, overrides) in enumerate(configs):
         began = time.perf_counter()
         settings = resolve(overrides)
-        graph = written(generate(placed, settings, vectors))
-        before, after = graph.edges.count(), apply_steps(graph, settings).edges.count()
+        key = repr([(name, own) for name, own in settings.items() if name in COMPARATORS])
+        if key not in generated:
+            graph = written(generate(placed, settings, vectors))
+            generated[key] = (graph, graph.edges.count())
+        graph, before = generated[key]
+        after = apply_steps(graph, settings).edges.count()
         rows.append((k, label, after, before - after, time.perf_counter() - began))
     return comments.sparkSession.createDataFrame(rows, "config_id long, description string, remaining_edges long, removed_edges long, seconds double")
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.stem import porter_stem
-from .functions.vectors import cosine
+from .functions.vectors import cosine, sentence_vectors
 from .operators import community, edges, filters, merge, nearest, rank, search, view
 from .plans import pipeline, sweeps
 from .schema import EDGE_WEIGHTS, ENDS, Graph
 from .sources import comments as src
-from .sources import ingest, store
+from .sources import ingest, pages, store
 
 SHORT = {"reply_to": "REPLY_TO", "same_article": "SAME_ARTICLE", "similarity": "SIMILARITY", "same_group": "SAME_GROUP", "same_comment": "SAME_COMMENT", "temporal": "TEMPORAL"}
 WEIGHTS = {"size": "SIZE", "degree": "DEGREE_CENTRALITY", "recency": "RECENCY", "votes": "VOTES", "toxicity": "TOXICITY", "pagerank": "PAGERANK"}
@@ -129,8 +129,9 @@ def article_nest(s, d):
 
 
 def article_lookup(s, d):
-    asked = s.range(0, 200, 7).select(F.concat(F.lit("https://www.zeit.de/a/"), F.col("id").cast("string")).alias("url"))
-    return src.article_ids(_articles(s, d), asked)
+    """Every url of the table, and as many that no article has."""
+    own = _articles(s, d).select("url")
+    return src.article_ids(_articles(s, d), own.union(own.select(F.concat("url", F.lit("/x")))))
 
 
 def _urls(s, d):
@@ -166,6 +167,135 @@ def ingest_welt(s, d):
     return out.select("url", "comment_id", "username", "text", "likes", F.unix_micros("timestamp").alias("micros"), F.col("ordinal.page").cast("long").alias("page"))
 
 
+def _turns(s, d, host):
+    """url, turns (in order) of each conversation; its texts are fit for HTML."""
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    own = src.table(s, d, "conversations").select("conv_id", F.struct("turn", "role", text.alias("text")).alias("t"))
+    return own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).withColumn("url", F.concat(F.lit(f"https://{host}/a/"), F.col("conv_id").cast("string")))
+
+
+def _page(turns: DataFrame, item, frame) -> DataFrame:
+    """Pages with an ``item`` (turn, the next one or null) for every other turn."""
+    items = F.transform("turns", lambda t, k: F.when(k % 2 == 0, item(t, F.get("turns", k + 1))).otherwise(""))
+    return turns.select("url", F.lit(1).alias("page"), frame(F.array_join(items, "")).alias("html"))
+
+
+def _tag(template: str, *values):
+    """The template, with a value at each %."""
+    parts = template.split("%")
+    return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v.cast("string"), F.lit(p))])
+
+
+def _minute(t):
+    return F.lpad((t["turn"] % 60).cast("string"), 2, "0")
+
+
+def ingest_taz(s, d):
+    def one(t, inner):
+        return _tag('<li id="c%"><a class="author" href="/u/%"><h4> % </h4></a><time datetime="2024-01-01T10:%:00+01:00"></time><div> % </div>%</li>', t["turn"], t["role"], t["role"], _minute(t), t["text"], inner)
+
+    def item(t, after):
+        return one(t, F.when(after.isNotNull(), _tag('<ul class="thread">%</ul>', one(after, F.lit("")))).otherwise(""))
+
+    own = _page(_turns(s, d, "taz.de"), item, lambda x: _tag('<div class="sect_commentlinks"><ul>%</ul></div>', x))
+    out = pages.comments(own)
+    return out.select("url", "comment_id", "username", "user_id", F.unix_seconds("timestamp").alias("at"), "text", "reply_to", F.col("ordinal")[1].alias("place"))
+
+
+def ingest_faz(s, d):
+    def one(t):
+        return _tag('<div class="lst-Comments_CommentTextContainer"><a data-author-name="%" data-author-login="u%"></a><span class="lst-Comments_CommentInfoDateText"> 02.03.2024 - 11:% </span><p class="lst-Comments_CommentTitle">T%</p><p class="x lst-Comments_CommentText">%</p><ul data-content-id="c%" data-empfehlen-value="%"></ul></div>', t["role"], t["turn"], _minute(t), t["turn"], t["text"], t["turn"], t["turn"] * 3)
+
+    def item(t, after):
+        return _tag('<li class="lst-Comments_Item-level1">%%</li>', one(t), F.when(after.isNotNull(), _tag('<ul><li class="lst-Comments_Item-level2">%</li></ul>', one(after))).otherwise(""))
+
+    out = pages.comments(_page(_turns(s, d, "www.faz.net"), item, lambda x: _tag("<ul>%</ul>", x)))
+    return out.select("url", "comment_id", "username", "user_id", F.unix_seconds("timestamp").alias("at"), "text", "reply_to", "recommended", F.col("ordinal")[1].alias("place"))
+
+
+def ingest_zeit(s, d):
+    def one(t, origin):
+        return _tag('<article id="c%"><div class="comment-meta__name">%</div><a class="comment-meta__date">#1  —  7. März 2024, 9:% Uhr</a><div class="comment__body"><p>%</p><p>end</p></div><div class="comment__reactions">%</div><span class="js-comment-recommendations"> % </span></article>', t["turn"], F.when(t["role"] == "user", _tag('<a href="/p/%">%</a>', t["role"], t["role"])).otherwise(t["role"]), _minute(t), t["text"], origin, t["turn"] % 4)
+
+    def item(t, after):
+        return F.concat(one(t, F.lit("")), F.when(after.isNotNull(), one(after, _tag('<a class="comment__origin" href="/x#c%"></a>', t["turn"]))).otherwise(""))
+
+    out = pages.comments(_page(_turns(s, d, "www.zeit.de"), item, lambda x: _tag('<article>no comment</article><section id="comments">%</section>', x)))
+    return out.select("url", "comment_id", "username", "user_id", F.unix_seconds("timestamp").alias("at"), "text", "reply_to", "leseempfehlungen", F.col("ordinal")[1].alias("place"))
+
+
+def ingest_tagesschau(s, d):
+    def item(t, _):
+        return _tag('<div class="comment"><div class="commentheader"><h3 class="title"><a id="c%">Title %</a></h3><div class="submitted"> Am 24. Dezember 2023 um 18:% von % </div></div><div class="content"><p>%</p></div></div>', t["turn"], t["turn"], _minute(t), t["role"], t["text"])
+
+    out = pages.comments(_page(_turns(s, d, "www.tagesschau.de"), item, lambda x: _tag('<div id="comments">%</div>', x)))
+    return out.select("url", "comment_id", "username", F.unix_seconds("timestamp").alias("at"), "text", "title", F.col("ordinal")[1].alias("place"))
+
+
+def ingest_spiegel(s, d):
+    """Every turn answers the one before: as many levels as turns."""
+    turns = src.table(s, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("url")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
+    def node(inner, t):
+        user = F.when(t["turn"] % 5 == 4, F.lit("null")).otherwise(F.to_json(F.struct(t["role"].alias("username"), F.lit("7").alias("id"))))
+        return _tag('{"nodes":[{"id":"n%","user":%,"body":%,"created_at":"2024-01-01T08:%:30.500Z","action_summaries":[{"__typename":"UpvoteActionSummary","count":%}],"replies":%}]}', t["turn"], user, F.get_json_object(F.to_json(F.struct(F.to_json(F.struct(t["text"].alias("x"))).alias("y"))), "$.y").substr(F.lit(6), F.length(F.to_json(F.struct(t["text"].alias("x")))) - 6), _minute(t), t["turn"], inner)
+
+    payload = F.aggregate(F.reverse("turns"), F.lit('{"nodes":[]}'), node)
+    out = ingest.spiegel(turns.select("url", F.lit(0).alias("page"), payload.alias("payload")))
+    return out.select("url", "comment_id", "username", F.unix_millis("timestamp").alias("at"), "text", "reply_to", "upvotes", "love", F.size("ordinal").cast("long").alias("depth"))
+
+
+def ingest_disqus(s, d):
+    post = F.struct(
+        F.concat(F.lit("d"), F.col("turn").cast("string")).alias("id"), F.struct(F.col("role").alias("username")).alias("author"),
+        F.concat(F.lit("2024-01-0"), (1 + F.col("turn") % 9).cast("string"), F.lit("T10:00:00")).alias("createdAt"),
+        F.concat("text", F.lit(" \n  end")).alias("raw_message"), F.when(F.col("turn") > 0, F.concat(F.lit("d"), (F.col("turn") - 1).cast("string"))).alias("parent"),
+    )
+    own = src.table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("url"), F.col("turn").alias("page"), F.to_json(F.struct(F.array(post).alias("response"))).alias("payload"))
+    return ingest.disqus(own).select("url", "comment_id", "username", F.unix_seconds("timestamp").alias("at"), F.regexp_replace("text", " +", " ").alias("text"), "reply_to")
+
+
+def ingest_articles(s, d):
+    """An article of each platform in turn, its parts taken from the pages table."""
+    k = F.col("page_id") % 7
+    day = F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0")
+    title, part = F.concat(F.lit("Title "), F.col("page_id").cast("string")), F.concat(F.lit("part "), F.col("page_id").cast("string"))
+    made = [
+        ("www.sueddeutsche.de", _tag('<header class="sz-article__header"><h2><span>Over</span><span>%</span></h2><time datetime="2024-02-% 10:00:00"></time></header><div class="sz-article__intro"><p> Sum </p></div><a class="sz-article-byline__author-link">Ann</a><div class="sz-article__body sz-article-body"><p>a  b</p><p>%</p></div>', title, day, part)),
+        ("www.zeit.de", _tag('<article><header><h1> % </h1><div class="summary">Sum</div><time datetime="2024-02-%T11:00:00+01:00"></time><div class="byline"><span itemprop="name">Ann</span><b itemprop="name">Bo</b></div></header><section><h2>a b</h2><p>%</section></article>', title, day, part)),
+        ("www.welt.de", _tag('<h2 class="c-headline">%</h2><div class="c-summary__intro">Sum</div><div class="c-author__by-line">By <a>Ann</a></div><time class="c-publish-date" datetime="2024-02-%T10:00:00Z"></time><div class="c-article-text"><p>a b<p>%</div>', title, day, part)),
+        ("www.tagesschau.de", _tag('<div class="meldungHead"><h1><span class="dachzeile">Over</span> <span class="headline">%</span></h1><span class="stand"> Stand: %.02.2024 10:00 Uhr</span></div><div class="sectionZ"><div class="modParagraph"><p>Sum</p><p class="autorenzeile">Von Ann, here</p><h2>a b</h2><p>%</p></div></div>', title, day, part)),
+        ("www.faz.net", _tag('<h2><span class="atc-HeadlineEmphasisText">Over</span><span class="atc-HeadlineText">%</span></h2><p class="atc-IntroText">Sum</p><span class="atc-MetaAuthor">Ann</span><time class="atc-MetaTime" title="%.02.2024 10:00 Uhr"></time><div class="atc-Text"><p>a b</p><p>%</p></div>', title, day, part)),
+        ("www.spiegel.de", _tag('<main><article><header><h2><span>Over</span><span>%</span></h2><div class="leading-loose">Sum</div></header><time class="timeformat" datetime="2024-02-% 10:00:00"></time><section><p>a b</p><p>%</p></section></article></main><meta name="author" content="Ann, DER SPIEGEL">', title, day, part)),
+        ("taz.de", _tag('<article><h1 itemprop="headline">%</h1><p itemprop="description">Sum</p><p class="article">a b</p><p class="article">%</p></article><div itemprop="author"><h4 itemprop="name">Ann</h4></div><ul><li itemprop="datePublished" content="2024-02-%T12:00:00+02:00"></li></ul>', title, part, day)),
+    ]
+    url, html = (F.element_at(F.array(*x), k.cast("int") + 1) for x in zip(*[(_tag(f"https://{h}/%", F.col("page_id")), p) for h, p in made], strict=True))
+    own = src.table(s, d, "pages").select(url.alias("url"), html.alias("html"))
+    out = pages.articles(own)
+    return out.select("url", "title", "subtitle", "summary", "author", "text", F.unix_seconds("published_time").alias("at"), "scraper", "problem")
+
+
+def example_stories(s, d):
+    known = F.col("id") % 3 != 1
+    listed = _articles(s, d).groupBy((F.col("id") % 40).cast("string").alias("title")).agg(F.sort_array(F.collect_list("url")).alias("sources"))
+    found = src.stories(listed, _articles(s, d).where(known))
+    return found.select("title", F.array_join(F.transform("sources", lambda x: F.concat(x["url"], F.lit("="), F.coalesce(x["id"].cast("string"), F.lit("-")))), ";").alias("sources"))
+
+
+def text_vectors(s, d):
+    words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
+    of = F.length("word") * 31 + F.ascii(F.substring("word", 1, 1))
+    named = src.table(s, d, "conversations").select(F.explode(words).alias("word")).distinct().where(F.length("word") % 5 != 4).withColumn("vec_id", (of % 500).cast("long"))
+    known = named.join(vectors(s, d), "vec_id").select("word", "embedding")
+    out = sentence_vectors(comments(s, d).select("c_idx", "text"), known, 64, key="c_idx")
+    return out.select("c_idx", *[F.round(F.col("embedding")[k], 5).alias(f"v{k}") for k in (0, 1, 31, 63)])
+
+
+def preprocess_text(s, d):
+    made = tx.preprocess(F.col("text"), stop_words=["the", "und", "de", "of"], letters_only=True)
+    return src.table(s, d, "conversations").select("conv_id", "turn", F.size(made).cast("long").alias("n"), F.md5(F.array_join(made, " ").cast("binary")).alias("h"))
+
+
 def backfill_urls(s, d):
     lines = src.table(s, d, "pages").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("# "), "url")).otherwise(F.concat(F.lit("-  "), "url", F.lit(" "))).alias("value"))
     return ingest.backfill_urls(lines)
@@ -174,7 +304,7 @@ def backfill_urls(s, d):
 def delete_article(s, d):
     own = src.from_conversations(src.table(s, d, "conversations"))
     graphs = _articles(s, d).select("id", F.concat(F.lit("["), "id", F.lit(", "), F.col("id") + 1, F.lit("]")).alias("article_ids"), F.lit("{}").alias("graph"))
-    gone = s.range(0, 1000, 10).toDF("id")
+    gone = src.table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 6").select("id")  # the long ones
     a, c, g = store.without_articles(_articles(s, d), own, graphs, gone)
     return a.select(F.lit("article").alias("kind"), "id").union(c.select(F.lit("comment"), "id")).union(g.select(F.lit("graph"), "id"))
 
@@ -257,9 +387,9 @@ def cluster_multi(s, d):
 
 
 def add_single_edges(s, d, base=0.1):
-    graph = pipeline.written(rank.recency(chains(s, d)))
-    only = filters.edge_threshold(graph, 0.5, "SAME_COMMENT").with_(nodes=graph.nodes)
-    few = only.with_(edges=only.edges.where("src_c % 2 = 0"))
+    """Nodes that a filter by size left without edges get some."""
+    graph = pipeline.written(rank.size(rank.recency(chains(s, d))))
+    few = filters.node_threshold(graph, 60.0, "SIZE").with_(nodes=graph.nodes)
     return nearest.add_single_edges(few, base).edges.select(*ENDS, F.round("SAME_COMMENT", 6).alias("same_comment"), F.round("TEMPORAL", 6).alias("temporal"))
 
 
@@ -380,12 +510,9 @@ def chronological(s, d):
     return view.chronological(comments(s, d)).select("id", F.unix_micros("ts").alias("micros"))
 
 
-SWEEP = ("SC_CD", "SC_SB", "SC_VB_strict", "RT_merge_01")
-
-
 def config_sweep(s, d):
-    own = dict(sweeps.sweeps())
-    return pipeline.sweep(comments(s, d), {label: own[label] for label in SWEEP}).drop("seconds")
+    """All configurations of the benchmark, by their place in it, as labels repeat."""
+    return pipeline.sweep(comments(s, d), sweeps.sweeps(), vectors(s, d)).drop("seconds")
 
 
 def queries() -> dict:
@@ -405,6 +532,16 @@ def queries() -> dict:
         "scraper_dispatch": scraper_dispatch,
         "parse_html": parse_html,
         "ingest_welt": ingest_welt,
+        "ingest_taz": ingest_taz,
+        "ingest_faz": ingest_faz,
+        "ingest_zeit": ingest_zeit,
+        "ingest_tagesschau": ingest_tagesschau,
+        "ingest_spiegel": ingest_spiegel,
+        "ingest_disqus": ingest_disqus,
+        "ingest_articles": ingest_articles,
+        "example_stories": example_stories,
+        "text_vectors": text_vectors,
+        "preprocess_text": preprocess_text,
         "backfill_urls": backfill_urls,
         "delete_article": delete_article,
         "embedding_cosine": embedding_cosine,

@@ -93,3 +93,15 @@ def nest(articles: DataFrame, comments: DataFrame) -> DataFrame:
 def article_ids(articles: DataFrame, urls: DataFrame) -> DataFrame:
     """url, id of the articles asked for; an unknown url has a null id."""
     return urls.join(articles.select("url", "id"), "url", "left")
+
+
+def stories(listed: DataFrame, articles: DataFrame) -> DataFrame:
+    """title, sources (array of url, id) of stories (title, sources: array of urls), in the given order; unknown ones have a null id."""
+    from .ingest import prepared_url
+
+    each = listed.select("title", F.posexplode_outer("sources").alias("_at", "_source"))
+    each = each.withColumn("url", F.coalesce(prepared_url(F.col("_source")), "_source"))
+    known = article_ids(articles, each.select("url").where("url is not null").distinct()).groupBy("url").agg(F.min("id").alias("id"))
+    found = each.join(known, "url", "left").withColumn("_s", F.when(F.col("_source").isNotNull(), F.struct("_at", "_source", "id")))
+    listed_ = F.transform(F.array_sort(F.collect_list("_s")), lambda s: F.struct(s["_source"].alias("url"), s["id"].alias("id")))
+    return found.groupBy("title").agg(listed_.alias("sources"))

@@ -1,7 +1,7 @@
 """Platform payloads to articles and comments (S1-S12); nothing is fetched, payloads come as tables.
 
-JSON payloads are parsed by schema, and what doesn't parse is null and reported by status. HTML pages go through the standard
-library's parser in Arrow batches.
+JSON payloads are parsed by schema, or, where replies nest without bound, in Arrow batches; what doesn't parse is null and reported
+by status. HTML of any page goes through the standard library's parser here; ``pages`` has what platforms' own pages hold.
 """
 
 from __future__ import annotations
@@ -102,40 +102,89 @@ def welt(pages: DataFrame) -> DataFrame:
     return rows.groupBy("url", "comment_id").agg(last, F.min("ordinal").alias("ordinal")).select("url", "comment_id", "_c.*", "ordinal")
 
 
+#: Which counts of a reply's actions are kept, and as what.
 ACTIONS = {"UpvoteActionSummary": "upvotes", "DownvoteActionSummary": "downvotes", "LoveActionSummary": "love"}
+SPIEGEL = "url string, comment_id string, username string, user_id string, created string, text string, reply_to string, upvotes long, downvotes long, love long, ordinal array<long>"
 
 
-def _nodes_type(depth: int) -> str:
-    inner = f",replies:{_nodes_type(depth - 1)}" if depth else ""
-    return f"struct<nodes:array<struct<id:string,user:struct<username:string,id:string>,body:string,created_at:string,action_summaries:array<struct<__typename:string,count:bigint>>{inner}>>>"
+def _responses(pages: DataFrame, schema: str, rows_of) -> DataFrame:
+    """``rows_of`` (url, page, parent, response) of each payload of nested replies; what doesn't parse has none."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches):
+        import json
+
+        import pyarrow as pa
 
-def spiegel(pages: DataFrame, depth: int = 8) -> DataFrame:
-    """Comments of pages (url, page, payload) of nested replies, ``depth`` levels of them.
+        kinds = {"string": pa.string(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+        for batch in batches:
+            rows = []
+            for url, page, parent, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    response = json.loads(payload or "null")
+                except (ValueError, RecursionError):
+                    continue
+                if isinstance(response, dict):
+                    rows += rows_of(url, page, parent, response)
+            yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n) for r in rows], kinds[f.split(" ", 1)[1]]) for n, f in zip(names, schema.split(", "), strict=True)})
+
+    parent = F.col("parent") if "parent" in pages.columns else F.lit(None)
+    return pages.select("url", F.col("page").cast("long").alias("page"), parent.cast("string").alias("parent"), "payload").mapInArrow(run, schema)
+
+
+def _walk(response: dict, parent: str | None, path: list[int]):
+    """(node, parent, path) of all replies below a response, however deep, each before its own replies; (None, parent, cursor) where
+    a response goes on elsewhere."""
+    stack = [(response, parent, path)]
+    while stack:
+        given, above, where = stack.pop()
+        if where is None:  # a node that was put off
+            yield given
+            continue
+        later = []
+        for k, node in enumerate(given.get("nodes") or []):
+            later.append(((node, above, [*where, k]), None, None))
+            if isinstance(node.get("replies"), dict):
+                later.append((node["replies"], node.get("id"), [*where, k]))
+        if given.get("hasNextPage"):
+            later.append(((None, above, given.get("endCursor")), None, None))
+        stack += reversed(later)
+
+
+def spiegel(pages: DataFrame) -> DataFrame:
+    """Comments of pages (url, page, payload, and parent where a page goes on with the replies to a comment) of nested replies.
 
     A node without user or body is no comment, but its replies are, and answer it. Missing counts are 0.
     """
-    level = pages.select("url", "page", F.lit(None).cast("string").alias("parent"), F.array(F.col("page").cast("long")).alias("path"), F.from_json("payload", _nodes_type(depth)).alias("p"))
-    found = []
-    for left in range(depth, -1, -1):
-        rows = level.select("url", "parent", "path", F.posexplode("p.nodes").alias("at", "c")).withColumn("path", F.concat("path", F.array(F.col("at").cast("long"))))
-        counts = F.map_from_entries(F.transform(F.coalesce("c.action_summaries", F.array()), lambda a: F.struct(a["__typename"], a["count"])))
-        found.append(
-            rows.where("c.user is not null and c.body is not null").select(
-                "url",
-                F.col("c.id").alias("comment_id"),
-                F.col("c.user.username").alias("username"),
-                F.col("c.user.id").alias("user_id"),
-                F.try_to_timestamp("c.created_at").alias("timestamp"),
-                F.col("c.body").alias("text"),
-                F.col("parent").alias("reply_to"),
-                *[F.coalesce(counts[action], F.lit(0)).alias(name) for action, name in ACTIONS.items()],
-                F.col("path").alias("ordinal"),
-            )
-        )
-        if left:
-            level = rows.select("url", F.lit(0).alias("page"), F.col("c.id").alias("parent"), "path", F.col("c.replies").alias("p")).where("p is not null")
-    return reduce(DataFrame.unionByName, found)
+
+    def rows_of(url, page, parent, response):
+        for node, above, path in _walk(response, parent, [page]):
+            if node is None or node.get("user") is None or node.get("body") is None:
+                continue
+            counts = {a.get("__typename"): a.get("count") for a in node.get("action_summaries") or []}
+            yield {
+                "url": url,
+                "comment_id": node.get("id"),
+                "username": node["user"].get("username"),
+                "user_id": node["user"].get("id"),
+                "created": node.get("created_at"),
+                "text": node["body"],
+                "reply_to": above,
+                "ordinal": path,
+                **{name: counts.get(action) or 0 for action, name in ACTIONS.items()},
+            }
+
+    found = _responses(pages, SPIEGEL, rows_of)
+    return found.select(*[F.try_to_timestamp("created").alias("timestamp") if c == "created" else c for c in found.columns])
+
+
+def spiegel_more(pages: DataFrame) -> DataFrame:
+    """url, parent, cursor of every list of replies in the pages that goes on elsewhere; of the pages' own lists, ``parent`` is null."""
+
+    def rows_of(url, page, parent, response):
+        return [{"url": url, "parent": above, "cursor": cursor} for node, above, cursor in _walk(response, parent, [page]) if node is None]
+
+    return _responses(pages, "url string, parent string, cursor string", rows_of)
 
 
 # --- HTML platforms -----------------------------------------------------------------------------------------------------
