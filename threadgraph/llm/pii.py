@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import materialise, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "secret")  # the last has no base rule
 #: The base patterns, written so that a search is linear: repeats that can't give back are possessive, and a match may begin
@@ -66,7 +66,7 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 FEATURES = {"kind": 5, "digits": 6, "groups": 4, "valid": 2, "before": 4, "after": 4, "cue": 3, "marks": 6, "length": 4}
 PLANTS = 12_000  # examples to learn from
 PRECISION = 0.9
-ROUNDS, RATE, LEAST_HESSIAN, DEPTH = 30, 0.4, 1.0, 3
+ROUNDS, RATE, LEAST_HESSIAN, DEPTH = 20, 0.4, 1.0, 3
 
 
 def valid(kind: str, found: Column) -> Column:
@@ -357,7 +357,7 @@ class Model:
 
 def fit(spark: SparkSession, n: int = PLANTS, seed: int = 1) -> Model:
     """Trees from two thirds of ``n`` examples, thresholds from the others."""
-    one = labelled_candidates(plants(spark, n, seed)).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0)
+    one = labelled_candidates(materialise(plants(spark, n, seed), "pii-plants")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0)
     counted = one.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("positive"))
     counts = sorted((r.asDict() for r in counted.collect()), key=lambda r: [r[f] for f in FEATURES])  # a few for each example at most
     start, trees = boost([r for r in counts if not r["held"]])
