@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty
+from .hashing import give_back
 
 ROUNDS = 24  # steps of one recursion
 SLICE_CHARS = 1_500_000  # text that a slice holds, but for a longer document, which is a slice of its own
@@ -79,12 +81,17 @@ class Codec:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the generation before; what is used again moves to memo
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        merges = [(self.ranks[t[:i]], self.ranks[t[i:]], m) for t, m in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        a, c, m = (np.array(x, dtype=np.int64) for x in zip(*merges, strict=True)) if merges else (np.zeros(0, np.int64),) * 3
+        merges, rank = array("q"), self.ranks.get
+        for t, m in self.ranks.items():
+            for i in range(1, len(t)):
+                if (left := rank(t[:i])) is not None and (right := rank(t[i:])) is not None:
+                    merges.extend((left, right, m))
+        a, c, m = np.frombuffer(merges, np.int64).reshape(-1, 3).T if merges else (np.zeros(0, np.int64),) * 3
         self.db.register("_m", pa.table({"a": a, "c": c, "m": m}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM _m")
         self.db.register("_v", pa.table({"t": np.fromiter(self.ranks.values(), np.int64), "h": [t.hex() for t in self.ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM _v")
+        give_back()
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""

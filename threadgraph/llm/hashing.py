@@ -34,3 +34,16 @@ def span_hashes(data: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.nda
     forward = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTES[data] * powers(BASE, n), out=forward[1:])
     return mixed((forward[ends] - forward[first]) * powers(INVERSE, n + 1)[first])
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers are kept for later stages, beside the executor's own memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import fresh_names, join_hot, materialise, table, text_or_empty
-from .hashing import mixed, powers, span_hashes
+from .hashing import give_back, mixed, powers, span_hashes
 from .suffix_dedup import release
 
 WORDS, PERCENT = 5, 75
 PART_BYTES = 1_000_000  # bytes that are hashed at once
-SLICE_BYTES = 6_000_000  # bytes of the documents whose shingles are sorted and packed together
+SLICE_BYTES = 4_000_000  # bytes of the documents whose shingles are sorted and packed together
 LOW_BITS = 40  # of a hash within its bucket
 LEAST_BUCKETS, BUCKET_BYTES = 256, 256_000_000  # a bucket for so many bytes of text
 RANGE_ITEMS = 4_000_000  # shingles of a bucket that are counted together
@@ -166,6 +166,7 @@ def _scanner(buckets: int):
                     docs, texts, held = [], [], 0
             if docs:
                 yield packed(docs, texts)
+        give_back()
 
     return scan
 
@@ -238,6 +239,7 @@ def _count(batches):
                 key, rows = r[0], []
             rows.append(r)
     yield from work(key, rows)
+    give_back()
 
 
 SETS = "id long, doc_id long, mark long, n int, items binary, spread binary, same string"
@@ -290,6 +292,7 @@ def _assemble(batches):
                 key, rows = r[0], []
             rows.append(r)
     yield from work(rows)
+    give_back()
 
 
 # --- 4: the prefix tree -------------------------------------------------------------------------------------------------
@@ -439,6 +442,7 @@ def _link(batches):
                 key, rows = r[0], []
             rows.append(r)
     yield from work(rows)
+    give_back()
 
 
 def _prefixes(batches):
@@ -514,8 +518,7 @@ def components_of(sets: DataFrame) -> DataFrame:
     # A copy has the stars of its representative, which shares its items, so its own are left out. It may be a hub, though: the
     # least of its batch, when its representative is in another one. Its representative then is the hub.
     stars = stars.join(copies.select(F.col("id").alias("u")), "u", "left_anti")
-    hubs = stars.groupBy("v").agg(F.count(F.lit(1)).alias("k")).join(copies.select(F.col("id").alias("v"), "rep"), "v")
-    stars = join_hot(stars, hubs, "v", "k", rows).select("u", F.coalesce("rep", "v").alias("v"))
+    stars = stars.join(copies.select(F.col("id").alias("v"), "rep"), "v", "left").select("u", F.coalesce("rep", "v").alias("v"))
     groups = materialise(connected_components(stars), "ngram-groups")
 
     weighed = groups.join(live.select(F.col("id").alias("node"), (F.octet_length("items") / 8).alias("w")), "node")

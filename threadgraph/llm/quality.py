@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
+from .hashing import give_back
 
 MAX_LABELLED = 20_000  # rows to learn from, at most
 FEATURES = 256  # random Fourier features
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(model.score(_statistics_of(batch.column(1))), pa.float64())})
+        give_back()
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -208,6 +210,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for batch in batches:
             texts = batch.column(place).fill_null("")
             yield batch.filter(pa.array(model.score(_statistics_of(texts)) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -34,7 +34,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table, text_or_empty
-from .hashing import BASE, BYTES, mixed, span_hashes
+from .hashing import BASE, BYTES, give_back, mixed, span_hashes
 
 LENGTH = 100
 GRAM = 37  # so that a window has 64 k-grams
@@ -182,6 +182,7 @@ def _scan(batches):
                 held += len(part)
         if parts:
             yield from work(parts)
+    give_back()
 
 
 FOUND = "kind int, h long, doc long, tag long, lo int, hi int"  # kind 0: bytes lo to hi are repeats; 1: bytes to send for
@@ -294,6 +295,7 @@ def _settle(batches):
                 yield from defer(group)
                 group, own = [], 0
     yield from work(shard + group)
+    give_back()
 
 
 def release(spark: SparkSession) -> None:
