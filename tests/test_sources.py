@@ -203,3 +203,27 @@ def test_stories_and_text_vectors(spark):
     assert got[1] == pytest.approx([0.2, 2.8 / 3]) and got[2] == got[3] == [0.0, 0.0]
     df = spark.createDataFrame([("The Äpfel, 3x_y!",), (None,)], "t string")
     assert [r.x for r in df.select(tx.preprocess(F.col("t"), stop_words=["the"]).alias("x")).collect()] == [["äpfel", ",", "3x_y", "!"], []]
+
+
+def test_steps_are_kept_in_the_shared_folder_and_deleted(spark):
+    from pathlib import Path
+
+    from threadgraph import storage
+
+    kept = storage.materialise(spark.range(3), "probe")
+    assert kept.count() == 3 and storage.steps_dir(spark).startswith(storage.shared_dir(spark))
+    folder = Path(storage.steps_dir(spark).removeprefix("file://"))
+    assert any(p.name.startswith("probe-") for p in folder.iterdir())
+    storage.delete_steps(spark)
+    assert not folder.exists()
+
+    class Cluster:  # a session on a cluster without a shared folder
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, applicationId = "yarn", "x"
+            getConf = staticmethod(lambda: Cluster.conf)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Cluster)

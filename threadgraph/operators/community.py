@@ -8,6 +8,7 @@ splits. Greedy modularity needs the number of all edges, and joins only within c
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 import pandas as pd
@@ -83,34 +84,42 @@ def first_split(own: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy_modularity(own: pd.DataFrame, edges: int) -> pd.DataFrame:
-    """One component: communities by joining the pair that gains most modularity while any does; ties by least nodes."""
-    near = _graph_of(own)
-    weight = {v: {} for v in near}
-    for v, others in near.items():
+    """One component: communities by joining the pair that gains most modularity while any does; ties by least nodes.
+
+    Gains are whole numbers (times 2 edges**2), so ties are exact. A heap holds a gain for each pair of neighbours, anew for each
+    pair of a community that grew; what is out of date is skipped.
+    """
+    weight: dict[int, dict[int, int]] = {}
+    for v, others in _graph_of(own).items():
+        near = weight[v] = {}
         for w in others:
-            weight[v][w] = weight[v].get(w, 0) + 1
-    degree = {v: len(n) for v, n in near.items()}
-    members = {v: [v] for v in near}
-    while True:
-        best, pick = 1e-15, None
-        for v in sorted(weight):
-            for w in sorted(weight[v]):
-                if v < w:
-                    gain = weight[v][w] / edges - degree[v] * degree[w] / (2 * edges * edges)
-                    if gain > best + 1e-15:
-                        best, pick = gain, (v, w)
-        if pick is None:
-            break
-        v, w = pick
+            near[w] = near.get(w, 0) + 1
+    degree = {v: sum(near.values()) for v, near in weight.items()}
+    members = {v: [v] for v in weight}
+    grown = dict.fromkeys(weight, 0)  # how often a community grew
+
+    def entry(v, w):
+        v, w = min(v, w), max(v, w)
+        return degree[v] * degree[w] - 2 * edges * weight[v][w], v, w, grown[v], grown[w]
+
+    heap = [entry(v, w) for v in weight for w in weight[v] if v < w]
+    heapq.heapify(heap)
+    while heap and heap[0][0] < 0:
+        _, v, w, at_v, at_w = heapq.heappop(heap)
+        if grown.get(v) != at_v or grown.get(w) != at_w:
+            continue
         for x, n in weight.pop(w).items():
+            del weight[x][w]
             if x != v:
-                weight[v][x] = weight[v].get(x, 0) + n
-                weight[x][v] = weight[v][x]
-            weight[x].pop(w, None)
+                weight[v][x] = weight[x][v] = weight[v].get(x, 0) + n
         degree[v] += degree.pop(w)
         members[v] += members.pop(w)
-    rows = [(node, v, len(m)) for v, m in members.items() for node in m]
-    return pd.DataFrame({"node": [r[0] for r in rows], "side": [min(members[r[1]]) for r in rows], "size": [r[2] for r in rows]})
+        grown[v] += 1
+        del grown[w]
+        for x in weight[v]:
+            heapq.heappush(heap, entry(v, x))
+    rows = [(node, min(m), len(m)) for m in members.values() for node in m]
+    return pd.DataFrame(rows, columns=["node", "side", "size"])
 
 
 def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True) -> Graph:

@@ -217,6 +217,25 @@ INGEST = {
 }
 
 
+def modularity(kind: str, generator: str) -> str:
+    """Greedy modularity over the edges of a kind, a join of two communities at each step; numbered by size, then by first node."""
+    return f"""{graph(generator)}, K AS MATERIALIZED (
+      SELECT DISTINCT least(src_c * 1048576 + src_s, tgt_c * 1048576 + tgt_s) AS a, greatest(src_c * 1048576 + src_s, tgt_c * 1048576 + tgt_s) AS b FROM E WHERE {kind} <> 0
+    ), M AS MATERIALIZED (SELECT count(*) AS m FROM K),
+    G AS MATERIALIZED (SELECT node, count(*) AS d FROM (SELECT a AS node FROM K UNION ALL SELECT b FROM K) GROUP BY node),
+    s(step, node, d, label) AS (
+      SELECT 0, node, d, node FROM G
+      UNION ALL
+      (WITH own AS (SELECT label, sum(d) AS d FROM s GROUP BY label),
+       near AS (SELECT least(x.label, y.label) AS v, greatest(x.label, y.label) AS w, count(*) AS c FROM K JOIN s x ON x.node = a JOIN s y ON y.node = b WHERE x.label <> y.label GROUP BY ALL),
+       best AS (SELECT v, w FROM near JOIN own p ON p.label = v JOIN own q ON q.label = w, M WHERE 2 * m * c > p.d * q.d ORDER BY 2 * m * c - p.d * q.d DESC, v, w LIMIT 1)
+       SELECT step + 1, node, d, CASE WHEN label = w THEN v ELSE label END FROM s, best)
+    ), last AS (SELECT node, label FROM s WHERE step = (SELECT max(step) FROM s)),
+    every AS (SELECT c_idx, s_idx, coalesce(label, c_idx * 1048576 + s_idx) AS label FROM nodes LEFT JOIN last ON node = c_idx * 1048576 + s_idx),
+    named AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS id FROM every GROUP BY label)
+    SELECT c_idx, s_idx, id::DOUBLE AS CLUSTER_ID FROM every JOIN named USING (label)"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {NODES}"
     o: dict[str, str] = {}
@@ -234,6 +253,19 @@ def oracle_sql() -> dict[str, str]:
     o["article_lookup"] = """WITH a AS (SELECT DISTINCT conv_id AS id, 'https://www.zeit.de/a/' || conv_id AS url FROM conversations)
       SELECT url, id FROM a UNION ALL SELECT url || '/x', NULL FROM a"""
     o |= INGEST
+    for name in ("reply_to", "same_article", "same_comment"):
+        o[f"cluster_{name}_gmc"] = modularity(SHORT[name], SHORT[name])
+    o["cluster_same_group_gmc"] = modularity("SAME_GROUP", "SAME_COMMENT")  # no generator makes such edges
+    o["merge_ids_reply_to"] = f"""{graph('REPLY_TO')}, K AS MATERIALIZED (
+      SELECT src_c * 1048576 + src_s AS a, tgt_c * 1048576 + tgt_s AS b, row_number() OVER (ORDER BY {ENDS}) AS rn FROM E WHERE REPLY_TO >= 0.5
+    ), s(step, node, cl, following) AS (
+      SELECT 0, node, NULL::BIGINT, 0::BIGINT FROM (SELECT a AS node FROM K UNION SELECT b FROM K)
+      UNION ALL
+      (WITH e AS (SELECT a, b, x.cl AS x, y.cl AS y FROM K JOIN s x ON x.node = a AND rn = x.step + 1 JOIN s y ON y.node = b)
+       SELECT step + 1, node, CASE WHEN x IS NULL AND y IS NULL AND node IN (a, b) THEN following WHEN x IS NULL AND node = a THEN y WHEN y IS NULL AND node = b THEN x WHEN x <> y AND cl = y THEN x ELSE cl END,
+         following + (x IS NULL AND y IS NULL)::INT FROM s, e)
+    ), last AS (SELECT node, cl FROM s WHERE step = (SELECT max(step) FROM s))
+    SELECT c_idx, s_idx, coalesce(cl, -row_number() OVER (PARTITION BY cl IS NULL ORDER BY c_idx, s_idx))::DOUBLE AS MERGE_ID FROM nodes LEFT JOIN last ON node = c_idx * 1048576 + s_idx"""
     o["scraper_dispatch"] = f"SELECT page_id, {PLATFORM} AS platform FROM {URLS}"
     o["url_normalize"] = f"SELECT page_id, CASE {PLATFORM} WHEN 'WeltScraper' THEN split_part(url, '#', 1) WHEN 'FAZScraper' THEN replace(split_part(url, '#', 1), 'https://m.', 'https://') ELSE CASE WHEN {PLATFORM} IS NOT NULL THEN url END END AS prepared FROM {URLS}"
     o["ingest_welt"] = """

@@ -608,4 +608,5 @@ def queries() -> dict:
     for name in ("reply_to", "same_comment", "same_article", "same_group"):
         for algorithm, tag in (("GirvanNewman", "gn"), ("GreedyModularity", "gmc")):
             q[f"cluster_{name}_{tag}"] = partial(cluster_query, kind=SHORT[name], base=structural, algorithm=algorithm)
+    q["cluster_temporal_gmc"] = partial(cluster_query, kind="TEMPORAL", base=four, algorithm="GreedyModularity")
     return q

@@ -9,16 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='threadgraph-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def steps_dir(spark: SparkSession) -> str:
+    """Folder of the steps that this application writes down."""
+    return f"{shared_dir(spark)}/threadgraph-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{steps_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_steps(spark: SparkSession) -> None:
+    """Delete all steps written down so far; results that weren't read to their end can't be read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
