@@ -115,3 +115,10 @@ def test_stored_blocks(docs_of, odd_texts):
         back[r.doc_id] += bytes(r.pcm)
     assert back == {k: media.payload_of(t or "") for k, t in enumerate(odd_texts)}
     assert media.round_trip(docs_of(odd_texts).where("false")).count() == 0
+
+
+def test_null_and_shared_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "a", 1, "i"), (None, None, 2, "j"), (3, "a", 3, "k"), (3, "b", 4, "l")], "doc_id long, text string, n_bytes int, media string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.payload_sha256) for r in media.round_trip(docs).collect())
+    padded = lambda t: hashlib.sha256(t + b"\0" * (64 - len(t))).hexdigest()
+    assert got == sorted([(0, 1, padded(b"a")), (0, 0, padded(b"")), (3, 1, padded(b"a")), (3, 1, padded(b"b"))])

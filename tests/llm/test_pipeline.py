@@ -76,3 +76,19 @@ def test_stages_and_run(spark, corpus):
         assert list(r.ids) == own.encode_ordinary(texts[k] or "") and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256((texts[k] or "").encode()).hexdigest()
     assert sorted(r.doc_id for r in cp.run(spark, where).collect()) == sorted(last)
+
+
+def test_stages_on_rows_that_share_ids(spark, corpus):
+    """No text is lost by the stages that remove copies, whatever ids rows have."""
+    rng = random.Random(31)
+    a, b, c = (words(rng, 70, 900) for _ in range(3))
+    rows = [(5, a), (5, b), (5, c), (9, b.upper()), (None, a), (None, c + " x"), (None, None), (11, a + " y")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(cp.STAGES)
+    one = stages["exact_dedup"](spark, docs, corpus[0])
+    key = lambda r: (r.doc_id or 0, (r.text or "").lower())
+    assert one.columns == docs.columns
+    assert sorted(map(key, one.collect())) == sorted([(5, a), (9, b), (5, c), (0, c + " x"), (0, ""), (11, a + " y")])
+    far = stages["near_dedup"](spark, one, corpus[0])
+    assert far.columns == docs.columns
+    assert sorted(map(key, far.collect())) == sorted([(5, a), (9, b), (5, c), (0, "")])

@@ -63,3 +63,11 @@ def test_empty_table_and_nulls(docs_of):
     docs = docs_of(["x", None])
     assert tc.token_counts(docs.where("false"), VOCAB).count() == 0
     assert {tuple(r) for r in tc.token_counts(docs.where("text is null"), VOCAB).collect()} == {(1, 0, 0.0)}
+
+
+def test_null_and_shared_ids_and_clashing_columns(spark, reference):
+    rows = [(None, "a b", 1, "i"), (None, None, 2, "j"), (3, "a b", 3, "k"), (3, "word", 4, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, pieces string")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in tc.token_counts(docs, VOCAB).collect())
+    alone = {r.doc_id: r.n_tokens for r in tc.token_counts(spark.createDataFrame([(1, "a b"), (2, ""), (4, "word")], "doc_id long, text string"), VOCAB).collect()}
+    assert got == sorted([(0, alone[1]), (0, alone[2]), (3, alone[1]), (3, alone[4])])
