@@ -38,8 +38,11 @@ def test_pairs(spark):
     rows += [(2, 0, u, "solo"), (2, 1, a, None), (4, 0, u, "no answer"), (5, 0, a, "x"), (6, 0, a, "same"), (7, 0, a, "same"), (8, None, None, None), (8, 1, a, "z"), (9, 1, a, "z2"), (9, 1, a, "z2")]
     rows += [(None, 0, u, "lost"), (None, 1, a, "y")] + [(10, k, (u, a)[k % 2], f"t{k}") for k in range(300)] + [(11, 0, a, "r")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: tuple(r)[1:] for r in p.format_pairs(p.pairs_from_conversations(p.conversations(df.withColumn("chosen", df.turn)))).collect()}
-    assert out == brute(rows)
+    found = p.format_pairs(p.pairs_from_conversations(p.conversations(df.withColumn("chosen", df.turn).withColumn("_apart", df.turn)))).collect()
+    assert {r.conv_id: tuple(r)[1:] for r in found if r.conv_id is not None} == brute([r for r in rows if r[0] is not None])
+    # Turns without a conversation are conversations of one turn.
+    alone = sorted(tuple(r)[1:] for r in found if r.conv_id is None)
+    assert alone == sorted(brute([r])[None] for r in rows if r[0] is None) and len(alone) == 2
     assert p.format_pairs(p.pairs_from_conversations(p.conversations(df.where("false")))).count() == 0
 
 

@@ -8,7 +8,7 @@ says, with its end mark) and of those that aren't (0: headers, other roles), in
 with its last assistant turn replaced by that of the conversation whose id differs in the lowest bit.
 
 Defined results: turns go by turn, then role, then text, nulls first; a null role is written ``unknown`` and a null text is
-empty; repeated rows are repeated turns; rows of a null conversation id form one conversation, which has no partner. A
+empty; repeated rows are repeated turns; a turn of a null conversation id is a conversation by itself, which has no partner. A
 conversation without an assistant turn, or without a partner that has one, is ``unpaired``: all of it is the prompt and the
 completions are null. Where both are equal the pair is ``identical`` and its completions are empty. An empty table gives an
 empty result; further columns are ignored. A turn shuffles once with its conversation; nothing is paired within a group.
@@ -28,7 +28,10 @@ def conversations(turns: DataFrame) -> DataFrame:
     """conv_id, turns (array of role and text, in order)."""
     turn = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = F.sort_array(F.collect_list(turn))
-    return turns.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    # Turns without a conversation, which may be very many, aren't gathered: each is one by itself.
+    apart = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    own = turns.select("conv_id", apart.alias("_apart"), "turn", "role", "text")
+    return own.groupBy("conv_id", "_apart").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).drop("_apart")
 
 
 def render(turns: Column) -> Column:
@@ -101,7 +104,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH c AS (
   SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, '')) ORDER BY turn, role, text) AS turns
-  FROM conversations GROUP BY conv_id
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS apart FROM conversations) GROUP BY conv_id, apart
 ), p AS (
   SELECT *, coalesce(list_max([i FOR i IN range(1, len(turns) + 1) IF turns[i].role = 'assistant']), 0) AS at FROM c
 ), r AS (
