@@ -236,6 +236,18 @@ def modularity(kind: str, generator: str) -> str:
     SELECT c_idx, s_idx, id::DOUBLE AS CLUSTER_ID FROM every JOIN named USING (label)"""
 
 
+def first_cut(kind: str, generator: str) -> str:
+    """The first split by betweenness of a graph whose edges lead from a node to later ones, each with one such edge: a forest, in
+    which an edge lies on as many shortest paths as its two sides have pairs, so the first one removed splits its tree."""
+    return f"""{graph(generator)}, K AS MATERIALIZED (SELECT src_c * 1048576 + src_s AS a, tgt_c * 1048576 + tgt_s AS b FROM E WHERE {kind} <> 0),
+    up(node, top) AS (SELECT b, a FROM K UNION ALL SELECT node, a FROM up JOIN K ON b = top),
+    named AS MATERIALIZED (SELECT c_idx, s_idx, key, coalesce(min(top), key) AS root FROM (SELECT c_idx, s_idx, c_idx * 1048576 + s_idx AS key FROM nodes) LEFT JOIN up ON node = key GROUP BY c_idx, s_idx, key),
+    total AS (SELECT root, count(*) AS n FROM named GROUP BY root), below AS (SELECT top, 1 + count(*) AS n FROM up GROUP BY top),
+    cut AS (SELECT b FROM K JOIN named ON key = b JOIN total t USING (root) LEFT JOIN below w ON w.top = b ORDER BY coalesce(w.n, 1) * (t.n - coalesce(w.n, 1)) DESC, a, b LIMIT 1),
+    sides AS (SELECT c_idx, s_idx, CASE WHEN key IN (FROM cut) OR key IN (SELECT node FROM up WHERE top IN (FROM cut)) THEN (FROM cut) ELSE root END AS side FROM named)
+    SELECT c_idx, s_idx, (dense_rank() OVER (ORDER BY side) - 1)::DOUBLE AS CLUSTER_ID FROM sides"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {NODES}"
     o: dict[str, str] = {}
@@ -255,6 +267,9 @@ def oracle_sql() -> dict[str, str]:
     o |= INGEST
     for name in ("reply_to", "same_article", "same_comment"):
         o[f"cluster_{name}_gmc"] = modularity(SHORT[name], SHORT[name])
+    for name in ("reply_to", "same_comment"):
+        o[f"cluster_{name}_gn"] = first_cut(SHORT[name], SHORT[name])
+    o["cluster_same_group_gn"] = first_cut("SAME_GROUP", "SAME_COMMENT")
     o["cluster_same_group_gmc"] = modularity("SAME_GROUP", "SAME_COMMENT")  # no generator makes such edges
     o["merge_ids_reply_to"] = f"""{graph('REPLY_TO')}, K AS MATERIALIZED (
       SELECT src_c * 1048576 + src_s AS a, tgt_c * 1048576 + tgt_s AS b, row_number() OVER (ORDER BY {ENDS}) AS rn FROM E WHERE REPLY_TO >= 0.5
