@@ -30,6 +30,27 @@ def test_round_trip(payloads, order, block, lpc):
     assert samples(flac.encode(payloads, block, order, lpc)) == payloads
 
 
+@pytest.mark.parametrize("order", [0, 2])
+@pytest.mark.parametrize("lpc", [media.LPC, ((4, -9, 6), 3)])
+def test_linear_prediction(monkeypatch, order, lpc):
+    """Signals that a predictor tells best are stored by it, and read back."""
+    rng, own, (coefs, shift) = random.Random(9), [], lpc
+    for size in (64, 4096, 9000):
+        if lpc == media.LPC:  # text
+            own.append(bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz" * 2 + b"       ") for _ in range(size)))
+            continue
+        values = [rng.randint(-90, 90) for _ in coefs]
+        while len(values) < size:
+            told = sum(c * v for c, v in zip(coefs, reversed(values), strict=False)) >> shift
+            values.append(max(-128, min(127, told + rng.randint(-12, 12))))
+        own.append(bytes(v + 128 for v in values))
+    plain, streams, kinds, parse = flac.encode(own, 1024, order), flac.encode(own, 1024, order, lpc), [], flac.parse_frame
+    monkeypatch.setattr(flac, "parse_frame", lambda data, start: (kinds.append(found.kind) if (found := parse(data, start)) else None) or found)
+    assert samples(streams) == own
+    assert kinds.count("lpc") > len(kinds) / 2
+    assert sum(map(len, streams)) < sum(map(len, plain))
+
+
 def test_compresses_and_seeks(payloads):
     stream = flac.encode([payloads[2]], 512)[0]
     assert len(stream) < 0.75 * len(payloads[2])
@@ -104,7 +125,7 @@ def test_query_columns(docs_of, odd_texts):
         assert len(payload) % 64 == 0 and len(payload) >= 64
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
-        assert r.media_sha256 == hashlib.sha256(flac.encode([payload])[0]).hexdigest()
+        assert r.media_sha256 == hashlib.sha256(flac.encode([payload], lpc=media.LPC)[0]).hexdigest()
     assert len({tuple(r)[1:] for r in rows if r.n_bytes == 0}) == 1
 
 

@@ -94,8 +94,8 @@ def utf8_number(value: int) -> bytes:
 def encode(payloads: list[bytes], block: int = BLOCK, partition_order: int = 0, lpc: tuple[tuple[int, ...], int] | None = None) -> list[bytes]:
     """A FLAC stream for each payload; its bytes, less 128, are the samples.
 
-    Each frame takes the cheapest of constant, verbatim and fixed predictors of order 0 to 2, or where ``lpc`` gives
-    (coefficients, shift), that linear predictor. Frames of equal payloads are encoded once for all of them.
+    Each frame takes the cheapest of constant, verbatim, fixed predictors of order 0 to 2 and, where ``lpc`` gives (coefficients,
+    shift), that linear predictor. Frames of equal payloads are encoded once for all of them.
     """
     which = {p: k for k, p in enumerate(dict.fromkeys(payloads))}
     unique = list(which)
@@ -133,6 +133,11 @@ def _fold(residual: np.ndarray) -> np.ndarray:
     return np.where(residual < 0, -2 * residual - 1, 2 * residual)
 
 
+def _rice(mean: np.ndarray) -> np.ndarray:
+    """Rice parameters for folded residuals of these means."""
+    return np.clip(np.floor(np.log2(np.maximum(mean, 1) * 0.7 + 1e-9)), 0, 14).astype(np.int64)
+
+
 def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], partition_order: int, lpc) -> list[bytes]:
     if not len(sizes):
         return []
@@ -150,22 +155,22 @@ def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], parti
             sums[lag:] += c * data[:-lag]
         return np.where(place < len(coefs), 0, data - (sums >> shift)).astype(np.int32)
 
-    order = np.zeros(count, np.int64)
-    if lpc is None:
-        folded = _fold(data)
-        cost = np.add.reduceat(folded.astype(np.int64), base)
-        for k in (1, 2):
-            other = _fold(residual(FIXED[k]))
-            total = np.add.reduceat(other.astype(np.int64), base) + 8 * k
-            better = (total < cost) & (sizes > k)
-            if better.any():
-                folded = np.where(better[frame], other, folded)
-                cost, order = np.where(better, total, cost), np.where(better, k, order)
-    else:
-        coefs, shift = lpc
-        long = sizes > len(coefs)
-        folded = np.where(long[frame], _fold(residual(coefs, shift)), _fold(data))
-        order = np.where(long, len(coefs), 0)
+    def bits_of(folded, k, extra):
+        """Nearly what each frame takes with these residuals, beside its header: ``k`` samples of warm-up and ``extra`` bits."""
+        total, n = np.add.reduceat(folded.astype(np.int64), base), np.maximum(sizes - k, 1)
+        rice = _rice(total / n)
+        return n * (rice + 1) + (total >> rice) + 8 * k + extra
+
+    order, linear, folded = np.zeros(count, np.int64), np.zeros(count, bool), _fold(data)
+    cost = bits_of(folded, 0, 0)
+    for coefs, shift in [(FIXED[1], 0), (FIXED[2], 0)] + ([lpc] if lpc else []):
+        k, own = len(coefs), (coefs, shift) == lpc
+        other = _fold(residual(coefs, shift))
+        total = bits_of(other, k, 9 + 15 * k if own else 0)
+        better = (total < cost) & (sizes > k)
+        if better.any():
+            folded = np.where(better[frame], other, folded)
+            cost, order, linear = np.where(better, total, cost), np.where(better, k, order), np.where(better, own, linear)
 
     parts_of = np.where((sizes % (1 << partition_order) == 0) & (sizes >> partition_order > order), partition_order, 0)
     part = place // np.maximum(sizes >> parts_of, 1)[frame]
@@ -175,7 +180,7 @@ def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], parti
     coded = place >= order[frame]
     held = np.bincount(part, coded, n_parts)
     mean = np.bincount(part, folded * coded, n_parts) / np.maximum(held, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean, 1) * 0.7 + 1e-9)), 0, 14).astype(np.int64)
+    k = _rice(mean)
     rice = k[part]
     quotient = folded >> rice
     width = np.where(coded, quotient + 1 + rice, 0).astype(np.int64)
@@ -187,7 +192,10 @@ def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], parti
 
     bits = np.add.reduceat(width + extra, base)
     low, high = np.minimum.reduceat(data, base), np.maximum.reduceat(data, base)
-    kind = np.where(low == high, 0, np.where(-(-bits // 8) + order > sizes, 1, 2))  # constant, verbatim, predicted
+    # An LPC subframe has its coefficients between the warm-up and the residual: 4 + 5 + 15 bits each.
+    between = np.where(linear, 9 + 15 * order, 0)
+    kind = np.where(low == high, 0, np.where(-(-(bits + between) // 8) + order > sizes, 1, 2))  # constant, verbatim, predicted
+    between[kind != 2] = 0
     raw = data.astype(np.int8).view(np.uint8)
     heads = []
     for f in range(count):
@@ -198,16 +206,11 @@ def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], parti
             head += b"\x00" + own[:1].tobytes()
         elif kind[f] == 1:
             head += b"\x02" + own.tobytes()
-        elif lpc is None or order[f] == 0:
+        elif not linear[f]:
             head += bytes([(8 | int(order[f])) << 1]) + own[: order[f]].tobytes()
         else:
-            coefs, shift = lpc
-            head += bytes([(32 | len(coefs) - 1) << 1]) + own[: order[f]].tobytes()
+            head += bytes([(32 | int(order[f]) - 1) << 1]) + own[: order[f]].tobytes()
         heads.append(head)
-    # An LPC subframe has its coefficients between the warm-up and the residual: 4 + 5 + 15 bits each.
-    between = np.zeros(count, np.int64)
-    if lpc is not None:
-        between = np.where((kind == 2) & (order > 0), 9 + 15 * len(lpc[0]), 0)
     head_sizes = np.array([len(h) for h in heads])
     frame_sizes = head_sizes + np.where(kind == 2, -(-(bits + between) // 8), 0) + 2
     at = np.cumsum(frame_sizes) - frame_sizes
@@ -232,14 +235,13 @@ def _encode_frames(data: np.ndarray, sizes: np.ndarray, number: list[int], parti
     put(rice[opens], code_at[opens] - 4, 4)
     firsts = base[kind == 2]
     put(parts_of[kind == 2], code_at[firsts] - 8, 4)
-    if lpc is not None:
+    predicted = np.flatnonzero(between)
+    if len(predicted):
         coefs, shift = lpc
-        for f in np.flatnonzero(between):
-            own = np.array([bit_base[f]])
-            put(np.array([14]), own, 4)
-            put(np.array([shift & 31]), own + 4, 5)
-            for j, c in enumerate(coefs):
-                put(np.array([c & 0x7FFF]), own + 9 + 15 * j, 15)
+        put(np.full(len(predicted), 14), bit_base[predicted], 4)
+        put(np.full(len(predicted), shift & 31), bit_base[predicted] + 4, 5)
+        for j, c in enumerate(coefs):
+            put(np.full(len(predicted), c & 0x7FFF), bit_base[predicted] + 9 + 15 * j, 15)
     packed = np.packbits(out)
     for f, head in enumerate(heads):
         packed[at[f] : at[f] + head_sizes[f]] = np.frombuffer(head, np.uint8)
