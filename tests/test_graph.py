@@ -166,6 +166,32 @@ def test_merge_replay_of_many_orders():
         assert sorted(ids[tuple(o)] for o, stays in zip(out["ord"], out["stays"], strict=True) if stays) == sorted(set(want.values()))
 
 
+def test_merge_forests_leave_ids_alone():
+    """Edges in any partitions: each keeps a forest of its own, and the replay of what is left gives the same ids."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for _ in range(300):
+        order = [tuple(rng.choices(range(9), k=2)) for _ in range(rng.randint(1, 40))]
+        parts: list[list[int]] = [[] for _ in range(3)]
+        for k in range(len(order)):
+            rng.choice(parts).append(k)
+        left = []
+        for own in parts:
+            rows = pa.table({"a": [order[k][0] for k in own], "b": [order[k][1] for k in own], "ord": own}, pa.schema({"a": pa.int64(), "b": pa.int64(), "ord": pa.int64()}))
+            kept = [k for batch in merge.forest(rows.to_batches(4)) for k in batch.column("ord").to_pylist()]
+            assert sum(order[k][0] != order[k][1] for k in kept) < 9
+            left += kept
+        left.sort()
+
+        def ids(places):
+            out = merge.replay(pd.DataFrame({"component": 0, "a": [order[k][0] for k in places], "b": [order[k][1] for k in places], "ord": [[k] for k in places]}))
+            return [(tuple(o), stays) for o, stays in zip(out["ord"], out["stays"], strict=True)]
+
+        assert ids(left) == ids(range(len(order)))
+
+
 def test_merge_multi_and_empty(graph, expected):
     nodes = sorted(weights(graph.nodes, "SIZE"))
     got = weights(merge.merge_multi(graph, {"SAME_GROUP": -1.0}, conj_or=True).nodes, "MERGE_ID")

@@ -102,6 +102,11 @@ def test_search(spark):
     assert search.search(index, docs, "zebra run").count() == 0 and search.search(index, docs, " . ").count() == 0
     exact = search.build_index(docs, "exact", stem=False, stop_words=["the"])
     assert {r.term for r in exact.collect()} == {"running", "runner", "runs", "run", "of", "ber", "things", "thing"}
+    for query, strategy, stem in ((" run ", "prefix", True), ("run th", "prefix", True), ("the", "exact", False), ("u", "all", False), ("n th", "all", False), (" . ", "prefix", True)):
+        whole, own = search.build_index(docs, strategy, stem=stem), search.build_index(docs, strategy, query, stem=stem)
+        asked = search.query_tokens(query, stem)
+        assert sorted(own.collect()) == sorted(whole.where(F.col("term").isin(asked)).collect())
+        assert search.search(own, docs, query, stem).collect() == search.search(whole, docs, query, stem).collect()
     assert not search.triggered("a") and search.triggered("ab")
     (r,) = docs.where("id = 2").select(search.highlight(F.col("text"), ["ru"]).alias("x")).collect()
     assert r.x == "The <mark>RU</mark>N of über things"

@@ -3,6 +3,9 @@
 Ids come from the order of edges: one whose ends are both new opens a cluster with the next id; where two clusters meet, the one
 of the source stays. Components are found on DataFrames; which of a component's ids stays is settled by replaying its edges in
 order, and ids are then counted over all components. Nodes outside get -1, -2, ... in node order.
+
+An edge within what earlier edges have tied together changes nothing. So each partition keeps a forest of its first edges, and a
+component's task reads as many edges as it has nodes for each partition it lies in, however many pairs qualify.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_WEIGHTS, NODE, Graph, check_name, dense_position
+from ..storage import materialise
 from .components import connected_components
 
 SHIFT = 20  # sentences of a comment fit into so many bits of a node key
@@ -23,6 +27,26 @@ def node_key(c: Column, s: Column) -> Column:
     return F.shiftleft(c.cast("long"), SHIFT) + s
 
 
+def forest(batches):
+    """Of edges in order, those that tie two parts together, and those from a node to itself (Kruskal's forest)."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            keep.append(a == b or x != y)
+            parent[x] = y
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def replay(edges: pd.DataFrame) -> pd.DataFrame:
     """One component: every edge that opens a cluster, and whether that cluster's id stays."""
     own: dict[int, int] = {}
@@ -58,6 +82,7 @@ def qualifying(edges: DataFrame, thresholds: dict[str, float], smaller_as: bool
 
 def merge_edges(graph: Graph, edges: DataFrame, name: str = "MERGE_ID") -> Graph:
     keyed = edges.select(node_key(F.col("src_c"), F.col("src_s")).alias("a"), node_key(F.col("tgt_c"), F.col("tgt_s")).alias("b"), "ord")
+    keyed = materialise(keyed.sortWithinPartitions("ord").mapInArrow(forest, "a long, b long, ord array<long>"), "merge-forest")
     found = connected_components(keyed.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = keyed.join(found, keyed["a"] == found["node"]).select("component", "a", "b", "ord")
     seeds = placed.groupBy("component").applyInPandas(lambda own: replay(own.sort_values("ord", key=lambda s: s.map(tuple), kind="stable")), "component long, ord array<long>, stays boolean")

@@ -62,37 +62,33 @@ def pagerank_of(nodes: DataFrame, edges: DataFrame, edge_type: str = "TEMPORAL",
     its shuffle; the driver sees three numbers of it, and the lineage is cut every few iterations.
     """
     check_name(edge_type, EDGE_WEIGHTS)
-    used = materialise(edges.where(F.col(edge_type) != 0).select("src_c", "src_s", "tgt_c", "tgt_s", F.col(edge_type).alias("w")), "pagerank-used")
-    sums = used.groupBy("src_c", "src_s").agg(F.sum("w").alias("r"))
-    share = materialise(used.join(sums, ["src_c", "src_s"]).select("src_c", "src_s", F.col("tgt_c").alias("c_idx"), F.col("tgt_s").alias("s_idx"), (F.col("w") / F.col("r")).alias("p")), "pagerank-edges")
-    if share.isEmpty():
+    used = materialise(edges.where(F.col(edge_type) != 0).select("src_c", "src_s", F.col("tgt_c").alias("c_idx"), F.col("tgt_s").alias("s_idx"), F.col(edge_type).alias("w")), "pagerank-edges")
+    if used.isEmpty():
         raise GraphError(f"no edge has a {edge_type} weight")
-    # Both sides stay dealt by target, so an iteration only moves the ranks.
-    parts = int(share.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = share.repartition(parts, *NODE).persist()
-    gives = share.select(F.col("src_c").alias("c_idx"), F.col("src_s").alias("s_idx")).distinct().withColumn("gives", F.lit(True))
-    base = materialise(nodes.select(*NODE).join(gives, list(NODE), "left").withColumn("gives", F.coalesce("gives", F.lit(False))), "pagerank-nodes").repartition(parts, *NODE).persist()
-    n = base.count()
-    x = base.select(*NODE, "gives", F.lit(1.0 / n).alias("x"))
-    stats = base.agg(F.sum(F.col("gives").cast("long")).alias("k")).first()
-    giving = stats["k"] / n
+    # Edges stay dealt by target, as nodes are, so an iteration only moves the ranks.
+    parts = int(used.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = used.repartition(parts, *NODE).persist()
+    given = used.groupBy(F.col("src_c").alias("c_idx"), F.col("src_s").alias("s_idx")).agg(F.sum("w").alias("r"))
+    base = materialise(nodes.select(*NODE).join(given, list(NODE), "left"), "pagerank-nodes")
+    counts = base.agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("k")).first()
+    n, giving = counts["n"], counts["k"] / counts["n"]
+    x = base.repartition(parts, *NODE).select(*NODE, "r", F.lit(1.0 / n).alias("x")).persist()
+    gives = F.col("r").isNotNull()
     for k in range(1, iterations + 1):
         leak = ((1 - damping) * giving + (1 - giving)) / n
-        source = x.select(F.col("c_idx").alias("src_c"), F.col("s_idx").alias("src_s"), "x")
+        source = x.where(gives).select(F.col("c_idx").alias("src_c"), F.col("s_idx").alias("src_s"), (F.col("x") / F.col("r")).alias("x"))
         if n <= BROADCAST_NODES:
             source = F.broadcast(source)
-        got = share.join(source, ["src_c", "src_s"]).groupBy(*NODE).agg(F.sum(F.col("p") * F.col("x")).alias("in"))
-        old = x.select(*NODE, F.col("x").alias("old"))
-        new = base.join(got, list(NODE), "left").join(F.broadcast(old) if n <= BROADCAST_NODES else old, list(NODE)).select(*NODE, "gives", "old", (damping * F.coalesce("in", F.lit(0.0)) + leak).alias("x"))
+        got = share.join(source, ["src_c", "src_s"]).groupBy(*NODE).agg(F.sum(F.col("w") * F.col("x")).alias("in"))
+        new = x.join(got, list(NODE), "left").select(*NODE, "r", F.col("x").alias("old"), (damping * F.coalesce("in", F.lit(0.0)) + leak).alias("x"))
         before, x = x, materialise(new, "pagerank") if k % every == 0 or k == iterations else new.persist()
-        row = x.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2)).alias("change"), F.sum(F.when(F.col("gives"), F.col("x")).otherwise(0.0)).alias("giving"), F.sum(F.when(~F.col("gives"), F.col("x")).otherwise(0.0)).alias("rest")).first()
+        row = x.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2)).alias("change"), F.sum(F.when(gives, F.col("x")).otherwise(0.0)).alias("giving"), F.sum("x").alias("all")).first()
         before.unpersist()
         if row["change"] <= tolerance:
             break
-        giving = row["giving"] / (row["giving"] + row["rest"])
+        giving = row["giving"] / row["all"]
     total = x.agg(F.sum("x").alias("t")).first()["t"]
     share.unpersist()
-    base.unpersist()
     return x.select(*NODE, F.round(F.col("x") / total, PAGERANK_DIGITS).alias("PAGERANK"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +33,39 @@ def expansions(token: Column, strategy: str = "prefix") -> Column:
     return F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(1), n - s + 1), lambda k: F.substring(token, s, k))))
 
 
-def token_counts(docs: DataFrame, doc: str = "id", text: str = "text", stem: bool = True, stop_words: list[str] | None = None, case_sensitive: bool = False) -> DataFrame:
-    """doc, token, n: occurrences. Words are counted first, and only distinct ones stemmed."""
+def answers(token: Column, terms: list[str], strategy: str = "prefix") -> Column:
+    """Whether a token is found by any of the terms."""
+    matches = {"exact": lambda t: token == t, "prefix": lambda t: token.startswith(t)}.get(strategy, lambda t: token.contains(t))
+    return reduce(lambda a, b: a | b, [matches(t) for t in terms], F.lit(False))
+
+
+def token_counts(docs: DataFrame, doc: str = "id", text: str = "text", stem: bool = True, stop_words: list[str] | None = None, case_sensitive: bool = False, keep=None) -> DataFrame:
+    """doc, token, n: occurrences. Words are counted first, and only distinct ones stemmed. ``keep`` tells which tokens count;
+    without stemming the others are left out before the shuffle."""
     counted = docs.select(F.col(doc).alias("doc"), F.explode(words(F.col(text), case_sensitive)).alias("token"))
     if stop_words:
         counted = counted.where(~F.col("token").isin(stop_words))
+    if keep is not None and not stem:
+        counted = counted.where(keep(F.col("token")))
     counted = counted.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("n"))
     if not stem:
         return counted
     stems = counted.select("token").distinct().withColumn("stem", porter_stem("token"))
+    if keep is not None:
+        stems = stems.where(keep(F.col("stem")))
     return counted.join(stems, "token").groupBy("doc", F.col("stem").alias("token")).agg(F.sum("n").alias("n"))
 
 
-def build_index(docs: DataFrame, strategy: str = "prefix", **options) -> DataFrame:
-    """term, doc, tf: how often a word of the document begins with the term (or holds it, or is it)."""
-    counted = token_counts(docs, **options)
+def build_index(docs: DataFrame, strategy: str = "prefix", query: str | None = None, **options) -> DataFrame:
+    """term, doc, tf: how often a word of the document begins with the term (or holds it, or is it).
+
+    With a ``query``, only what that query asks for: an index for one search, whose other words are never spread.
+    """
+    asked = None if query is None else sorted(set(query_tokens(query, options.get("stem", True))))
+    counted = token_counts(docs, keep=None if asked is None else lambda token: answers(token, asked, strategy), **options)
     spread = counted.select("doc", "n", F.explode(expansions(F.col("token"), strategy)).alias("term"))
+    if asked is not None:
+        spread = spread.where(F.col("term").isin(asked))
     return spread.groupBy("term", "doc").agg(F.sum("n").alias("tf"))
 
 

@@ -409,7 +409,7 @@ def sc_sb_top50(s, d):
 
 def search_tfidf(s, d, stem):
     docs = src.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = search.search(search.build_index(docs, stem=stem), docs, QUERY, stem, ranked=False)
+    found = search.search(search.build_index(docs, query=QUERY, stem=stem), docs, QUERY, stem, ranked=False)
     return found.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -420,7 +420,7 @@ def search_exact(s, d):
 
 def search_substrings(s, d):
     docs = src.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return search.search(search.build_index(docs, "all", stem=False), docs, "he nt", False, False).select(F.col("doc").alias("item_id"), F.round("score", 6).alias("score"))
+    return search.search(search.build_index(docs, "all", "he nt", stem=False), docs, "he nt", False, False).select(F.col("doc").alias("item_id"), F.round("score", 6).alias("score"))
 
 
 def stems(s, d):
