@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, media, mixing, ngram_join, pii, preference, quality, suffix_dedup, token_counts
+from . import byte_bpe, exact_dedup, media, merkle, mixing, ngram_join, pii, preference, quality, spelling, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_preference": preference.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_token_files": token_files.query,
+    "op12_merkle": merkle.query,
+    "op13_spelling": spelling.query,
 }
 
 ORACLE = {
@@ -22,4 +25,6 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op9_preference": preference.SQL,
     "op10_suffix_dedup": suffix_dedup.SQL,
+    "op12_merkle": merkle.SQL,
+    "op13_spelling": spelling.SQL,
 }
