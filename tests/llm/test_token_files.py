@@ -57,8 +57,8 @@ def test_packing(bits):
 def test_random_access_reads_only_its_blocks():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, 49_408, n).astype(np.uint32) for n in (0, 5, 9000, 1, 30_000, 4096)]
-    writer = token_files.Writer(3, 17)
-    rows = [r for k, t in enumerate(texts) for r in writer.add(None if k == 1 else k, t)] + list(writer.close())
+    writer = token_files.Writer(3, 17, 4)
+    rows = [r for k, t in enumerate(texts) for r in writer.add(None if k == 1 else k, t.tobytes())] + writer.close()
 
     class Counting(io.BytesIO):
         bytes_read = 0

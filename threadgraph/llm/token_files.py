@@ -45,7 +45,7 @@ TAIL = struct.Struct("<7Q8s")
 BLOCK_IDS = 4_096  # a multiple of 8, so that blocks of any width fill whole bytes
 FILE_BYTES = 32 << 20  # of text
 END_ID = 2
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 400_000
 LONGEST_CHUNK = 64
 MOST_FILES = 1_000_000  # numbers and starts of so many files, 16 MB, may be broadcast
 
@@ -112,7 +112,13 @@ class Encoder:
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        """A chunk without white space."""
+        """A chunk without white space. Most are a word, or a word and a mark."""
+        if chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return self.piece(low)
+            if low[:-1].isalpha() and not low[-1].isdigit():
+                return self.piece(low[:-1]) + self.piece(low[-1])
         if OTHER.search(chunk):
             return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
         return b"".join(map(self.piece, PIECES.findall(chunk.lower())))
@@ -122,16 +128,19 @@ class Encoder:
             return self._packed(self.library.encode(text, add_special_tokens=False).ids)
         chunks = (SPACE.split(text.strip(" ")) if NO_SPACE.search(text) else text.split()) if text else []
         known, old = self.chunks, self.old[0]
-        own = {}
-        for x in set(chunks).difference(known):
-            found = old.get(x)
-            if found is None:
-                found = self.chunk(x)
-            if len(x) > LONGEST_CHUNK:
-                own[x] = found
-            else:
-                known[x] = found
-        out = b"".join([known[x] if x in known else own[x] for x in chunks] if own else map(known.__getitem__, chunks))
+        found = list(map(known.get, chunks))
+        if None in found:
+            for k, x in enumerate(chunks):
+                if found[k] is None:
+                    own = known.get(x)
+                    if own is None:
+                        own = old.get(x)
+                        if own is None:
+                            own = self.chunk(x)
+                        if len(x) <= LONGEST_CHUNK:
+                            known[x] = own
+                    found[k] = own
+        out = b"".join(found)
         if len(known) > MEMO_CHUNKS or len(self.pieces) > MEMO_CHUNKS:
             self.old, self.chunks, self.pieces = (known, self.pieces), {}, {}
         return out
@@ -166,40 +175,41 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class Writer:
-    """Rows of a file: blocks as they fill, then the footer."""
+    """Rows of a file: blocks as they fill, then the footer. Ids come as bytes of little-endian integers of so many ``octets``."""
 
-    def __init__(self, number: int, bits: int):
-        self.number, self.bits = number, bits
-        self.open: list[np.ndarray] = []
+    def __init__(self, number: int, bits: int, octets: int):
+        self.number, self.bits, self.octets = number, bits, octets
+        self.open: list[bytes] = []
         self.held = self.at = 0
         self.docs, self.nulls, self.counts, self.offsets, self.sums = array("q"), bytearray(), array("Q"), array("Q"), array("I")
 
-    def _block(self, ids: np.ndarray) -> bytes:
-        row = pack(ids, self.bits)
+    def _block(self, ids: bytes) -> bytes:
+        row = ids if self.bits == 8 * self.octets else pack(np.frombuffer(ids, f"<u{self.octets}"), self.bits)
         self.offsets.append(self.at)
         self.sums.append(zlib.crc32(row))
         self.at += len(row) + 1
         return row
 
-    def add(self, doc_id: int | None, ids: np.ndarray):
+    def add(self, doc_id: int | None, ids: bytes):
+        """The rows of the blocks that are full now."""
         self.docs.append(doc_id or 0)
         self.nulls.append(doc_id is None)
-        self.counts.append(len(ids))
+        self.counts.append(len(ids) // self.octets)
         self.open.append(ids)
         self.held += len(ids)
-        if self.held >= BLOCK_IDS:
-            whole = np.concatenate(self.open)
-            end = len(whole) - len(whole) % BLOCK_IDS
-            for k in range(0, end, BLOCK_IDS):
-                yield self._block(whole[k : k + BLOCK_IDS])
-            self.open, self.held = [whole[end:]], len(whole) - end
-
-    def close(self):
-        if self.held:
-            yield self._block(np.concatenate(self.open))
+        size = BLOCK_IDS * self.octets
+        if self.held < size:
+            return []
+        whole = b"".join(self.open)
+        end = len(whole) - len(whole) % size
+        self.open, self.held = [whole[end:]], len(whole) - end
+        return [self._block(whole[k : k + size]) for k in range(0, end, size)]
+
+    def close(self) -> list[bytes]:
+        last = [self._block(b"".join(self.open))] if self.held else []
         self.offsets.append(self.at)
         body = b"".join((self.docs.tobytes(), bytes(self.nulls), self.counts.tobytes(), self.offsets.tobytes(), self.sums.tobytes()))
-        yield body + TAIL.pack(self.number, self.bits, BLOCK_IDS, sum(self.counts), len(self.docs), len(self.sums), len(body) + TAIL.size, MAGIC)
+        return [*last, body + TAIL.pack(self.number, self.bits, BLOCK_IDS, sum(self.counts), len(self.docs), len(self.sums), len(body) + TAIL.size, MAGIC)]
 
 
 class TokenFile:
@@ -254,15 +264,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
         own = encoder(model.value)
         bits = max(1, (max(own.vocabulary - 1, end_id)).bit_length())
-        end, dtype, writer = np.array([end_id], np.uint32), np.dtype(f"<u{2 if own.code == 'H' else 4}"), None
+        octets, writer = array(own.code).itemsize, None
+        end = end_id.to_bytes(octets, "little")
         for batch in batches:
             rows = []
             for number, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                writer = writer or Writer(number, bits)
-                rows.extend(writer.add(doc_id, np.concatenate((np.frombuffer(own.text(text.as_py()), dtype).astype(np.uint32), end))))
+                writer = writer or Writer(number, bits, octets)
+                rows += writer.add(doc_id, own.text(text.as_py()) + end)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
         if writer:
-            yield pa.RecordBatch.from_arrays([pa.array(list(writer.close()), pa.binary())], ["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(writer.close(), pa.binary())], ["value"])
         give_back()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
