@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadgraph.functions import text as tx
-from threadgraph.operators import community, edges, filters, merge, nearest, rank
+from threadgraph.operators import community, components, edges, filters, merge, nearest, rank
 from threadgraph.plans import config, pipeline
 from threadgraph.schema import EDGE_WEIGHTS, ENDS, Graph, GraphError
 from threadgraph.sources import comments as src
@@ -154,21 +154,25 @@ def test_merge_ids(spark, seed):
     assert got == plain.merge_ids(nodes, order)
 
 
-def test_merge_replay_of_many_orders():
-    import pandas as pd
+def replayed(order, places=None):
+    """node -> id by the edges at the given places of the order."""
+    import pyarrow as pa
+
+    own = [order[k] for k in (places if places is not None else range(len(order)))]
+    rows = pa.table({"a": [a for a, _ in own], "b": [b for _, b in own]}, pa.schema({"a": pa.int64(), "b": pa.int64()}))
+    (out,) = merge.replay(rows.to_batches(4))
+    return dict(zip(out.column("node").to_pylist(), out.column("id").to_pylist(), strict=True))
+
 
+def test_merge_replay_of_many_orders():
     rng = random.Random(1)
     for _ in range(300):
         order = [tuple(rng.sample(range(6), 2)) for _ in range(rng.randint(1, 9))]
-        out = merge.replay(pd.DataFrame({"component": 0, "a": [a for a, _ in order], "b": [b for _, b in order], "ord": [[k] for k in range(len(order))]}))
-        ids = {tuple(o): k for k, o in enumerate(out["ord"])}
-        want = plain.merge_ids([], order)
-        assert sorted(ids[tuple(o)] for o, stays in zip(out["ord"], out["stays"], strict=True) if stays) == sorted(set(want.values()))
+        assert replayed(order) == plain.merge_ids([], order)
 
 
 def test_merge_forests_leave_ids_alone():
     """Edges in any partitions: each keeps a forest of its own, and the replay of what is left gives the same ids."""
-    import pandas as pd
     import pyarrow as pa
 
     rng = random.Random(2)
@@ -180,16 +184,10 @@ def test_merge_forests_leave_ids_alone():
         left = []
         for own in parts:
             rows = pa.table({"a": [order[k][0] for k in own], "b": [order[k][1] for k in own], "ord": own}, pa.schema({"a": pa.int64(), "b": pa.int64(), "ord": pa.int64()}))
-            kept = [k for batch in merge.forest(rows.to_batches(4)) for k in batch.column("ord").to_pylist()]
+            kept = [k for batch in components.forest(rows.to_batches(4)) for k in batch.column("ord").to_pylist()]
             assert sum(order[k][0] != order[k][1] for k in kept) < 9
             left += kept
-        left.sort()
-
-        def ids(places):
-            out = merge.replay(pd.DataFrame({"component": 0, "a": [order[k][0] for k in places], "b": [order[k][1] for k in places], "ord": [[k] for k in places]}))
-            return [(tuple(o), stays) for o, stays in zip(out["ord"], out["stays"], strict=True)]
-
-        assert ids(left) == ids(range(len(order)))
+        assert replayed(order, sorted(left)) == replayed(order)
 
 
 def test_merge_multi_and_empty(graph, expected):
@@ -294,8 +292,16 @@ def test_sweep(spark, comments, tmp_path):
     for _, own in every:
         on = [name for name, s in config.resolve(own).items() if s is not None]
         assert len(on) in (2, 3)
-    picked = [(k, every[k]) for k in (0, 19, 25, 31, 46)]
-    out = pipeline.sweep(comments, [every[k] for k, _ in picked])
+    tree = pipeline.plan_tree([config.resolve(own) for _, own in every])
+    assert len(tree) == 6 and sum(len(branch.follow) for branch in tree.values()) == 36  # 6 sets of edges; what is done to each of them
+    picked = [every[k] for k in (0, 1, 19, 25, 31, 32, 46)]
+    out = pipeline.sweep(comments, picked)
     pipeline.write_sweep(out, str(tmp_path / "sweep"))
     back = spark.read.csv(str(tmp_path / "sweep"), header=True).collect()
-    assert len(back) == 5 and all(int(r["remaining edges"]) + int(r["removed edges"]) > 0 for r in back)
+    assert len(back) == 7 and all(int(r["remaining edges"]) + int(r["removed edges"]) > 0 for r in back)
+    # The whole chain of each configuration by itself.
+    for (_, own), row in zip(picked, sorted(out.collect(), key=lambda r: r.config_id), strict=True):
+        alone = pipeline.build(comments, own)
+        assert row.remaining_edges == alone.edges.count()
+        grouped = next((c for c in ("MERGE_ID", "CLUSTER_ID") if row.groups is not None and alone.nodes.where(f"{c} is not null").count()), None)
+        assert row.groups == (alone.nodes.select(grouped).distinct().count() if grouped else None)

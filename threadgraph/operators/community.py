@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_WEIGHTS, Graph, check_name, dense_position
-from .components import connected_components
+from ..storage import materialise
+from .components import components_of
 from .merge import SHIFT, node_key
 
 DIGITS = 9  # betweenness values that differ by less are equal
@@ -125,7 +126,8 @@ def greedy_modularity(own: pd.DataFrame, edges: int) -> pd.DataFrame:
 def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True) -> Graph:
     keyed = edges.select(node_key(F.col("src_c"), F.col("src_s")).alias("_a"), node_key(F.col("tgt_c"), F.col("tgt_s")).alias("_b"), "ord")
     keyed = keyed.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "ord").where("a <> b").groupBy("a", "b").agg(F.min("ord").alias("ord"))
-    found = connected_components(keyed.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    keyed = materialise(keyed, "cluster-edges")
+    found = materialise(components_of(keyed), "cluster-components")
     placed = keyed.join(found, keyed["a"] == found["node"]).select("component", "a", "b", "ord")
     nodes = graph.nodes.drop("CLUSTER_ID").withColumn("_key", node_key(F.col("c_idx"), F.col("s_idx")))
     if girvan_newman:

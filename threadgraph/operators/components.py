@@ -8,6 +8,61 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 MAX_ROUNDS = 100
+LOCAL_EDGES = 200_000  # so many edges of forests, a few MB, are left to one task
+FOREST_NODES = 1_000_000
+
+
+def forest(batches):
+    """Of edges (a, b), in order, those that tie two parts together, and those from a node to itself (Kruskal's forest)."""
+    import numpy as np
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}  # started anew when it is full; more edges are then kept than are needed
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    for batch in batches:
+        if len(parent) > FOREST_NODES:
+            parent.clear()
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        roots = np.array([root(v) for v in nodes.tolist()], np.int64)[place]
+        x, y = roots[: len(a)], roots[len(a) :]
+        keep = a == b
+        for k in np.flatnonzero(x != y).tolist():
+            p, q = root(int(x[k])), root(int(y[k]))
+            keep[k] = p != q
+            parent[p] = q
+        yield batch.filter(pa.array(keep))
+
+
+def _least_nodes(batches):
+    """node, component of all nodes of the edges (a, b)."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(parent, pa.int64()), "component": pa.array([root(v) for v in parent], pa.int64())})
+
+
+def components_of(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """As ``connected_components``, for edges a, b: partitions keep forests first, and few edges are left to one task."""
+    kept = materialise(edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long"), "components-forest")
+    if kept.limit(local_edges + 1).count() <= local_edges:
+        return kept.coalesce(1).mapInArrow(_least_nodes, "node long, component long")
+    return connected_components(kept.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def _checksum(edges: DataFrame) -> tuple:

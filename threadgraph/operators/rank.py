@@ -55,41 +55,76 @@ def degree(graph: Graph) -> Graph:
     return graph.with_(nodes=nodes)
 
 
-def pagerank_of(nodes: DataFrame, edges: DataFrame, edge_type: str = "TEMPORAL", damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """c_idx, s_idx, PAGERANK by power iteration from uniform ranks, which stops at an L2 change of ``tolerance``.
+def _by_run(values: dict[int, float]) -> Column:
+    """The value of a row's sequence ``q``."""
+    if len(set(values.values())) == 1:
+        return F.lit(next(iter(values.values())))
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("q")]
+
+
+def pageranks(graphs: list[tuple[DataFrame, DataFrame, str]], runs: list[tuple[int, float, int, float]], every: int = 5) -> list[DataFrame]:
+    """c_idx, s_idx, PAGERANK of each run (place of its graph, damping, iterations, tolerance), by power iteration from uniform ranks,
+    which stops at an L2 change of the tolerance. ``graphs``: nodes, edges, edge type.
 
-    Rank of nodes without outgoing weight is spread evenly. Each iteration is a join and a sum by target, combined before
-    its shuffle; the driver sees three numbers of it, and the lineage is cut every few iterations.
+    All runs advance together, and those that differ only in their number of iterations are one sequence. Rank of nodes without
+    outgoing weight is spread evenly. Each iteration is a join and a sum by target, combined before its shuffle; the driver sees
+    three numbers for each sequence, and the lineage is cut every few iterations.
     """
-    check_name(edge_type, EDGE_WEIGHTS)
-    used = materialise(edges.where(F.col(edge_type) != 0).select("src_c", "src_s", F.col("tgt_c").alias("c_idx"), F.col("tgt_s").alias("s_idx"), F.col(edge_type).alias("w")), "pagerank-edges")
-    if used.isEmpty():
-        raise GraphError(f"no edge has a {edge_type} weight")
+    sequences = list(dict.fromkeys((g, damping, tolerance) for g, damping, _, tolerance in runs))
+    key = ["q", *NODE] if len(sequences) > 1 else list(NODE)
+    taken = []
+    for k, (_, edges, kind) in enumerate(graphs):
+        weight = F.col(check_name(kind, EDGE_WEIGHTS))
+        taken.append(edges.where(weight != 0).select(F.lit(k).alias("g"), "src_c", "src_s", F.col("tgt_c").alias("c_idx"), F.col("tgt_s").alias("s_idx"), weight.alias("w")))
+    used = materialise(reduce(DataFrame.union, taken), "pagerank-edges")
+    found = {r["g"] for r in used.select("g").distinct().collect()}  # a row for each graph
+    for k, (_, _, kind) in enumerate(graphs):
+        if k not in found:
+            raise GraphError(f"no edge has a {kind} weight")
     # Edges stay dealt by target, as nodes are, so an iteration only moves the ranks.
     parts = int(used.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = used.repartition(parts, *NODE).persist()
-    given = used.groupBy(F.col("src_c").alias("c_idx"), F.col("src_s").alias("s_idx")).agg(F.sum("w").alias("r"))
-    base = materialise(nodes.select(*NODE).join(given, list(NODE), "left"), "pagerank-nodes")
-    counts = base.agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("k")).first()
-    n, giving = counts["n"], counts["k"] / counts["n"]
-    x = base.repartition(parts, *NODE).select(*NODE, "r", F.lit(1.0 / n).alias("x")).persist()
+    given = used.groupBy("g", F.col("src_c").alias("c_idx"), F.col("src_s").alias("s_idx")).agg(F.sum("w").alias("r"))
+    all_nodes = reduce(DataFrame.union, [nodes.select(F.lit(k).alias("g"), *NODE) for k, (nodes, _, _) in enumerate(graphs)])
+    base = materialise(all_nodes.join(given, ["g", *NODE], "left"), "pagerank-nodes")
+    counts = {r["g"]: (r["n"], r["k"]) for r in base.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("k")).collect()}
+    giving = {q: counts[g][1] / counts[g][0] for q, (g, _, _) in enumerate(sequences)}
+    start = reduce(DataFrame.union, [base.where(F.col("g") == g).select(F.lit(q).alias("q"), "g", *NODE, "r", F.lit(1.0 / counts[g][0]).alias("x")) for q, (g, _, _) in enumerate(sequences)])
+    x = start.repartition(parts, *NODE).persist()
     gives = F.col("r").isNotNull()
-    for k in range(1, iterations + 1):
-        leak = ((1 - damping) * giving + (1 - giving)) / n
-        source = x.where(gives).select(F.col("c_idx").alias("src_c"), F.col("s_idx").alias("src_s"), (F.col("x") / F.col("r")).alias("x"))
-        if n <= BROADCAST_NODES:
+    out: dict[int, DataFrame] = {}
+    k = 0
+    while len(out) < len(runs):
+        k += 1
+        active = sorted({sequences.index((g, d, t)) for i, (g, d, _, t) in enumerate(runs) if i not in out})
+        leaks = {q: ((1 - sequences[q][1]) * giving[q] + (1 - giving[q])) / counts[sequences[q][0]][0] for q in active}
+        now = x.where(F.col("q").isin(active)) if len(sequences) > 1 else x
+        source = now.where(gives).select(*(["q"] if len(sequences) > 1 else []), "g", F.col("c_idx").alias("src_c"), F.col("s_idx").alias("src_s"), (F.col("x") / F.col("r")).alias("x"))
+        if sum(counts[sequences[q][0]][0] for q in active) <= BROADCAST_NODES:
             source = F.broadcast(source)
-        got = share.join(source, ["src_c", "src_s"]).groupBy(*NODE).agg(F.sum(F.col("w") * F.col("x")).alias("in"))
-        new = x.join(got, list(NODE), "left").select(*NODE, "r", F.col("x").alias("old"), (damping * F.coalesce("in", F.lit(0.0)) + leak).alias("x"))
-        before, x = x, materialise(new, "pagerank") if k % every == 0 or k == iterations else new.persist()
-        row = x.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2)).alias("change"), F.sum(F.when(gives, F.col("x")).otherwise(0.0)).alias("giving"), F.sum("x").alias("all")).first()
+        open_graphs = sorted({sequences[q][0] for q in active})
+        got = (share.where(F.col("g").isin(open_graphs)) if len(graphs) > 1 else share).join(source, ["g", "src_c", "src_s"])
+        got = got.groupBy(*key).agg(F.sum(F.col("w") * F.col("x")).alias("in"))
+        damping = _by_run({q: sequences[q][1] for q in active})
+        new = now.join(got, key, "left").select("q", "g", *NODE, "r", F.col("x").alias("old"), (damping * F.coalesce("in", F.lit(0.0)) + _by_run(leaks)).alias("x"))
+        before, x = x, materialise(new, "pagerank") if k % every == 0 else new.persist()
+        rows = x.groupBy("q").agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2)).alias("change"), F.sum(F.when(gives, F.col("x")).otherwise(0.0)).alias("giving"), F.sum("x").alias("all")).collect()
         before.unpersist()
-        if row["change"] <= tolerance:
-            break
-        giving = row["giving"] / row["all"]
-    total = x.agg(F.sum("x").alias("t")).first()["t"]
+        for row in rows:
+            q = row["q"]
+            giving[q] = row["giving"] / row["all"]
+            ends = [i for i, (g, d, most, t) in enumerate(runs) if i not in out and (g, d, t) == sequences[q] and (k >= most or row["change"] <= t)]
+            if ends:
+                last = x.where(F.col("q") == q).select(*NODE, F.round(F.col("x") / row["all"], PAGERANK_DIGITS).alias("PAGERANK"))
+                last = materialise(last, "pagerank-ranks")
+                out |= dict.fromkeys(ends, last)
+    x.unpersist()
     share.unpersist()
-    return x.select(*NODE, F.round(F.col("x") / total, PAGERANK_DIGITS).alias("PAGERANK"))
+    return [out[i] for i in range(len(runs))]
+
+
+def pagerank_of(nodes: DataFrame, edges: DataFrame, edge_type: str = "TEMPORAL", damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+    return pageranks([(nodes, edges, edge_type)], [(0, damping, iterations, tolerance)], every)[0]
 
 
 def pagerank(graph: Graph, **options) -> Graph:

@@ -80,7 +80,7 @@ CHAINS = graph("SAME_COMMENT")
 STRUCTURAL = graph("SAME_ARTICLE", "SAME_COMMENT", "REPLY_TO")
 FOUR = graph("SAME_ARTICLE", "SAME_COMMENT", "REPLY_TO", "TEMPORAL")
 SIMILAR = graph("SIMILARITY").replace("E AS MATERIALIZED", "E AS MATERIALIZED", 1)
-DIGEST = f"src_c, tgt_c, count(*) AS n, sum(src_s * 1000 + tgt_s)::BIGINT AS places, {', '.join(f'round(sum({t}), 6) AS {t.lower()}' for t in TYPES)}"
+DIGEST = f"src_c, tgt_c, count(*) AS n, sum(src_s * 1000 + tgt_s)::BIGINT AS places, sum((src_s * 1000 + tgt_s) * (src_s * 1000 + tgt_s))::BIGINT AS squares, {', '.join(f'round(sum({t}), 6) AS {t.lower()}' for t in TYPES)}"
 PLAIN = f"{ENDS}, {', '.join(f'round({t}, 6) AS {t.lower()}' for t in TYPES)}"
 VOTES = "coalesce(upvotes, 0) + coalesce(likes, 0) + coalesce(recommended, 0)"
 
@@ -91,7 +91,7 @@ def toxicity(text: str, window: int = 125) -> str:
     return f"(SELECT CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda t: regexp_matches(t, '[A-Z!?]'))) / len(l) END FROM (SELECT ({found})[-{window}:] AS l))"
 
 
-def pagerank(kind: str, iterations: int, digits: int, tolerance: float | None = None) -> str:
+def pagerank(kind: str, iterations: int, digits: int, tolerance: float | None = None, damping: float = 0.85) -> str:
     """CTEs up to ``ranks`` (c_idx, s_idx, pr)."""
     stop = "k = (SELECT max(k) FROM x)" if tolerance is None else f"k = (SELECT coalesce(min(k) FILTER (WHERE d <= {tolerance}), max(k)) FROM change)"
     change = "" if tolerance is None else ", change AS (SELECT b.k, sqrt(sum((b.r - a.r) * (b.r - a.r))) AS d FROM x a JOIN x b ON a.c = b.c AND a.s = b.s AND b.k = a.k + 1 GROUP BY b.k)"
@@ -105,7 +105,7 @@ x(k, c, s, gives, n, r) AS (
   UNION ALL
   (WITH i AS (SELECT tgt_c, tgt_s, sum(p * r) AS got FROM share JOIN x ON src_c = c AND src_s = s GROUP BY ALL),
         t AS (SELECT coalesce(sum(r) FILTER (WHERE gives), 0) AS g, coalesce(sum(r) FILTER (WHERE NOT gives), 0) AS l FROM x)
-   SELECT k + 1, c, s, gives, n, 0.85 * coalesce(got, 0) + ((1 - 0.85) * g / (g + l) + l / (g + l)) / n
+   SELECT k + 1, c, s, gives, n, {damping} * coalesce(got, 0) + ((1 - {damping}) * g / (g + l) + l / (g + l)) / n
    FROM x CROSS JOIN t LEFT JOIN i ON tgt_c = c AND tgt_s = s WHERE k < {iterations})
 ){change},
 last AS MATERIALIZED (SELECT * FROM x WHERE {stop}),
@@ -248,6 +248,73 @@ def first_cut(kind: str, generator: str) -> str:
     SELECT c_idx, s_idx, (dense_rank() OVER (ORDER BY side) - 1)::DOUBLE AS CLUSTER_ID FROM sides"""
 
 
+def labels(condition: str) -> str:
+    """Connected components of groups of any size, by the least label among neighbours until none changes: CTE ``labelled`` (v, m)."""
+    return f"""
+near AS MATERIALIZED (SELECT src_c * 1048576 + src_s AS a, tgt_c * 1048576 + tgt_s AS b FROM E WHERE {condition}),
+lab(k, v, m, moved) AS (
+  SELECT 0, c_idx * 1048576 + s_idx, c_idx * 1048576 + s_idx, true FROM nodes
+  UNION ALL
+  (WITH least_near AS (SELECT v, min(m) AS m FROM (SELECT a AS v, l.m FROM near JOIN lab l ON l.v = b UNION ALL SELECT b, l.m FROM near JOIN lab l ON l.v = a) GROUP BY v)
+   SELECT k + 1, l.v, least(l.m, n.m), coalesce(n.m < l.m, false) FROM lab l LEFT JOIN least_near n ON n.v = l.v WHERE (SELECT bool_or(moved) FROM lab))
+),
+labelled AS MATERIALIZED (SELECT v, m FROM lab WHERE k = (SELECT max(k) FROM lab))
+"""
+
+
+LABELLED = "SELECT v // 1048576 AS c_idx, v % 1048576 AS s_idx, m // 1048576 AS rep_c, m % 1048576 AS rep_s FROM labelled"
+ALL_SENTENCES = EDGES["SIMILARITY"].replace(" AND a.s_idx = 0 AND b.s_idx = 0", "")
+ALL_OF_COMMENT = EDGES["SAME_COMMENT"].replace("a.s_idx + 1 = b.s_idx", "a.s_idx < b.s_idx")
+
+
+def config_sweep() -> str:
+    """The benchmark's configurations, each after its own definition; generators and ranks are worked out once for each part."""
+    from .plans.config import MODIFIERS, resolve
+    from .plans.sweeps import TYPES as KINDS
+    from .plans.sweeps import sweeps
+
+    prefix = {name: name[:-10] for name in ("SameCommentComparator", "SameArticleComparator", "ReplyToComparator", "TemporalComparator", "SimilarityComparator")}
+    short = {"SameComment": "SC", "SameArticle": "SA", "ReplyTo": "RT", "Temporal": "T", "Similarity": "S"}
+    parts: dict[str, list[str]] = {}
+    alone = []
+    for k, (label, overrides) in enumerate(sweeps()):
+        own = {name: settings for name, settings in resolve(overrides).items() if settings is not None}
+        generator = next(name for name in own if name in prefix)
+        kind = KINDS[short[prefix[generator]]]
+        edges = graph(kind)
+        if kind == "SIMILARITY":
+            edges = edges.replace(EDGES[kind], ALL_SENTENCES)
+        if own[generator].get("only_consecutive") is False:
+            edges = edges.replace(EDGES[kind], ALL_OF_COMMENT)
+        steps = [(name, settings) for name, settings in own.items() if name in MODIFIERS]
+        row = f"{k}::BIGINT AS config_id, '{label}' AS description"
+        name, settings = steps[-1]
+        if name.endswith("Merger"):
+            alone.append(f"{edges}, {labels(f'{kind} >= ' + str(settings['threshold']))} SELECT {row}, (SELECT count(*) FROM E) AS kept, (SELECT count(*) FROM E) AS n, (SELECT count(DISTINCT m) FROM labelled) AS groups")
+        elif name.endswith("Clusterer") and settings["algorithm"] == "gmc":
+            alone.append(f"{edges} SELECT {row}, (SELECT count(*) FROM E) AS kept, (SELECT count(*) FROM E) AS n, (SELECT count(DISTINCT CLUSTER_ID) FROM ({modularity(kind, kind)})) AS groups")
+        elif name.endswith("Clusterer"):  # the first split makes one more of the components
+            alone.append(f"{edges}, {labels(f'{kind} <> 0')} SELECT {row}, (SELECT count(*) FROM E) AS kept, (SELECT count(*) FROM E) AS n, (SELECT count(DISTINCT m) + 1 FROM labelled) AS groups")
+        else:
+            ranker, by = steps[0]
+            more, ranked = "", ""
+            if ranker == "PageRanker":
+                more, ranked = "," + pagerank(kind, by["num_iterations"], 12, 1e-6, by["d"]), "(SELECT c_idx, s_idx, pr AS w FROM ranks)"
+            elif ranker == "RecencyRanker" and by["use_yongest"]:
+                ranked = "(SELECT c_idx, s_idx, ((SELECT max(micros) FROM comments) - micros) / 1e6 AS w FROM nodes JOIN comments USING (c_idx))"
+            else:
+                ranked = node_weights({"CentralityDegreeCalculator": "DEGREE_CENTRALITY", "ToxicityRanker": "TOXICITY", "VotesRanker": "VOTES", "SizeRanker": "SIZE", "RecencyRanker": "RECENCY"}[ranker], "")[1]
+            if name.endswith("BottomFilter"):
+                chosen = f"(SELECT c_idx, s_idx FROM N ORDER BY w {'DESC' if settings['descending_order'] else 'ASC'}, c_idx, s_idx LIMIT {settings['top_k']})"
+            else:
+                chosen = f"(SELECT c_idx, s_idx FROM N WHERE w {'<=' if settings['smaller_as'] else '>='} {settings['threshold']})"
+            glue = "AND" if settings["strict"] or not name.endswith("BottomFilter") else "OR"
+            kept = f"(SELECT count(*) FROM E WHERE (src_c, src_s) IN {chosen} {glue} (tgt_c, tgt_s) IN {chosen})"
+            parts.setdefault(f"{edges}{more}, N AS MATERIALIZED (FROM {ranked})", []).append(f"SELECT {row}, {kept} AS kept, (SELECT count(*) FROM E) AS n, NULL::BIGINT AS groups")
+    blocks = [f"SELECT * FROM ({start} {' UNION ALL '.join(rows)})" for start, rows in parts.items()] + [f"SELECT * FROM ({one})" for one in alone]
+    return f"SELECT config_id, description, kept AS remaining_edges, n - kept AS removed_edges, groups FROM ({' UNION ALL '.join(blocks)})"
+
+
 def oracle_sql() -> dict[str, str]:
     w = f"WITH {NODES}"
     o: dict[str, str] = {}
@@ -326,6 +393,14 @@ def oracle_sql() -> dict[str, str]:
         for how, glue in (("strict", "AND"), ("any", "OR")):
             o[f"bottom_node_{name}_{how}"] = f"{start}, top AS MATERIALIZED (SELECT c_idx, s_idx FROM N ORDER BY w DESC, c_idx, s_idx LIMIT 200) SELECT {PLAIN} FROM E WHERE (src_c, src_s) IN (FROM top) {glue} (tgt_c, tgt_s) IN (FROM top)"
     o["bottom_node_size_ascending"] = o["bottom_node_size_any"].replace("w DESC", "w ASC")
+    o["merge_temporal"] = f"{FOUR}, {labels('TEMPORAL >= 0.5')} {LABELLED}"
+    every = graph("SIMILARITY").replace(EDGES["SIMILARITY"], ALL_SENTENCES)
+    o["merge_similarity"] = f"{every}, {labels('SIMILARITY >= 0.11')} {LABELLED}"
+    o["edges_similarity_all"] = f"{every} SELECT {DIGEST} FROM E GROUP BY src_c, tgt_c"
+    o["filter_edge_similarity_all"] = f"{every} SELECT {DIGEST} FROM E WHERE SIMILARITY >= 0.08 GROUP BY src_c, tgt_c"
+    o["bottom_edge_similarity_all"] = _edge_top(every, "SIMILARITY", "DESC")
+    o["filter_edge_similarity"], o["bottom_edge_similarity"] = o["filter_edge_similarity_all"], o["bottom_edge_similarity_all"]
+    o["config_sweep"] = config_sweep()
     o["merge_multi_or"] = f"{STRUCTURAL}, {groups('REPLY_TO >= 0.5 OR SAME_COMMENT >= 0.5')} {GROUPED}"
     o["merge_multi_and"] = f"{STRUCTURAL}, {groups('REPLY_TO >= 0.5 AND SAME_ARTICLE >= 0.5')} {GROUPED}"
     recency = node_weights("RECENCY", "")[1]

@@ -45,11 +45,13 @@ comparator(
     max_time=1000, base_weight=1.0, only_root=True, honor_max_time=False,
 )
 
-modifier(
-    "PageRanker",
-    lambda g, num_iterations, d, edge_type, use_power_mode: rank.pagerank(g, iterations=num_iterations if use_power_mode else 1000, damping=d, edge_type=edge_type, tolerance=1e-6 if use_power_mode else 1e-12),
-    True, num_iterations=100, d=0.85, edge_type="TEMPORAL", use_power_mode=True,
-)
+
+
+def pagerank_settings(num_iterations: int, d: float, edge_type: str, use_power_mode: bool) -> dict:
+    return {"iterations": num_iterations if use_power_mode else 1000, "damping": d, "edge_type": edge_type, "tolerance": 1e-6 if use_power_mode else 1e-12}
+
+
+modifier("PageRanker", lambda g, **own: rank.pagerank(g, **pagerank_settings(**own)), True, num_iterations=100, d=0.85, edge_type="TEMPORAL", use_power_mode=True)
 modifier("CentralityDegreeCalculator", rank.degree, True)
 modifier("SizeRanker", rank.size, True)
 modifier("VotesRanker", lambda g, use_upvotes, use_downvotes: rank.votes(g, use_upvotes, use_downvotes), True, use_upvotes=True, use_downvotes=True)

@@ -5,15 +5,20 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edges
-from ..schema import Graph
+from ..operators.rank import pageranks
+from ..schema import NODE, Graph
 from ..sources.comments import positions
-from ..storage import materialise
-from .config import COMPARATORS, MODIFIERS, resolve, run_step
+from ..storage import materialise, release
+from .config import COMPARATORS, MODIFIERS, pagerank_settings, resolve, run_step
 
 
 def generate(comments: DataFrame, settings: dict, vectors: DataFrame | None = None, fix_offsets: bool = False) -> Graph:
@@ -119,24 +124,174 @@ def to_document(graph: Graph) -> DataFrame:
     return comments.crossJoin(F.broadcast(graph.edges.agg(F.to_json(F.sort_array(F.collect_list(edge))).alias("edges"))))  # one row
 
 
+@dataclass
+class Branch:
+    """A node of the tree of configurations: what its step is, the configurations that end here, and what follows."""
+
+    step: tuple
+    ends: list[int] = field(default_factory=list)
+    follow: dict[str, Branch] = field(default_factory=dict)
+
+
+def plan_tree(settings: list[dict]) -> dict[str, Branch]:
+    """Configurations as paths of steps, of which equal beginnings are one: generators first, then modifiers in their order."""
+    trunk: dict[str, Branch] = {}
+    for k, own in enumerate(settings):
+        steps = [("generate", {name: own[name] for name in COMPARATORS})]
+        steps += [(name, own[name]) for name in MODIFIERS if own[name] is not None]
+        level = trunk
+        for name, parameters in steps:
+            branch = level.setdefault(repr((name, parameters)), Branch((name, parameters)))
+            level = branch.follow
+        branch.ends.append(k)
+    return trunk
+
+
+class Sweep:
+    """Runs a tree of configurations. A step that others share is written down once and deleted behind the last of them; edges of
+    all configurations of a generator are counted in one job. Branches run side by side, and their jobs share the executors."""
+
+    def __init__(self, comments: DataFrame, vectors: DataFrame | None, pool: ThreadPoolExecutor):
+        self.comments, self.vectors, self.pool = comments, vectors, pool
+        self.found: dict[int, tuple[int, int, int | None]] = {}
+        self.seconds: dict[int, float] = {}
+
+    def start(self, work, *arguments):
+        return self.pool.submit(inheritable_thread_target(self.comments.sparkSession)(work), *arguments)
+
+    def spent(self, branch: Branch, began: float) -> None:
+        """Time of a shared step counts for the first configuration behind it."""
+        while not branch.ends:
+            branch = next(iter(branch.follow.values()))
+        self.seconds[branch.ends[0]] = self.seconds.get(branch.ends[0], 0.0) + time.perf_counter() - began
+
+    def grown(self, branch: Branch) -> tuple[Graph, list[DataFrame]]:
+        began = time.perf_counter()
+        graph = written(generate(self.comments, branch.step[1], self.vectors))
+        self.spent(branch, began)
+        return graph, [graph.nodes, graph.edges]
+
+    def counted(self, counts: list[tuple[int, Graph]], graph: Graph) -> None:
+        began = time.perf_counter()
+        rows = reduce(DataFrame.union, [self.size(graph, -1), *[self.size(own, k) for k, own in counts]]).collect()  # a row for each configuration
+        sizes = {r["k"]: (r["n"], r["groups"]) for r in rows}
+        before = sizes.pop(-1)[0]
+        for k, (n, groups) in sizes.items():
+            self.found[k] = (n, before - n, groups)
+            self.seconds[k] = self.seconds.get(k, 0.0) + (time.perf_counter() - began) / len(counts)
+
+    @staticmethod
+    def size(graph: Graph, k: int) -> DataFrame:
+        """Number of edges, and of groups if a step has grouped the nodes."""
+        own = graph.edges.agg(F.count(F.lit(1)).alias("n"))
+        groups = getattr(graph.nodes, "grouped", None)
+        if groups is None:
+            return own.select(F.lit(k).alias("k"), "n", F.lit(None).cast("long").alias("groups"))
+        return own.crossJoin(F.broadcast(graph.nodes.agg(F.count_distinct(groups).alias("groups")))).select(F.lit(k).alias("k"), "n", "groups")  # one row each
+
+    def follow(self, graph: Graph, after: Branch, ranked: Graph | None = None) -> tuple[list, list[DataFrame]]:
+        """Configurations behind a step of a graph, with their graphs, and what was written down for them."""
+        began = time.perf_counter()
+        name, parameters = after.step
+        own, steps = ranked if ranked is not None else run_step(graph, name, parameters), []
+        ids = next((column for kind, column in (("Merger", "MERGE_ID"), ("Clusterer", "CLUSTER_ID")) if name.endswith(kind)), None)
+        if ids or after.follow:
+            own = own.with_(nodes=materialise(own.nodes, "sweep-nodes"))
+            own.nodes.grouped = ids
+            steps.append(own.nodes)
+        if after.follow and own.edges is not graph.edges:
+            own = own.with_(edges=materialise(own.edges, "sweep-edges"))
+            steps.append(own.edges)
+        self.spent(after, began)
+        counts = [(k, own) for k in after.ends]
+        for branch in after.follow.values():
+            more, written_ = self.follow(own, branch)
+            counts, steps = counts + more, steps + written_
+        return counts, steps
+
+    def run(self, trunk: dict[str, Branch]) -> None:
+        grown = [(branch, self.start(self.grown, branch)) for branch in trunk.values()]
+        started = []
+        for branch, made in grown:
+            graph, steps = made.result()
+            ranked, parts = [], []
+            for after in self.alike(graph, branch):
+                if after.step[0] == "PageRanker":
+                    ranked.append((graph, after))
+                else:
+                    parts.append(self.start(lambda own, step: [self.follow(own, step)], graph, after))
+            if ranked:
+                parts.append(self.start(self.rank, ranked))
+            started.append((branch, graph, steps, parts))
+        results = [(branch, graph, steps, [one for part in parts for one in part.result()]) for branch, graph, steps, parts in started]
+        counting = []
+        for branch, graph, steps, parts in results:
+            counts = [(k, graph) for k in branch.ends] + [pair for more, _ in parts for pair in more]
+            counting.append((self.start(self.counted, counts, graph), steps))
+        for done, _ in counting:
+            done.result()
+        for _, _, steps, parts in results:
+            release(*steps, *[step for _, written_ in parts for step in written_])
+
+    def rank(self, branches: list[tuple[Graph, Branch]]) -> list[tuple[list, list[DataFrame]]]:
+        """PageRank steps in one go, and what follows each."""
+        began = time.perf_counter()
+        graphs: list[tuple[Graph, str]] = []
+        runs = []
+        for graph, after in branches:
+            own = pagerank_settings(**after.step[1])
+            place = next((k for k, (known, kind) in enumerate(graphs) if known is graph and kind == own["edge_type"]), len(graphs))
+            if place == len(graphs):
+                graphs.append((graph, own["edge_type"]))
+            runs.append((place, own["damping"], own["iterations"], own["tolerance"]))
+        found = pageranks([(graph.nodes, graph.edges, kind) for graph, kind in graphs], runs)
+        self.spent(branches[0][1], began)
+        return [self.follow(graph, after, graph.with_(nodes=graph.nodes.drop("PAGERANK").join(ranks, list(NODE), "left"))) for (graph, after), ranks in zip(branches, found, strict=True)]
+
+    def alike(self, graph: Graph, branch: Branch) -> list[Branch]:
+        """What follows a generator; mergers of a type by several thresholds are one if as many edges qualify, as these are then the same."""
+        out, mergers = [], []
+        for after in branch.follow.values():
+            (mergers if after.step[0].endswith("NodeMerger") and "threshold" in after.step[1] and not after.follow else out).append(after)
+        if not mergers:
+            return out
+        began = time.perf_counter()
+        kinds = dict(zip(("Similarity", "ReplyTo", "SameComment", "SameArticle", "SameGroup", "Temporal"), ("SIMILARITY", "REPLY_TO", "SAME_COMMENT", "SAME_ARTICLE", "SAME_GROUP", "TEMPORAL"), strict=True))
+        tests = []
+        for k, after in enumerate(mergers):
+            name, own = after.step
+            kind = own.get("edge_weight_type") or kinds[name.removesuffix("NodeMerger")]
+            weight = F.col(kind)
+            tests.append(F.count(F.when(weight <= own["threshold"] if own["smaller_as"] else weight >= own["threshold"], 1)).alias(str(k)))
+        row = graph.edges.agg(*tests).first()
+        same: dict[tuple, Branch] = {}
+        for k, after in enumerate(mergers):
+            key = (after.step[0], after.step[1]["smaller_as"], after.step[1].get("edge_weight_type"), row[str(k)])
+            if key in same:
+                same[key].ends += after.ends
+            else:
+                same[key] = Branch(after.step, list(after.ends))
+        self.spent(mergers[0], began)
+        return out + list(same.values())
+
+
+AT_ONCE = 8  # branches of a sweep that run at the same time
+
+
 def sweep(comments: DataFrame, configs: list[tuple[str, dict]], vectors: DataFrame | None = None) -> DataFrame:
-    """A row for each configuration (label, settings; labels may repeat): id, description, remaining and removed edges, seconds.
+    """A row for each configuration (label, settings; labels may repeat): id, description, remaining and removed edges, seconds, and
+    the number of groups if its last step merges or clusters nodes.
 
-    Configurations that generate alike share the generated edges, which are written once; their time counts for the first.
+    Configurations are run as a tree, so that what they have in common is done once. Time of a common step counts for the first of
+    them, that of a common count for all alike.
     """
-    rows, generated = [], {}
     placed = materialise(comments, "sweep-comments")
-    for k, (label, overrides) in enumerate(configs):
-        began = time.perf_counter()
-        settings = resolve(overrides)
-        key = repr([(name, own) for name, own in settings.items() if name in COMPARATORS])
-        if key not in generated:
-            graph = written(generate(placed, settings, vectors))
-            generated[key] = (graph, graph.edges.count())
-        graph, before = generated[key]
-        after = apply_steps(graph, settings).edges.count()
-        rows.append((k, label, after, before - after, time.perf_counter() - began))
-    return comments.sparkSession.createDataFrame(rows, "config_id long, description string, remaining_edges long, removed_edges long, seconds double")
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        run = Sweep(placed, vectors, pool)
+        run.run(plan_tree([resolve(overrides) for _, overrides in configs]))
+    rows = [(k, label, *run.found[k], run.seconds[k]) for k, (label, _) in enumerate(configs)]
+    release(placed)
+    return comments.sparkSession.createDataFrame(rows, "config_id long, description string, remaining_edges long, removed_edges long, groups long, seconds double")
 
 
 def write_sweep(result: DataFrame, path: str) -> None:

@@ -65,13 +65,6 @@ def similar(spark: SparkSession, d: str) -> Graph:
     return Graph(own, n, edges.assemble([edges.edges_similarity(own, n, vectors(spark, d))]))
 
 
-def similar_first(spark: SparkSession, d: str) -> Graph:
-    """The same for first sentences only, which is what the SQL counterparts hold."""
-    own = comments(spark, d)
-    n = edges.nodes_of(own).where("s_idx = 0")
-    return Graph(own, n, edges.assemble([edges.edges_similarity(own, n, vectors(spark, d))]))
-
-
 def weighted(graph: Graph, name: str) -> Graph:
     if name == "PAGERANK":
         return rank.pagerank(graph, edge_type="SAME_COMMENT", iterations=10, tolerance=0.0)
@@ -79,10 +72,10 @@ def weighted(graph: Graph, name: str) -> Graph:
 
 
 def digest(edges_: DataFrame) -> DataFrame:
-    """Edges summed up by the comments they join: how many, which sentences, and their weights."""
+    """Edges summed up by the comments they join: how many, which sentences (sums of their places and of the squares), and their weights."""
     sums = [F.round(F.sum(w), 6).alias(w.lower()) for w in EDGE_WEIGHTS]
-    place = F.sum(F.col("src_s") * 1000 + F.col("tgt_s")).alias("places")
-    return edges_.groupBy("src_c", "tgt_c").agg(F.count(F.lit(1)).alias("n"), place, *sums)
+    place = F.col("src_s") * 1000 + F.col("tgt_s")
+    return edges_.groupBy("src_c", "tgt_c").agg(F.count(F.lit(1)).alias("n"), F.sum(place).alias("places"), F.sum(place * place).alias("squares"), *sums)
 
 
 def plain(edges_: DataFrame) -> DataFrame:
@@ -591,10 +584,10 @@ def queries() -> dict:
     for kind in ("same_comment", "same_comment_all", "same_article", "same_article_all", "reply_to", "reply_to_all", "temporal", "assembled"):
         q[f"edges_{kind}"] = partial(edges_query, kind=kind)
     for name, kind in SHORT.items():
-        base = {"similarity": similar_first, "temporal": four}.get(name, structural)
+        base = {"similarity": similar, "temporal": four}.get(name, structural)
         q[f"filter_edge_{name}"] = partial(edge_filter, kind=kind, base=base, threshold=0.08 if name == "similarity" else 0.5)
         q[f"bottom_edge_{name}"] = partial(edge_top, kind=kind, base=base, k=2)
-        q[f"merge_{name}"] = partial(merge_query, kind=kind, base=similar if name == "similarity" else base, threshold=0.11 if name == "similarity" else 0.5)
+        q[f"merge_{name}"] = partial(merge_query, kind=kind, base=base, threshold=0.11 if name == "similarity" else 0.5)
     q["edges_similarity_all"] = lambda s, d: digest(similar(s, d).edges)
     q["filter_edge_similarity_all"] = partial(edge_filter, kind="SIMILARITY", base=similar, threshold=0.08)
     q["bottom_edge_similarity_all"] = partial(edge_top, kind="SIMILARITY", base=similar, k=2)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,4 +40,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.step_path = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete steps as ``materialise`` returned them; nothing may read them any more."""
+    for df in steps:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.step_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+ROW_BITS = 33  # of monotonically_increasing_id: the row within its partition
+
+
+def ranked_position(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``name``: place of each row by ``order``, from 0, however its values are spread.
+
+    Rows are range-partitioned, sorted and written down with their place in their range; the driver adds up a count for each
+    range. Rows that are equal in all of ``order`` share a range, so it should tell most rows apart.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(dealt, "ranked")
+    part = F.shiftright("_at", ROW_BITS)
+    counts = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for k in sorted(counts):
+        starts.append((k, total))
+        total += counts[k]
+    offsets = spark.createDataFrame(starts, "_part long, _before long")
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # a row for each range
+    return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << ROW_BITS) - 1)).select(*df.columns, name)
