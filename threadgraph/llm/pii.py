@@ -8,9 +8,10 @@ added if the score reaches their kind's threshold and they overlap no base span.
 What is learned is whether a span is personal data, not whether it passes a check. There are no such labels in the tables, so the
 classifier is fit on ``PLANTS`` examples that are made here by rule: each is a line of text with a personal item in a plain or
 disguised form, or with a lookalike (order and part numbers, versions, dates, settings, mistyped numbers), after a cue word, a
-misleading one or none. A candidate is positive if it has more than half of a personal item and is of its kind. Trees learn from two thirds of
-the plants; on the others, thresholds are set so that ``PRECISION`` of what is accepted is positive. Plants that neither has seen
-measure recall in the tests. Only counts by feature values come to the driver.
+misleading one or none. A candidate is positive if it has more than half of a personal item and is of its kind. There are several makers
+of examples, with names, prose, cue words and forms of their own. Trees learn from two of them; on a third one's examples, thresholds
+are set so that ``PRECISION`` of what is accepted is positive; a fourth one's measure recall in the tests. Only counts by feature
+values come to the driver.
 
 The texts themselves are read once, without a shuffle. Positions are code points, ends exclusive. Defined results: a null text
 counts as empty and has no spans; texts of any length are searched whole; repeated rows give repeated results; an empty table
@@ -64,7 +65,7 @@ LOOKALIKE_CUE = r"(?i)(?:order|part|item|isbn|ref\w*|invoice|version|section|ser
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Values of each feature.
 FEATURES = {"kind": 5, "digits": 6, "groups": 4, "valid": 2, "before": 4, "after": 4, "cue": 3, "marks": 6, "length": 4}
-PLANTS = 12_000  # examples to learn from
+PLANTS = 9_000  # examples to learn from
 PRECISION = 0.9
 ROUNDS, RATE, LEAST_HESSIAN, DEPTH = 20, 0.4, 1.0, 3
 
@@ -185,16 +186,26 @@ def proposed(docs: DataFrame, *others: str) -> DataFrame:
 
 # --- examples to learn from --------------------------------------------------------------------------------------------
 
-NAMES = ("anna", "j.doe", "info", "maria_k", "b.smith77", "sales", "pierre", "lopez")
-HOSTS = ("example", "mail7", "uni-west", "acme", "posteo9", "webhost")
-ENDS = ("com", "org", "net", "de", "co")
-WORDS = ("the", "river", "and", "stone", "la", "und", "green", "over", "window", "que", "again", "small")
-CUE_WORDS = {"email": ("mail", "contact", "write to"), "ip": ("host", "server", "ip"), "card": ("card", "visa", "pay by"), "phone": ("tel.", "call", "phone"), "secret": ("export", "config", "login")}
-LOOKALIKE_WORDS = ("order", "part", "ref.", "invoice no.", "serial", "item", "section", "version")
-
-
-def plants(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """doc_id, text, kind (place in KINDS), personal (0, 1), s, e: lines with an item at s to e that is personal data, or looks like it."""
+#: Makers of examples: each has words, cues and forms of its own. Trees learn from the first two, thresholds from the third, and the
+#: last is for measuring alone.
+MAKERS = 4
+LEARN, CALIBRATE, MEASURE = (0, 1), (2,), (3,)
+NAMES = (("anna", "j.doe", "info", "maria_k"), ("b.smith77", "sales", "pierre", "lopez"), ("k-huber", "office", "tom.w", "rita99"), ("zoe.m", "support", "hans_p", "c.ito"))
+HOSTS = (("example", "mail7"), ("uni-west", "acme", "posteo9"), ("webhost", "kontor"), ("blue-sky", "inbox3", "stadt"))
+ENDS = (("com", "org"), ("net", "de"), ("co", "fr", "info"), ("es", "io", "eu"))
+WORDS = (("the", "river", "and", "stone", "green", "over"), ("la", "und", "window", "que", "again", "small"), ("el", "haus", "paper", "with", "les", "late"), ("into", "der", "noche", "we", "table", "sous"))
+CUE_WORDS = (
+    {"email": ("mail", "contact"), "ip": ("host", "ip"), "card": ("card", "visa"), "phone": ("tel.", "call"), "secret": ("export", "config")},
+    {"email": ("write to", "e-mail:"), "ip": ("server", "address"), "card": ("pay by", "card no"), "phone": ("phone", "fax"), "secret": ("login", "set")},
+    {"email": ("courriel", "contact:"), "ip": ("addr", "host is"), "card": ("karte", "payment"), "phone": ("mobile", "telephone"), "secret": ("env", "auth")},
+    {"email": ("correo", "mailto"), "ip": ("servers", "ip:"), "card": ("tarjeta", "paying"), "phone": ("telefon", "fon"), "secret": ("config:", "authorize")},
+)
+LOOKALIKE_WORDS = (("order", "part", "item"), ("ref.", "invoice no.", "section"), ("serial", "version", "isbn"), ("tracking", "figure", "sku"))
+
+
+def plants(spark: SparkSession, n: int, seed: int = 1, makers: tuple = LEARN) -> DataFrame:
+    """doc_id, text, kind (place in KINDS), personal (0, 1), s, e, maker: lines with an item at s to e that is personal data, or looks
+    like it; made by the given makers in turn."""
 
     def draw(k, size):
         return F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(size)).cast("int")
@@ -209,53 +220,68 @@ def plants(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
     def grouped(number, by):
         return F.concat(F.substring(number, 1, 4), F.lit(by), F.substring(number, 5, 4), F.lit(by), F.substring(number, 9, 4), F.lit(by), F.substring(number, 13, 4))
 
+    def put(template, *values):
+        """The template, with a value at each %."""
+        parts = template.split("%")
+        return F.concat(F.lit(parts[0]), *[x for v, p in zip(values, parts[1:], strict=True) for x in (v, F.lit(p))])
+
     octets = [draw(20 + k, 254).cast("string") for k in range(4)]
     over = [octets[0], (draw(24, 600) + 260).cast("string"), *octets[2:]]
     stem = digits(30, 15)
     card = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(stem, d.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1)
     other = digits(31, 16)
-    name, host, end = pick(40, *NAMES), pick(41, *HOSTS), pick(42, *ENDS)
     tel = [digits(50, 3), digits(51, 3), digits(52, 4)]
     hexes = F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}")), 256)
+    long_ = F.substring(F.base64(hexes), 1, 32)
     key = pick(60, "token", "secret", "password", "api_key", "access-key", "db_pwd")
     word = pick(61, "required", "yes-please", "see_below", "optional", "configuration", "version-2", "none-given")
-    personal = {
-        "email": (F.concat(name, F.lit("@"), host, F.lit("."), end), F.concat(name, F.lit(" [at] "), host, F.lit(" [dot] "), end), F.concat(name, F.lit("(at)"), host, F.lit("."), end), F.concat(name, F.lit(" at "), host, F.lit(" dot "), end)),
-        "ip": (F.concat_ws(".", *octets), F.concat_ws("[.]", *octets), F.concat_ws("[dot]", *octets), F.concat_ws(" . ", *octets)),
-        "card": (card, grouped(card, " "), grouped(card, "."), grouped(card, "/")),
-        "phone": (F.concat(F.lit("+1 ("), tel[0], F.lit(") "), tel[1], F.lit("-"), tel[2]), F.concat(F.lit("("), tel[0], F.lit(") "), tel[1], F.lit("-"), tel[2]), F.concat_ws(".", *tel), F.concat(F.lit("001-"), F.concat_ws("-", *tel))),
-        "secret": (F.concat(key, F.lit(' = "'), F.substring(hexes, 1, 40), F.lit('"')), F.concat(key, F.lit(": "), F.substring(F.base64(hexes), 1, 32)), F.concat(key, F.lit("="), F.substring(hexes, 1, 24))),
-    }
-    lookalike = {
-        "email": (F.concat(name, F.lit(" at "), host, F.lit(" dot matrix")), F.concat(F.lit("look at "), host, F.lit(" dot "), pick(43, "number", "paper", "chart")), F.concat(name, F.lit("@home"))),
-        "ip": (F.concat_ws(".", *over), F.concat_ws("[.]", *over), F.concat_ws(" . ", *over)),
-        "card": (other, grouped(other, " "), grouped(other, "."), grouped(other, "/"), digits(32, 12)),
-        "phone": (F.concat_ws("-", *tel), F.concat_ws(" ", *tel), F.concat(F.lit("+"), digits(53, 5)), F.concat_ws(".", *tel)),
-        "secret": (F.concat(key, F.lit(": "), word), F.concat(key, F.lit(' = "'), word, F.lit('"')), F.concat(key, F.lit("="), word)),
-    }
-    is_personal = draw(1, 2) == 1
-    kind = draw(2, len(KINDS))
-    cue = draw(3, 3)
-    forms, cues = [], []
-    for k, name_ in enumerate(KINDS):
-        forms.append(F.when(is_personal, pick(100 + k, *personal[name_])).otherwise(pick(200 + k, *lookalike[name_])))
-        cues.append(pick(300 + k, *CUE_WORDS[name_]))
-    prose = [F.concat_ws(" ", *[pick(400 + 20 * side + k, *WORDS) for k in range(6)]) for side in range(2)]
-    # A third to a half of the lines have no cue. Lookalikes have a misleading one more often than a true one, personal data never.
-    right = F.concat(F.element_at(F.array(*cues), kind + 1), F.lit(" "))
-    wrong = F.concat(pick(500, *LOOKALIKE_WORDS), F.lit(" "))
-    # Numbers in groups like a telephone's are told from one by such a word alone.
-    alike = ~is_personal & (kind == KINDS.index("phone"))
-    said = F.when(alike, wrong).when(cue == 0, "").when(is_personal | ((cue == 1) & (draw(4, 3) == 0)), right).when(cue == 1, wrong).otherwise("")
-    made = spark.range(n).select(F.col("id").alias("doc_id"), kind.alias("kind"), is_personal.cast("int").alias("personal"), F.element_at(F.array(*forms), kind + 1).alias("item"), F.concat(prose[0], F.lit(" "), said).alias("head"), pick(600, " ", ", ", ". ", "\n").alias("gap"), prose[1].alias("tail"))
-    start = F.length("head")
-    return made.select("doc_id", F.concat("head", "item", "gap", "tail").alias("text"), "kind", "personal", start.alias("s"), (start + F.length("item")).alias("e"))
-
-
-def labelled_candidates(examples: DataFrame) -> DataFrame:
+    kind, is_personal, cue = draw(2, len(KINDS)), draw(1, 2) == 1, draw(3, 3)
+
+    def lines(maker):
+        """item, head and tail of a maker's lines."""
+        name, host, end = pick(40, *NAMES[maker]), pick(41, *HOSTS[maker]), pick(42, *ENDS[maker])
+        at = (("%@%.%", "% [at] % [dot] %"), ("%(at)%.%", "% at % dot %"), ("% {at} % {dot} %", "%[at]%.%", "%@%.%"), ("% AT % DOT %", "% (at) %.%", "%@%.%"))[maker]
+        dotted = (("%.%.%.%", "%[.]%[.]%[.]%"), ("%[dot]%[dot]%[dot]%", "% . % . % . %"), ("%(.)%(.)%(.)%", "%.%.%.%", "% . % . % . %"), ("%[.]%[.]%[.]%", "%(.)%(.)%(.)%"))[maker]
+        by = (" .", "/.", "_ .", "_/")[maker]
+        call = (("+1 (%) %-%", "(%) %-%"), ("%.%.%", "001-%-%-%"), ("0049 % % %", "% % %", "+44 % % %"), ("0033.%.%.%", "%-%-%"))[maker]
+        assigned = (('% = "%"', F.substring(hexes, 1, 40)), ("%: %", long_), ("%=%", F.substring(hexes, 1, 24)), ("%='%'", F.concat(F.substring(hexes, 3, 9), F.lit("-"), F.substring(long_, 5, 12))))[maker]
+        personal = {
+            "email": [put(x, name, host, end) for x in at],
+            "ip": [put(x, *octets) for x in dotted],
+            "card": [card, *[grouped(card, x) for x in by]],
+            "phone": [put(x, *tel) for x in call],
+            "secret": [put(assigned[0], key, assigned[1])],
+        }
+        near = (("% at % dot matrix", "look at % dot number"), ("% at % dot paper", "%@home"), ("% at % dot printing", "point at % dot by dot"), ("% AT % DOT MATRIX", "smile at % dot chart"))[maker]
+        lookalike = {
+            "email": [put(x, *[name, host][2 - x.count("%") :]) for x in near],
+            "ip": [put(x, *over) for x in dotted],
+            "card": [other, *[grouped(other, x) for x in by], digits(32, 12)],
+            "phone": [*[put(x, *tel) for x in call if not x.startswith(("+", "00"))], F.concat_ws("- ."[maker % 3], *tel), F.concat(F.lit("+"), digits(53, 5))],
+            "secret": [put(x, key, word) for x in (("%: %", '% = "%"'), ("%=%", "%: %"), ('%="%"', "%: %"), ("%='%'", "% = %"))[maker]],
+        }
+        forms = [F.when(is_personal, pick(100 + k, *personal[x])).otherwise(pick(200 + k, *lookalike[x])) for k, x in enumerate(KINDS)]
+        cues = [pick(300 + k, *CUE_WORDS[maker][x]) for k, x in enumerate(KINDS)]
+        prose = [F.concat_ws(" ", *[pick(400 + 20 * side + k, *WORDS[maker]) for k in range(6)]) for side in range(2)]
+        # A third to a half of the lines have no cue. Lookalikes have a misleading one more often than a true one, personal data never.
+        right = F.concat(F.element_at(F.array(*cues), kind + 1), F.lit(" "))
+        wrong = F.concat(pick(500, *LOOKALIKE_WORDS[maker]), F.lit(" "))
+        # Numbers in groups like a telephone's are told from one by such a word alone.
+        alike = ~is_personal & (kind == KINDS.index("phone"))
+        said = F.when(alike, wrong).when(cue == 0, "").when(is_personal | ((cue == 1) & (draw(4, 3) == 0)), right).when(cue == 1, wrong).otherwise("")
+        return F.struct(F.element_at(F.array(*forms), kind + 1).alias("item"), F.concat(prose[0], F.lit(" "), said).alias("head"), prose[1].alias("tail"))
+
+    maker = F.element_at(F.array(*[F.lit(m) for m in makers]), draw(5, len(makers)) + 1)
+    one = reduce(lambda rest, m: F.when(maker == m, lines(m)).otherwise(rest), makers[1:], lines(makers[0]))
+    made = spark.range(n).select(F.col("id").alias("doc_id"), kind.alias("kind"), is_personal.cast("int").alias("personal"), maker.alias("maker"), one.alias("x"), pick(600, " ", ", ", ". ", "\n").alias("gap"))
+    start = F.length("x.head")
+    return made.select("doc_id", F.concat("x.head", "x.item", "gap", "x.tail").alias("text"), "kind", "personal", start.alias("s"), (start + F.length("x.item")).alias("e"), "maker")
+
+
+def labelled_candidates(examples: DataFrame, *others: str) -> DataFrame:
     """doc_id, the candidate's features, s, e, base, and whether it is of the kind of a personal item of which it has more than half."""
-    item = examples.select("doc_id", "text", *[F.col(n).alias(f"_{n}") for n in ("kind", "personal", "s", "e")])
-    one = proposed(item, "_kind", "_personal", "_s", "_e").withColumn("c", F.explode("found")).select("doc_id", "_kind", "_personal", "_s", "_e", "c.*")
+    item = examples.select("doc_id", "text", *others, *[F.col(n).alias(f"_{n}") for n in ("kind", "personal", "s", "e")])
+    one = proposed(item, *others, "_kind", "_personal", "_s", "_e").withColumn("c", F.explode("found")).select("doc_id", *others, "_kind", "_personal", "_s", "_e", "c.*")
     common = F.least("e", "_e") - F.greatest("s", "_s")
     same = (F.col("kind") == F.col("_kind")) & (2 * common > F.col("_e") - F.col("_s"))
     return one.withColumn("positive", F.when(same, F.col("_personal")).otherwise(0))
@@ -285,18 +311,21 @@ class Tree:
 def _grow(rows: list[dict], depth: int) -> Tree | float:
     """The tree of largest gain in the second-order loss; rows carry their summed gradient ``g`` and hessian ``h``."""
     g, h = sum(r["g"] for r in rows), sum(r["h"] for r in rows)
-    leaf = -RATE * g / (h + LEAST_HESSIAN)
     best = (1e-6, None)
-    if depth:
-        for name, size in FEATURES.items():
-            for cut in range(size - 1):
-                gl = sum(r["g"] for r in rows if r[name] <= cut)
-                hl = sum(r["h"] for r in rows if r[name] <= cut)
-                gain = gl * gl / (hl + LEAST_HESSIAN) + (g - gl) ** 2 / (h - hl + LEAST_HESSIAN) - g * g / (h + LEAST_HESSIAN)
-                if gain > best[0] and hl > 0 and h - hl > 0:
-                    best = (gain, (name, cut))
+    for name, size in FEATURES.items() if depth else ():
+        by = [[0.0, 0.0] for _ in range(size)]
+        for r in rows:
+            own = by[r[name]]
+            own[0] += r["g"]
+            own[1] += r["h"]
+        gl = hl = 0.0
+        for cut in range(size - 1):
+            gl, hl = gl + by[cut][0], hl + by[cut][1]
+            gain = gl * gl / (hl + LEAST_HESSIAN) + (g - gl) ** 2 / (h - hl + LEAST_HESSIAN) - g * g / (h + LEAST_HESSIAN)
+            if gain > best[0] and hl > 0 and h - hl > 1e-12:
+                best = (gain, (name, cut))
     if best[1] is None:
-        return leaf
+        return -RATE * g / (h + LEAST_HESSIAN)
     name, cut = best[1]
     return Tree(name, cut, _grow([r for r in rows if r[name] <= cut], depth - 1), _grow([r for r in rows if r[name] > cut], depth - 1))
 
@@ -321,7 +350,8 @@ def boost(counts: list[dict]) -> tuple[float, list[Tree | float]]:
 
 
 def calibrate(counts: list[dict], start: float, trees: list) -> list[float]:
-    """For each kind, log-odds from which on ``PRECISION`` of the counted candidates are positive."""
+    """For each kind, the log-odds from which on ``PRECISION`` of the counted candidates are positive: the least at which that holds, and
+    at which the candidates just there are more often right than not. Without any such, nothing is accepted."""
     out = []
     for kind in range(len(KINDS)):
         by_score: dict[float, list[int]] = {}
@@ -332,14 +362,14 @@ def calibrate(counts: list[dict], start: float, trees: list) -> list[float]:
         n = positive = accepted = 0
         for k, (_, more, yes) in enumerate(scored):
             n, positive = n + more, positive + yes
-            if positive >= PRECISION * n:
+            if positive >= PRECISION * n and 2 * yes > more:
                 accepted = k + 1
-        # Halfway to the best score that isn't accepted; even odds at least.
-        if accepted == len(scored):
-            out.append(0.0)
-        else:
-            upper = scored[accepted - 1][0] if accepted else math.inf
-            out.append(max((upper + scored[accepted][0]) / 2, 0.0))
+        if not accepted:
+            out.append(math.inf)
+        elif accepted == len(scored):
+            out.append(scored[-1][0])
+        else:  # halfway to the best score that isn't accepted
+            out.append((scored[accepted - 1][0] + scored[accepted][0]) / 2)
     return out
 
 
@@ -355,13 +385,20 @@ class Model:
         return score >= at
 
 
+_models: dict[tuple[int, int], Model] = {}
+
+
 def fit(spark: SparkSession, n: int = PLANTS, seed: int = 1) -> Model:
-    """Trees from two thirds of ``n`` examples, thresholds from the others."""
-    one = labelled_candidates(materialise(plants(spark, n, seed), "pii-plants")).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(3)) == 0)
-    counted = one.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("positive"))
-    counts = sorted((r.asDict() for r in counted.collect()), key=lambda r: [r[f] for f in FEATURES])  # a few for each example at most
-    start, trees = boost([r for r in counts if not r["held"]])
-    return Model(start, tuple(trees), tuple(calibrate([r for r in counts if r["held"]], start, trees)))
+    """Trees from two thirds of ``n`` examples, thresholds from the others, which are by another maker. No table is read for it, so a model is
+    fit once for each ``n`` and ``seed`` of an application."""
+    if (n, seed) not in _models:
+        own = plants(spark, n - n // 3, seed, LEARN).unionByName(plants(spark, n // 3, seed + 1, CALIBRATE))
+        one = labelled_candidates(materialise(own.withColumn("held", F.col("maker").isin(*CALIBRATE)), "pii-plants"), "held")
+        counted = one.groupBy("held", *FEATURES).agg(F.count(F.lit(1)).alias("n"), F.sum("positive").alias("positive"))
+        counts = sorted((r.asDict() for r in counted.collect()), key=lambda r: [r[f] for f in FEATURES])  # a few for each example at most
+        start, trees = boost([r for r in counts if not r["held"]])
+        _models[n, seed] = Model(start, tuple(trees), tuple(calibrate([r for r in counts if r["held"]], start, trees)))
+    return _models[n, seed]
 
 
 # --- spans -------------------------------------------------------------------------------------------------------------
