@@ -202,3 +202,17 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in list(above)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_sizes_count_all_bits_of_a_hash():
+    """Hashes that agree in bucket and low bits count one by one in a document's size, whatever their order, and repeats don't."""
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        low = rng.integers(0, 6, 60, dtype=np.uint64) * np.uint64(977)
+        hashes = low | rng.integers(0, 3, 60, dtype=np.uint64) << np.uint64(60)  # bits that neither bucket nor place in it has
+        owner = np.sort(rng.integers(0, 5, 60)).astype(np.int32)
+        rows = list(nj._pack(0, np.zeros(5, nj.ROW), hashes, owner, 256))
+        want = [len(set(hashes[owner == k].tolist())) for k in range(5)]
+        assert np.frombuffer(rows[0]["sizes"], "<i4").tolist() == want
+        kept = sum(len(r["low"]) // 4 for r in rows[1:])
+        assert kept == len(set(zip(owner.tolist(), low.tolist(), strict=True)))

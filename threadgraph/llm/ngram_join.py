@@ -17,7 +17,7 @@ links ends up in one component.
    themselves, or when all of them are in the component already. Groups of more than ``BLOCK`` sets or ``BLOCK_ITEMS`` elements
    are worked off by pairs of blocks. Their links give the components.
 
-Shingles are told apart by 48 bits of hash or more (256 buckets at least, and 40 bits within). Buckets are as many as the bytes
+Shingles are counted by 64 bits of hash, and told apart by 48 of them or more (256 buckets at least, and 40 bits within). Buckets are as many as the bytes
 of all texts ask for, and what a bucket holds is counted in ranges of bounded size. Every step that others build on is written to
 the shared folder. Rows are numbered by partition and place, so any number of them may share a doc_id.
 
@@ -111,14 +111,22 @@ def _pack(slice_id: int, docs: np.ndarray, hashes: np.ndarray, owner: np.ndarray
     """A row of the documents and their set sizes, and a row of sorted hashes for each bucket."""
     # By bucket, and by the bits that tell shingles apart within it: high bytes are then in order, and it is enough to count them.
     bits = np.uint64((1 << LOW_BITS) - 1)
+    whole = hashes
     bucket = ((hashes >> np.uint64(LOW_BITS)) % np.uint64(buckets)).astype(np.uint64)
     hashes = bucket << np.uint64(LOW_BITS) | hashes & bits
     order = np.argsort(hashes, kind="stable")
-    hashes, owner = hashes[order], owner[order]
-    own = np.ones(len(hashes), bool)
-    own[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[own], owner[own]
-    sizes = np.bincount(owner, minlength=len(docs))
+    hashes, owner, whole = hashes[order], owner[order], whole[order]
+    again = np.zeros(len(hashes), bool)
+    again[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
+    sizes = np.bincount(owner[~again], minlength=len(docs))
+    # Sizes count all 64 bits: a document's shingles that only the bits left out tell apart are counted one by one.
+    mixed_up = again.copy()
+    mixed_up[1:] &= whole[1:] != whole[:-1]
+    if mixed_up.any():
+        clashing = np.isin(hashes, hashes[mixed_up])
+        pairs = np.unique(np.stack((owner[clashing].astype(np.uint64), whole[clashing])), axis=1)
+        sizes += np.bincount(pairs[0].astype(np.int64), minlength=len(docs)) - np.bincount(owner[clashing & ~again], minlength=len(docs))
+    hashes, owner = hashes[~again], owner[~again]
     yield {"bucket": slice_id % buckets, "slice": slice_id, "docs": docs.tobytes(), "sizes": sizes.astype("<i4").tobytes()}
     if not len(hashes):
         return
