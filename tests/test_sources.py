@@ -232,3 +232,37 @@ def test_steps_are_kept_in_the_shared_folder_and_deleted(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Cluster)
+
+
+def test_crawl_reaches_chains_cycles_and_replies(spark):
+    """Three pages in a chain, one of replies behind them, a cycle back, one named by two, one that isn't there, one that none names."""
+    import json
+
+    def page(ids, after=None, replies=None):
+        nodes = [{"id": i, "user": {"username": "u", "id": "1"}, "body": i} for i in ids] + [None]
+        if replies:
+            nodes[0]["replies"] = {"nodes": [], "hasNextPage": True, "endCursor": replies}
+        return json.dumps({"nodes": nodes, "hasNextPage": after is not None, "endCursor": after})
+
+    rows = [
+        ("u", None, None, 0, page(["a", "b"], "1", "r")),
+        ("u", None, "1", 1, page(["c"], "2")),
+        ("u", None, "2", 2, page(["d"], "3")),
+        ("u", None, "3", 3, page(["e"], "1", "gone")),
+        ("u", "a", "r", 0, page(["f"], "1")),
+        ("u", "a", "1", 1, page(["g"])),
+        ("u", None, "x", 9, page(["no"])),
+        ("v", None, "1", 1, page(["no"])),
+    ]
+    table = spark.createDataFrame(rows, "url string, parent string, cursor string, page int, payload string")
+    found = ingest.crawled(table, "cursor is null", ingest.spiegel_more, ["url", "parent", "cursor"])
+    assert found.columns == table.columns
+    assert sorted((r.comment_id, r.reply_to) for r in ingest.spiegel(found).collect()) == [("a", None), ("b", None), ("c", None), ("d", None), ("e", None), ("f", "a"), ("g", "a")]
+    assert ingest.crawled(table.limit(0), "cursor is null", ingest.spiegel_more, ["url", "parent", "cursor"]).count() == 0
+
+
+def test_payload_problems(spark):
+    deep = '{"a":' * 200_000 + "1" + "}" * 200_000
+    rows = [("a", 1, "{}"), ("b", 2, None), ("c", 3, "{"), ("d", 4, "[1]"), ("e", 5, deep)]
+    found = ingest.payload_problems(spark.createDataFrame(rows, "url string, page int, payload string")).collect()
+    assert sorted((r.url, r.page, r.problem) for r in found) == [("b", 2, "no payload"), ("c", 3, "no JSON"), ("d", 4, "no object"), ("e", 5, "nested too deeply")]

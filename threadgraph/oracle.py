@@ -193,6 +193,8 @@ INGEST = {
       stripped AS text, 'Title ' || turn AS title, k // 2 AS place FROM t WHERE k % 2 = 0""",
     "ingest_spiegel": f"""{INGEST_TURNS} SELECT conv_id::VARCHAR AS url, 'n' || turn AS comment_id, role AS username, epoch_ms(('2024-01-01 08:' || minute || ':30.5')::TIMESTAMP) AS at, text,
       'n' || before AS reply_to, turn AS upvotes, 0::BIGINT AS love, k + 2 AS depth FROM t WHERE turn % 5 <> 4""",
+    "ingest_spiegel_paged": """SELECT conv_id::VARCHAR AS url, 'n' || turn AS comment_id, role AS username, text, turn // 2 AS page,
+      row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) - 1 AS place FROM conversations""",
     "ingest_disqus": r"""SELECT conv_id::VARCHAR AS url, 'd' || turn AS comment_id, role AS username, epoch(('2024-01-0' || (1 + turn % 9) || ' 10:00:00')::TIMESTAMP)::BIGINT AS at,
       regexp_replace(regexp_replace(text || ' end', '[ \t\n\x0b\f\r]+', ' ', 'g'), ' +', ' ', 'g') AS text, CASE WHEN turn > 0 THEN 'd' || (turn - 1) END AS reply_to FROM conversations""",
     "ingest_articles": """WITH h AS (SELECT * FROM (VALUES

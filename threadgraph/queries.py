@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
@@ -238,6 +238,24 @@ def ingest_spiegel(s, d):
     return out.select("url", "comment_id", "username", F.unix_millis("timestamp").alias("at"), "text", "reply_to", "upvotes", "love", F.size("ordinal").cast("long").alias("depth"))
 
 
+def ingest_spiegel_paged(s, d):
+    """Every conversation on pages of two turns that name the next one, the last the first again; pages that none names stay out."""
+    node = F.struct(
+        F.concat(F.lit("n"), F.col("turn").cast("string")).alias("id"), F.struct(F.col("role").alias("username"), F.lit("7").alias("id")).alias("user"),
+        F.col("text").alias("body"), F.lit("2024-01-01T08:00:30.500Z").alias("created_at"),
+    )
+    own = src.table(s, d, "conversations").withColumn("page", F.floor(F.col("turn") / 2))
+    chunks = own.groupBy(F.col("conv_id").cast("string").alias("url"), "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", node.alias("node")))), lambda x: x["node"]).alias("nodes"))
+    by = Window.partitionBy("url").orderBy("page")
+    following = F.coalesce(F.lead("page").over(by), F.min("page").over(Window.partitionBy("url")))
+    response = F.struct("nodes", F.lit(True).alias("hasNextPage"), F.concat(F.lit("c"), following.cast("string")).alias("endCursor"))
+    cursor = F.when(F.col("page") > 0, F.concat(F.lit("c"), F.col("page").cast("string")))
+    paged = chunks.select("url", F.lit(None).cast("string").alias("parent"), cursor.alias("cursor"), "page", F.to_json(response).alias("payload"))
+    stray = paged.where("page > 0").select("url", "parent", F.concat("cursor", F.lit("-old")).alias("cursor"), "page", "payload")
+    found = ingest.crawled(paged.union(stray), F.col("cursor").isNull(), ingest.spiegel_more, ["url", "parent", "cursor"])
+    return ingest.spiegel(found).select("url", "comment_id", "username", "text", F.col("ordinal")[0].alias("page"), F.col("ordinal")[1].alias("place"))
+
+
 def ingest_disqus(s, d):
     post = F.struct(
         F.concat(F.lit("d"), F.col("turn").cast("string")).alias("id"), F.struct(F.col("role").alias("username")).alias("author"),
@@ -531,6 +549,7 @@ def queries() -> dict:
         "ingest_tagesschau": ingest_tagesschau,
         "ingest_spiegel": ingest_spiegel,
         "ingest_disqus": ingest_disqus,
+        "ingest_spiegel_paged": ingest_spiegel_paged,
         "ingest_articles": ingest_articles,
         "example_stories": example_stories,
         "text_vectors": text_vectors,

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import GraphError
+from ..storage import materialise
 from .comments import conform
 
 #: Platforms in the order in which they are tried, with the pattern a url must begin with.
@@ -143,6 +144,8 @@ def _walk(response: dict, parent: str | None, path: list[int]):
             continue
         later = []
         for k, node in enumerate(given.get("nodes") or []):
+            if not isinstance(node, dict):  # a gap in the list
+                continue
             later.append(((node, above, [*where, k]), None, None))
             if isinstance(node.get("replies"), dict):
                 later.append((node["replies"], node.get("id"), [*where, k]))
@@ -187,6 +190,49 @@ def spiegel_more(pages: DataFrame) -> DataFrame:
     return _responses(pages, "url string, parent string, cursor string", rows_of)
 
 
+def payload_problems(pages: DataFrame) -> DataFrame:
+    """url, page, problem of each payload that ``spiegel`` can't read: none at all, no JSON, JSON that is nested too deeply, or no object."""
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for url, page, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    problem = None if isinstance(json.loads(payload or "null"), dict) else "no object" if payload else "no payload"
+                except ValueError:
+                    problem = "no JSON"
+                except RecursionError:
+                    problem = "nested too deeply"
+                if problem:
+                    rows.append((url, page, problem))
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["url", "page", "problem"])
+
+    return pages.select("url", F.col("page").cast("long").alias("page"), "payload").mapInArrow(run, "url string, page long, problem string")
+
+
+def crawled(payloads: DataFrame, first, more, key: list[str]) -> DataFrame:
+    """The payloads that are reached from those where ``first`` holds, by what ``more`` of payloads (columns ``key``) names as next.
+
+    A fixpoint: in each round only new payloads are read, and what they name is looked up among those not seen yet, until there are
+    none; cycles and several ways to a payload are no matter. A payload that several rows hold comes with all of them; what is named
+    but not there is left out. Each round is written to the shared folder, so there are as many rounds as the longest way has steps.
+    """
+    token = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in key]), {"ignoreNullFields": "false"})
+    known = materialise(payloads.withColumn("_key", token), "crawl-payloads")
+    new = materialise(known.where(first), "crawl-round")
+    reached, seen = new, new.select("_key")
+    while not new.isEmpty():
+        named = more(new.drop("_key")).select(token.alias("_key")).distinct().join(seen, "_key", "left_anti")
+        new = materialise(known.join(named, "_key", "left_semi").select(*known.columns), "crawl-round")
+        reached, seen = reached.union(new), seen.union(new.select("_key"))
+    return reached.drop("_key")
+
+
 # --- HTML platforms -----------------------------------------------------------------------------------------------------
 
 
