@@ -305,3 +305,27 @@ def test_sweep(spark, comments, tmp_path):
         assert row.remaining_edges == alone.edges.count()
         grouped = next((c for c in ("MERGE_ID", "CLUSTER_ID") if row.groups is not None and alone.nodes.where(f"{c} is not null").count()), None)
         assert row.groups == (alone.nodes.select(grouped).distinct().count() if grouped else None)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_exact_pagerank_solves_its_equations(spark, seed):
+    """Against a dense solve, with nodes that have no outgoing weight, and cycles."""
+    import numpy as np
+
+    rng = random.Random(seed)
+    g, nodes, order = random_graph(spark, rng)
+    turned = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in order]
+    edges_ = spark.createDataFrame([(*a, *b, 1.0 + k % 3) for k, (a, b) in enumerate(turned)], "src_c long, src_s long, tgt_c long, tgt_s long, REPLY_TO double")
+    place = {v: k for k, v in enumerate(nodes)}
+    walk = np.zeros((len(nodes), len(nodes)))
+    for k, (a, b) in enumerate(turned):
+        walk[place[b], place[a]] += 1.0 + k % 3
+    out = walk.sum(axis=0)
+    walk = np.where(out > 0, walk / np.where(out > 0, out, 1), 1 / len(nodes))
+    want = np.linalg.solve(np.eye(len(nodes)) - 0.85 * walk, np.full(len(nodes), 0.15 / len(nodes)))
+    got = {(r.c_idx, r.s_idx): r.PAGERANK for r in rank.pagerank_exact(g.nodes, edges_, "REPLY_TO").collect()}
+    assert max(abs(got[v] - want[k]) for v, k in place.items()) < 1e-9
+    with pytest.raises(GraphError):
+        rank.pagerank_exact(g.nodes, edges_.where("false"), "REPLY_TO")
+    with pytest.raises(GraphError):
+        rank.pagerank_exact(g.nodes, edges_, "REPLY_TO", tolerance=0.0, iterations=1)

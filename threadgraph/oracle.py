@@ -377,6 +377,7 @@ def oracle_sql() -> dict[str, str]:
     o["rank_toxicity_split"] = f"{w} SELECT c_idx, s_idx, round({toxicity('substr(text, (s + 1)::INT, (e - s)::INT)')}, 6) AS weight FROM nodes JOIN comments USING (c_idx)"
     o["rank_pagerank"] = f"{FOUR}, {pagerank('TEMPORAL', 10, 9)} SELECT c_idx, s_idx, round(pr, 9) AS weight FROM ranks"
     o["rank_pagerank_same_comment"] = f"{CHAINS}, {pagerank('SAME_COMMENT', 10, 9)} SELECT c_idx, s_idx, round(pr, 9) AS weight FROM ranks"
+    o["rank_pagerank_exact"] = f"{STRUCTURAL}, {pagerank('SAME_ARTICLE', 250, 9)} SELECT c_idx, s_idx, round(pr, 9) AS weight FROM ranks"
     bases = {"similarity": SIMILAR, "temporal": FOUR}
     for name, kind in SHORT.items():
         base = bases.get(name, STRUCTURAL)

@@ -48,7 +48,9 @@ comparator(
 
 
 def pagerank_settings(num_iterations: int, d: float, edge_type: str, use_power_mode: bool) -> dict:
-    return {"iterations": num_iterations if use_power_mode else 1000, "damping": d, "edge_type": edge_type, "tolerance": 1e-6 if use_power_mode else 1e-12}
+    if not use_power_mode:
+        return {"damping": d, "edge_type": edge_type, "exact": True}
+    return {"iterations": num_iterations, "damping": d, "edge_type": edge_type, "tolerance": 1e-6}
 
 
 modifier("PageRanker", lambda g, **own: rank.pagerank(g, **pagerank_settings(**own)), True, num_iterations=100, d=0.85, edge_type="TEMPORAL", use_power_mode=True)

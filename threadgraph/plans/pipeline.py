@@ -216,7 +216,7 @@ class Sweep:
             graph, steps = made.result()
             ranked, parts = [], []
             for after in self.alike(graph, branch):
-                if after.step[0] == "PageRanker":
+                if after.step[0] == "PageRanker" and after.step[1]["use_power_mode"]:
                     ranked.append((graph, after))
                 else:
                     parts.append(self.start(lambda own, step: [self.follow(own, step)], graph, after))

@@ -568,6 +568,7 @@ def queries() -> dict:
         "rank_toxicity_split": partial(rank_query, step=partial(rank.toxicity, whole_comment=False), column="TOXICITY", base=chains),
         "rank_pagerank": partial(rank_query, step=partial(rank.pagerank, iterations=10, tolerance=0.0), column="PAGERANK", digits=9),
         "rank_pagerank_same_comment": partial(rank_query, step=partial(weighted, name="PAGERANK"), column="PAGERANK", base=chains, digits=9),
+        "rank_pagerank_exact": partial(rank_query, step=partial(rank.pagerank, edge_type="SAME_ARTICLE", exact=True), column="PAGERANK", base=structural, digits=9),
         "filter_edge_or": edge_or,
         "merge_ids_reply_to": merge_ids,
         "merge_multi_or": partial(merge_multi, conj_or=True),
