@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadgraph.functions import text as tx
-from threadgraph.operators import community, components, edges, filters, merge, nearest, rank
+from threadgraph.operators import betweenness, community, components, edges, filters, merge, nearest, rank
 from threadgraph.plans import config, pipeline
 from threadgraph.schema import EDGE_WEIGHTS, ENDS, Graph, GraphError
 from threadgraph.sources import comments as src
@@ -206,6 +206,30 @@ def test_girvan_newman(spark, seed):
     assert got == {v: k for k, part in enumerate(want) for v in part}
 
 
+def test_betweenness_on_tables(spark):
+    rng = random.Random(3)
+    pairs = {(i, i + 1) for i in range(7)} | {(0, k) for k in range(20, 30)} | {tuple(sorted(rng.sample(range(9), 2))) for _ in range(6)}
+    pairs |= {(a + 100, b + 100) for a, b in pairs if b < 9} | {(300, 301)}  # a hub, a second component, a lone edge
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want = community.betweenness(near)
+    table = spark.createDataFrame([(a // 100, a, b) for a, b in pairs], "component long, a long, b long")
+    for block_rows, broadcast_arcs in ((10**9, 10**6), (500, 0)):
+        got = {(r["a"], r["b"]): r["v"] for r in betweenness.betweenness_table(table, block_rows, broadcast_arcs).collect()}
+        assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+    assert betweenness.betweenness_table(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("large", [0, 4])
+def test_girvan_newman_on_tables(spark, large):
+    for seed in (20, 31):
+        g, nodes, order = random_graph(spark, random.Random(seed), 12, 11)
+        got = weights(community.cluster(g, "REPLY_TO", split_edges=large).nodes, "CLUSTER_ID")
+        assert got == {v: k for k, part in enumerate(plain.girvan_newman(nodes, order)) for v in part}
+
+
 def test_greedy_modularity(spark):
     g, nodes, order = random_graph(spark, random.Random(5), 12, 14)
     got = weights(community.cluster(g, "REPLY_TO", "GreedyModularity").nodes, "CLUSTER_ID")

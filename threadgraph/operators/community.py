@@ -1,6 +1,7 @@
 """Community detection, as CLUSTER_ID.
 
-Both algorithms work within connected components, one task each; only a few numbers per component meet. Girvan-Newman removes
+Both algorithms work within connected components; only a few numbers per component meet. A component is one task, but
+Girvan-Newman splits those of over SPLIT_EDGES edges on tables (``betweenness.py``). Girvan-Newman removes
 the edge of largest betweenness, anywhere, until some component falls apart. A component needs to get through removals of
 certain betweenness before it does; the one whose least such value is largest is through first, so that is the one that
 splits. Greedy modularity needs the number of all edges, and joins only within components.
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 
 from ..schema import EDGE_WEIGHTS, Graph, check_name, dense_position
 from ..storage import materialise
+from .betweenness import DIGITS, first_split_tables
 from .components import components_of
 from .merge import SHIFT, node_key
 
-DIGITS = 9  # betweenness values that differ by less are equal
+SPLIT_EDGES = 10_000  # of a component that one task splits
 
 
 def betweenness(near: dict[int, list[int]]) -> dict[tuple[int, int], float]:
@@ -123,7 +125,22 @@ def greedy_modularity(own: pd.DataFrame, edges: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["node", "side", "size"])
 
 
-def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True) -> Graph:
+def _split_first(placed: DataFrame, split_edges: int) -> DataFrame | None:
+    """node, side of the component that falls apart first; None without edges."""
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    large = materialise(sizes.where(F.col("n") > split_edges).select("component"), "cluster-large")
+    small = placed.join(large, "component", "left_anti")
+    halves = materialise(small.groupBy("component").applyInPandas(first_split, "component long, level double, latest array<long>, node long, side long"), "cluster-halves")
+    first = halves.orderBy(F.desc("level"), "latest").select("component", "level", "latest").first()
+    found = None
+    if not large.isEmpty():
+        found = first_split_tables(placed.join(large, "component", "left_semi"), (first["level"], first["latest"]) if first else None)
+    if found:
+        return found[3]
+    return halves.where(F.col("component") == first["component"]).select("node", "side") if first else None
+
+
+def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True, split_edges: int = SPLIT_EDGES) -> Graph:
     keyed = edges.select(node_key(F.col("src_c"), F.col("src_s")).alias("_a"), node_key(F.col("tgt_c"), F.col("tgt_s")).alias("_b"), "ord")
     keyed = keyed.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "ord").where("a <> b").groupBy("a", "b").agg(F.min("ord").alias("ord"))
     keyed = materialise(keyed, "cluster-edges")
@@ -131,9 +148,8 @@ def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True) ->
     placed = keyed.join(found, keyed["a"] == found["node"]).select("component", "a", "b", "ord")
     nodes = graph.nodes.drop("CLUSTER_ID").withColumn("_key", node_key(F.col("c_idx"), F.col("s_idx")))
     if girvan_newman:
-        halves = placed.groupBy("component").applyInPandas(first_split, "component long, level double, latest array<long>, node long, side long")
-        first = halves.select("component", "level", "latest").distinct().orderBy(F.desc("level"), "latest").limit(1).select("component")
-        split = halves.join(F.broadcast(first), "component").select(F.col("node").alias("_key"), "side")  # one row
+        halves = _split_first(materialise(placed, "cluster-placed"), split_edges)
+        split = (halves if halves is not None else found.selectExpr("node", "component AS side").limit(0)).withColumnRenamed("node", "_key")
         own = found.select(F.col("node").alias("_key"), "component")
         sides = nodes.join(own, "_key", "left").join(split, "_key", "left").withColumn("_side", F.coalesce("side", "component", "_key"))
         sizes = sides.select("_side").distinct()
@@ -149,9 +165,9 @@ def cluster_edges(graph: Graph, edges: DataFrame, girvan_newman: bool = True) ->
     return graph.with_(nodes=done.select(*graph.nodes.columns))
 
 
-def cluster(graph: Graph, edge_type: str, algorithm: str = "GirvanNewman") -> Graph:
+def cluster(graph: Graph, edge_type: str, algorithm: str = "GirvanNewman", split_edges: int = SPLIT_EDGES) -> Graph:
     used = graph.edges.where(F.col(check_name(edge_type, EDGE_WEIGHTS)) != 0)
-    return cluster_edges(graph, used, algorithm.lower().endswith("girvannewman"))
+    return cluster_edges(graph, used, algorithm.lower().endswith("girvannewman"), split_edges)
 
 
 def cluster_multi(graph: Graph, edge_types: list[str], algorithm: str = "GirvanNewman") -> Graph:
