@@ -255,6 +255,50 @@ def test_two_triangles(spark):
     assert weights(community.cluster(g, "SAME_GROUP").nodes, "CLUSTER_ID") == {x: k for k, x in enumerate(v)}
 
 
+def test_busy_seconds(spark):
+    rng = random.Random(8)
+    at = [1_700_000_000.0 + rng.choice((0, 0, 0, 0.25, 999.5, 1000, 5000, -1200)) for _ in range(400)]
+    own = spark.createDataFrame(list(enumerate(at)), "c_idx long, at double").select("c_idx", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"))
+
+    def rows(bucket_rows):
+        return {(r["c_a"], r["c_b"]): r["TEMPORAL"] for r in edges.close_comments(own, bucket_rows=bucket_rows).collect()}
+
+    want = {}
+    for b in range(400):
+        for a in range(b):
+            gap = at[a] - at[b] if at[a] > at[b] else (at[b] - at[a]) // 1
+            if gap < 1000:
+                want[a, b] = 1 - gap / 1000
+    for bucket_rows in (20, 4096):
+        got = rows(bucket_rows)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_busy_keys_are_bounded(spark):
+    n, part = 100_000, 1000
+    own = spark.range(n).select(F.col("id").alias("c_idx"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("bucket"))
+    busy = spark.createDataFrame([(0, n // part)], "bucket long, parts long")
+    side = edges._busy_keys(own, "a", "b", busy)
+    most = side.groupBy(*edges.PAIR_KEY).count().agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("keys")).first()
+    assert most["m"] < 1.25 * part and most["keys"] == (n // part) * (n // part + 2)
+
+
+def test_positions_of_sparse_ids(spark):
+    rng = random.Random(4)
+    ids = list({rng.getrandbits(63) - (1 << 62) for _ in range(3000)})
+    got = {r["id"]: r["c_idx"] for r in src.positions(spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+    assert src.positions(spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_nearest_by_small_weights(spark):
+    rng = random.Random(6)
+    rows = [(c, s, rng.choice((0.0, 0.25, 1e-9 * c, rng.random()))) for c in range(60) for s in range(rng.randint(1, 3))]
+    nodes = spark.createDataFrame(rows, "c_idx long, s_idx long, PAGERANK double").repartition(5)
+    got = {(r["src_c"], r["src_s"]): (r["tgt_c"], r["tgt_s"]) for r in nearest.nearest_of_others(nodes, nodes.where("s_idx = 0"), "PAGERANK").collect()}
+    assert got == {(c, s): min((abs(w - v), (d, t)) for d, t, v in rows if d != c)[1] for c, s, w in rows if s == 0}
+
+
 def test_single_edges(graph, expected):
     g = rank.recency(graph)
     when = weights(g.nodes, "RECENCY")

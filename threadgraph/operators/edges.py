@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.text import spans
 from ..functions.vectors import cosine, norm
 from ..schema import EDGE_WEIGHTS, ENDS, NODE_WEIGHTS, Graph
+from ..storage import materialise
 
 MAX_TIME = 1000  # seconds; the configured value isn't consulted
+BUCKET_ROWS = 4096  # comments of a bucket that are one key
 
 
 def nodes_of(comments: DataFrame, fix_offsets: bool = False, text: str = "text") -> DataFrame:
@@ -93,19 +95,44 @@ def edges_similarity(comments: DataFrame, nodes: DataFrame, vectors: DataFrame,
     return _spread(similar_comments(comments, vectors, max_similarity, base), nodes, "SIMILARITY")
 
 
-def close_comments(comments: DataFrame, max_time: int = MAX_TIME, base: float = 1.0) -> DataFrame:
+def _busy_keys(own: DataFrame, name: str, other: str, busy: DataFrame) -> DataFrame:
+    """Rows of ``own`` for one side of the join, once for each part of each bucket that they meet."""
+    n_own = busy.select("bucket", F.col("parts").alias("_own"))
+    n_other = busy.select(F.col("bucket").alias(f"bucket_{other}"), F.col("parts").alias("_other"))
+    rows = own.join(n_own, "bucket", "left").withColumn(f"part_{name}", F.pmod(F.xxhash64("c_idx"), F.coalesce("_own", F.lit(1))))
+    rows = rows.withColumn(f"bucket_{other}", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1))).join(n_other, f"bucket_{other}", "left")
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_other", F.lit(1)) - 1)).alias(f"part_{other}")
+    return rows.select(F.col("c_idx").alias(f"c_{name}"), F.col("at").alias(f"at_{name}"), F.col("bucket").alias(f"bucket_{name}"), f"part_{name}", f"bucket_{other}", part)
+
+
+PAIR_KEY = ["bucket_a", "part_a", "bucket_b", "part_b"]
+
+
+def candidates_in_time(own: DataFrame, bucket_rows: int) -> DataFrame:
+    """c_a, at_a, c_b, at_b of rows (c_idx, at, bucket) whose buckets are the same or side by side.
+
+    Buckets of over ``bucket_rows`` are dealt into parts by count, and pairs of parts are the keys, so that a second in which
+    very many comments were written is no hot key. What is repeated for it is part of the pairs that it asks for.
+    """
+    counts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    busy = materialise(counts.select("bucket", F.ceil(F.col("n") / bucket_rows).cast("long").alias("parts")), "busy-buckets")
+    if busy.isEmpty():
+        a = own.select(F.col("c_idx").alias("c_a"), F.col("at").alias("at_a"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+        return a.join(own.select(F.col("c_idx").alias("c_b"), F.col("at").alias("at_b"), "bucket"), "bucket").where("c_a < c_b")
+    return _busy_keys(own, "a", "b", busy).join(_busy_keys(own, "b", "a", busy), PAIR_KEY).where("c_a < c_b")
+
+
+def close_comments(comments: DataFrame, max_time: int = MAX_TIME, base: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """c_a, c_b, TEMPORAL of comments less than ``max_time`` seconds apart.
 
     A range join by equal keys: buckets of max_time seconds, each comment looked up in its own and the two beside it.
     """
     at = F.unix_micros("ts")
     own = comments.select("c_idx", at.alias("at"), F.floor(at / (max_time * 1_000_000)).alias("bucket")).where("at is not null")
-    a = own.select(F.col("c_idx").alias("c_a"), F.col("at").alias("at_a"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    b = own.select(F.col("c_idx").alias("c_b"), F.col("at").alias("at_b"), "bucket")
     micros = F.col("at_a") - F.col("at_b")
     # Later by position but earlier in time: exact seconds; otherwise whole ones.
     gap = F.when(micros > 0, micros / 1_000_000).otherwise(F.floor(-micros / 1_000_000).cast("double"))
-    pairs = a.join(b, "bucket").where("c_a < c_b").withColumn("gap", gap).where(F.col("gap") < max_time)
+    pairs = candidates_in_time(own, bucket_rows).withColumn("gap", gap).where(F.col("gap") < max_time)
     return pairs.select("c_a", "c_b", ((1 - F.col("gap") / max_time) * base).alias("TEMPORAL"))
 
 

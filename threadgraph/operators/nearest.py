@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import EDGE_WEIGHTS, NODE, NODE_WEIGHTS, Graph, GraphError, check_name, dense_position
-from ..storage import materialise
+from ..schema import EDGE_WEIGHTS, NODE, NODE_WEIGHTS, Graph, GraphError, check_name
+from ..storage import materialise, ranked_position
 from .filters import require
 from .rank import endpoints
 
@@ -28,7 +28,7 @@ def nearest_of_others(nodes: DataFrame, wanted: DataFrame, weight: str) -> DataF
     # Of a level, the first two comments are enough: whichever comment asks, one of them is another.
     by = Window.partitionBy("v").orderBy("c_idx")
     two = first.withColumn("_n", F.row_number().over(by)).where("_n <= 2").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c_idx", "s_idx"))).alias("two"))
-    levels = materialise(dense_position(two, ["v"], F.floor(F.col("v") / 4096), "p"), "levels")
+    levels = materialise(ranked_position(two, ["v"], "p"), "levels")  # in ranges of rows, so weights in [0, 1] are no hot bucket
     asks = wanted.select(F.col(weight).alias("v"), F.col("c_idx").alias("src_c"), F.col("s_idx").alias("src_s"))
     asks = asks.join(levels.select("v", "p"), "v").withColumnRenamed("v", "w")
     at = levels.select(F.col("p").alias("q"), "v", "two")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import COMMENTS, dense_position
+from ..storage import ranked_position
 
 EPOCH = 1_704_067_200_000_000
+ID_BUCKET = 65_536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +69,15 @@ def resolve_replies(comments: DataFrame, article_ids: list | None = None) -> Dat
 
 
 def positions(comments: DataFrame) -> DataFrame:
-    """``c_idx``: place of the comment by id."""
-    return dense_position(comments, ["id"], F.floor(F.col("id") / 65536), "c_idx")
+    """``c_idx``: place of the comment by id.
+
+    Ids that lie close together are numbered in buckets of ids. With sparse ones (hashes, say) there would be about as many
+    buckets as rows, whose counts one task adds up; such tables are numbered in ranges of rows.
+    """
+    ends = comments.agg(F.count("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    if ends["n"] and (ends["b"] - ends["a"]) // ID_BUCKET > 1000 + ends["n"] // 1024:
+        return ranked_position(comments, ["id"], "c_idx")
+    return dense_position(comments, ["id"], F.floor(F.col("id") / ID_BUCKET), "c_idx")
 
 
 def id_index(comments: DataFrame) -> DataFrame:
