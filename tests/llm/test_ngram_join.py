@@ -185,6 +185,47 @@ def test_counting_a_bucket_in_ranges(docs_of, texts, monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 900
 
 
+def test_shared_shingles_stay_in_their_slice(spark, docs_of, texts, monkeypatch):
+    """Whatever number of documents a slice deals out as a number only, sets are the same."""
+    found = []
+    for hot in (1 << 40, 16, 3, 2):
+        monkeypatch.setattr(nj, "HOT", hot)
+        rng = np.random.default_rng(2)
+        hashes = np.concatenate([rng.integers(0, 400, 3000, dtype=np.uint64) << np.uint64(33), rng.integers(0, 1 << 63, 500, dtype=np.uint64)])
+        owner = rng.integers(0, 90, len(hashes))
+        rows = [r for k in range(3) for r in nj._pack(1000 * k, np.zeros(90, nj.ROW), hashes[k::3], owner[k::3], 4)]
+        rows.sort(key=lambda r: r["bucket"])
+        back = [r for limit in (10**9,) for b in nj._count(_batches(rows, nj.PACKED)) for r in b.to_pylist()]
+        back.sort(key=lambda r: r["slice"])
+        sets = [r for b in nj._assemble(_batches(back, nj.BACK)) for r in b.to_pylist()]
+        found.append([(r["id"], r["n"], r["items"], r["spread"], r["same"]) for r in sets])
+    assert all(f == found[0] for f in found) and sum(r[2] is not None for r in found[0]) > 50
+
+
+def _batches(rows, schema):
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return [pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows[k : k + 7]], kinds[t]) for n, t in fields], names=[n for n, _ in fields]) for k in range(0, len(rows), 7)]
+
+
+def test_a_shingle_of_all_documents(spark):
+    """What a shingle puts into its bucket doesn't grow with the documents that have it."""
+    held, n = [], 100_000
+    for docs in (1000, n):
+        texts = [b"one very common passage of words %d" % k for k in range(docs)]
+        hashes, owner = nj.shingles(texts)
+        rows = list(nj._pack(0, np.zeros(docs, nj.ROW), hashes, owner, 256))
+        shared = [r for r in rows[1:] if r.get("owner") is None]
+        held.append([(len(r["low"]), len(r["sizes"])) for r in shared])
+        assert sum(int(np.frombuffer(r["sizes"], "<u4").sum()) for r in shared) == 2 * docs
+    assert held[0] == held[1]
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("one very common passage of words "), F.col("id"), F.lit(" and "), F.col("id") * 7 + 1, F.lit(" x y z "), F.col("id")).alias("text"))
+    got = nj.jaccard_components(docs).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("component_id") == F.col("doc_id")).cast("int")).alias("own"), F.min("n_shingles").alias("a"), F.max("n_shingles").alias("b")).first()
+    assert tuple(got) == (n, n, 9, 9)  # 13 words
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(k, k + 1) for k in range(60)] + [(1000, rng.randrange(1001, 1100)) for _ in range(80)] + [(rng.randrange(2000, 2080), rng.randrange(2000, 2080)) for _ in range(50)] + [(7, 7)]

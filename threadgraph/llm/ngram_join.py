@@ -5,7 +5,9 @@ intersection is at least ``PERCENT`` times their union. Links, not pairs, are wh
 links ends up in one component.
 
 1. Each slice of documents hashes its shingles and deals them out by hash, sorted and packed. Where they meet, the number of
-   documents of each shingle is counted, over all documents; those in two or more go back to their slice.
+   documents of each shingle is counted, over all documents; those in two or more go back to their slice. Of a shingle that
+   ``HOT`` documents of a slice share, only their number is dealt out and only the total comes back, so what a shingle puts into
+   its bucket grows with the slices that have it, by some 100 bytes each at most, and not with the documents.
 2. A document of which fewer than PERCENT of 100 shingles occur elsewhere can't link, and is done. The others keep their
    repeated shingles in the global order: rarest first, then by hash. Shingles of one document alone come before all others.
    Documents with equal sets become one.
@@ -46,6 +48,7 @@ PART_BYTES = 1_000_000  # bytes that are hashed at once
 SLICE_BYTES = 4_000_000  # bytes of the documents whose shingles are sorted and packed together
 LOW_BITS = 40  # of a hash within its bucket
 LEAST_BUCKETS, BUCKET_BYTES = 256, 256_000_000  # a bucket for so many bytes of text
+HOT = 16  # documents of a slice that share a shingle, from which on the slice keeps their places and deals out their number only
 RANGE_ITEMS = 4_000_000  # shingles of a bucket that are counted together
 BLOCK, BLOCK_ITEMS = 500, 250_000  # sets, and elements of sets, that one task holds in a tree
 SEGMENT = 32  # elements of a node of the tree
@@ -108,7 +111,8 @@ PACKED = "bucket int, slice long, docs binary, sizes binary, owner binary, low b
 
 
 def _pack(slice_id: int, docs: np.ndarray, hashes: np.ndarray, owner: np.ndarray, buckets: int):
-    """A row of the documents and their set sizes, and a row of sorted hashes for each bucket."""
+    """A row of the documents and their set sizes, with the shingles that many of them share and whose these are; for each bucket
+    a row of sorted hashes with the documents they are of, and one of the shared shingles with the number of their documents."""
     # By bucket, and by the bits that tell shingles apart within it: high bytes are then in order, and it is enough to count them.
     bits = np.uint64((1 << LOW_BITS) - 1)
     whole = hashes
@@ -127,16 +131,31 @@ def _pack(slice_id: int, docs: np.ndarray, hashes: np.ndarray, owner: np.ndarray
         pairs = np.unique(np.stack((owner[clashing].astype(np.uint64), whole[clashing])), axis=1)
         sizes += np.bincount(pairs[0].astype(np.int64), minlength=len(docs)) - np.bincount(owner[clashing & ~again], minlength=len(docs))
     hashes, owner = hashes[~again], owner[~again]
-    yield {"bucket": slice_id % buckets, "slice": slice_id, "docs": docs.tobytes(), "sizes": sizes.astype("<i4").tobytes()}
-    if not len(hashes):
-        return
-    bucket = (hashes >> np.uint64(LOW_BITS)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    head = {"bucket": slice_id % buckets, "slice": slice_id, "docs": docs.tobytes(), "sizes": sizes.astype("<i4").tobytes()}
+    starts = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
+    times = np.diff(starts, append=len(hashes))
+    shared = times >= HOT
+    hot, hot_times = hashes[starts[shared]], times[shared].astype("<u4")
+    own = ~np.repeat(shared, times)
+    if len(hot):
+        head |= {"owner": owner[~own].astype("<u4").tobytes(), "low": hot.astype("<u8").tobytes(), "high": hot_times.tobytes()}
+    hashes, owner = hashes[own], owner[own]
+    yield head
+    for k, a, b in _by_bucket(hot):
+        yield {"bucket": k, "slice": slice_id, "low": (hot[a:b] & bits).astype("<u8").tobytes(), "sizes": hot_times[a:b].tobytes()}
     low = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")
     high = (hashes >> np.uint64(32) & np.uint64(0xFF)).astype(np.int64)
     kind = "<u2" if len(docs) <= 1 << 16 else "<u4"
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-        yield {"bucket": int(bucket[a]), "slice": slice_id, "owner": owner[a:b].astype(kind).tobytes(), "low": low[a:b].tobytes(), "high": np.bincount(high[a:b], minlength=256).astype("<u4").tobytes()}
+    for k, a, b in _by_bucket(hashes):
+        yield {"bucket": k, "slice": slice_id, "owner": owner[a:b].astype(kind).tobytes(), "low": low[a:b].tobytes(), "high": np.bincount(high[a:b], minlength=256).astype("<u4").tobytes()}
+
+
+def _by_bucket(hashes: np.ndarray):
+    """(bucket, first, last) of sorted hashes."""
+    bucket = (hashes >> np.uint64(LOW_BITS)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=False):
+        yield int(bucket[a]), a, b
 
 
 def _scanner(buckets: int):
@@ -199,40 +218,52 @@ def _count(batches):
     def work(bucket, rows):
         if not rows:
             return
-        # The rows' hashes are in order, so ranges of them by their high byte are slices; a range is at least one high byte's.
-        highs = np.array([np.frombuffer(r[6], "<u4") for r in rows], np.int64)
-        ends = np.cumsum(highs, axis=1)
-        total = np.cumsum(highs.sum(axis=0))
+        # Hashes of a row are in order, so ranges of them by their high byte are slices; a range is at least one high byte's.
+        hot = [r for r in rows if r[4] is None]
+        rows = [r for r in rows if r[4] is not None]
+        highs = np.array([np.frombuffer(r[6], "<u4") for r in rows], np.int64).reshape(-1, 256)
+        hot_highs = np.array([np.bincount((np.frombuffer(r[5], "<u8") >> np.uint64(32)).astype(np.int64), minlength=256) for r in hot], np.int64).reshape(-1, 256)
+        ends, hot_ends = np.cumsum(highs, axis=1), np.cumsum(hot_highs, axis=1)
+        total = np.cumsum(highs.sum(axis=0) + hot_highs.sum(axis=0))
         low = 0
         while low < 256:
             before = int(total[low - 1]) if low else 0
             high = max(low + 1, int(np.searchsorted(total, before + RANGE_ITEMS, side="right")))
             if total[high - 1] > before:
-                cuts = [(int(e[low - 1]) if low else 0, int(e[high - 1])) for e in ends]
-                yield from count(bucket, rows, highs[:, low:high], low, cuts)
+                cuts, hot_cuts = ([slice(int(e[low - 1]) if low else 0, int(e[high - 1])) for e in of] for of in (ends, hot_ends))
+                yield from count(bucket, rows, highs[:, low:high], low, cuts, hot, hot_cuts)
             low = high
 
-    def count(bucket, rows, highs, low, cuts):
-        owners = [_width(r[4], r[5])[a:b] for r, (a, b) in zip(rows, cuts, strict=True)]
+    def count(bucket, rows, highs, low, cuts, hot, hot_cuts):
+        owners = [_width(r[4], r[5])[own] for r, own in zip(rows, cuts, strict=True)]
         bytes_ = np.arange(low, low + highs.shape[1], dtype=np.uint64) << np.uint64(32)
-        items = np.concatenate([np.frombuffer(r[5], "<u4")[a:b].astype(np.uint64) | np.repeat(bytes_, own) for r, own, (a, b) in zip(rows, highs, cuts, strict=True)])
+        parts = [np.frombuffer(r[5], "<u4")[own].astype(np.uint64) | np.repeat(bytes_, n) for r, n, own in zip(rows, highs, cuts, strict=True)]
         which = np.repeat(np.arange(len(rows)), [len(o) for o in owners])
+        items = np.concatenate([*parts, *[np.frombuffer(r[5], "<u8")[own] for r, own in zip(hot, hot_cuts, strict=True)]])
+        times = np.concatenate([np.ones(len(which)), *[np.frombuffer(r[3], "<u4")[own] for r, own in zip(hot, hot_cuts, strict=True)]])
         order = np.argsort(items, kind="stable")
         head = np.ones(len(items), bool)
         head[1:] = items[order[1:]] != items[order[:-1]]
         group = np.cumsum(head) - 1
         spread = np.empty(len(items), np.int64)
-        spread[order] = np.bincount(group)[group]
-        again = spread > 1
+        spread[order] = np.bincount(group, weights=times[order])[group]
         # Counts only serve the order of elements, in which beyond 16 bits all are equally common.
-        owner, which, items, spread = np.concatenate(owners)[again], which[again], items[again], np.minimum(spread[again], 0xFFFF)
-        bounds = np.searchsorted(which, np.arange(len(rows) + 1))
-        found = []
-        for k, r in enumerate(rows):
-            own = slice(bounds[k], bounds[k + 1])
-            if bounds[k] < bounds[k + 1]:
-                packed = items[own]
-                found.append({"slice": r[1], "bucket": bucket, "owner": owner[own].astype("<u4").tobytes(), "item": packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), "spread": spread[own].astype("<u2").tobytes()})
+        capped = np.minimum(spread, 0xFFFF)
+        found, at = [], len(which)
+        for r, own in zip(hot, hot_cuts, strict=True):
+            n = own.stop - own.start
+            if n:
+                found.append({"slice": r[1], "bucket": bucket, "item": items[at : at + n].astype("<u8").tobytes(), "spread": capped[at : at + n].astype("<u2").tobytes()})
+            at += n
+        again = np.flatnonzero(spread[: len(which)] > 1)
+        if len(again):
+            owner, which, items, spread = np.concatenate(owners)[again], which[again], items[again], capped[again]
+            bounds = np.searchsorted(which, np.arange(len(rows) + 1))
+            for k, r in enumerate(rows):
+                own = slice(bounds[k], bounds[k + 1])
+                if bounds[k] < bounds[k + 1]:
+                    packed = items[own]
+                    found.append({"slice": r[1], "bucket": bucket, "owner": owner[own].astype("<u4").tobytes(), "item": packed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), "spread": spread[own].astype("<u2").tobytes()})
         if found:
             yield out(found)
 
@@ -240,7 +271,7 @@ def _count(batches):
     for batch in batches:
         for r in _rows(batch):
             if r[2] is not None:
-                yield out([{"slice": r[1], "docs": r[2], "sizes": r[3]}])
+                yield out([{"slice": r[1], "docs": r[2], "sizes": r[3], "owner": r[4], "item": r[5], "spread": r[6]}])
                 continue
             if r[0] != key:
                 yield from work(key, rows)
@@ -267,10 +298,19 @@ def _assemble(batches):
         parts = [r for r in rows if r[2] is None]
         items_of, spread_of, same = [None] * len(docs), [None] * len(docs), [None] * len(docs)
         if parts:
-            owner = np.concatenate([np.frombuffer(r[4], "<u4") for r in parts])
+            hot = [r for r in parts if r[4] is None]
+            parts = [r for r in parts if r[4] is not None]
+            owners, items, spread = [], [], []
+            if hot:  # the totals of shared shingles are looked up for those of the slice
+                keys = np.concatenate([np.frombuffer(r[5], "<u8") | np.uint64(r[1]) << np.uint64(LOW_BITS) for r in hot])
+                totals, order = np.concatenate([np.frombuffer(r[6], "<u2") for r in hot]), np.argsort(keys)
+                own, times = np.frombuffer(head[5], "<u8"), np.frombuffer(head[6], "<u4")
+                owners.append(np.frombuffer(head[4], "<u4"))
+                items.append(np.repeat(own, times))
+                spread.append(np.repeat(totals[order[np.searchsorted(keys, own, sorter=order)]], times))
+            owner = np.concatenate(owners + [np.frombuffer(r[4], "<u4") for r in parts])
             held = np.bincount(owner, minlength=len(docs))
             stays = (100 * held >= PERCENT * sizes.astype(np.int64)) & (sizes > 0)
-            items, spread = [], []
             for r in parts:
                 raw = np.frombuffer(r[5], np.uint8).reshape(-1, 5)
                 wide = np.zeros((len(raw), 8), np.uint8)
