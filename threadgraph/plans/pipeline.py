@@ -10,14 +10,15 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import edges
 from ..operators.rank import pageranks
-from ..schema import NODE, Graph
+from ..schema import ENDS, NODE, Graph, GraphError
 from ..sources.comments import positions
-from ..storage import materialise, release
+from ..sources.versions import Versions
+from ..storage import materialise, ranked_position, release
 from .config import COMPARATORS, MODIFIERS, pagerank_settings, resolve, run_step
 
 
@@ -70,33 +71,30 @@ def cache_key(article_ids: list[int], overrides: dict | None = None, config_in_c
 
 
 class GraphCache:
-    """Graphs as Parquet, by key: read if there, else built and stored."""
+    """Graphs as versioned Parquet tables, by key: read if there, else built and stored. A graph's three tables are stored in one
+    commit, and one that was read stays as it was when its key is stored anew."""
+
+    PARTS = ("comments", "nodes", "edges")
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _at(self, key: str) -> str:
-        return f"{self.path}/{hashlib.sha256(key.encode()).hexdigest()}"
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+    def versions(self, key: str) -> Versions:
+        return Versions(self.spark, f"{self.path}/{hashlib.sha256(key.encode()).hexdigest()}")
 
     def has(self, key: str) -> bool:
-        fs, where = self._fs(f"{self._at(key)}/edges/_SUCCESS")
-        return fs.exists(where)
+        return bool(self.versions(key).current().tables)
 
     def drop(self, key: str) -> None:
-        fs, where = self._fs(self._at(key))
-        fs.delete(where, True)
+        self.versions(key).commit(lambda base: {})
 
     def load(self, key: str) -> Graph:
-        read = lambda part: self.spark.read.parquet(f"{self._at(key)}/{part}")
-        return Graph(read("comments"), read("nodes"), read("edges"))
+        own = self.versions(key)
+        version = own.current()
+        return Graph(*[own.read(version, part) for part in self.PARTS])
 
     def store(self, key: str, graph: Graph) -> None:
-        for part in ("comments", "nodes", "edges"):
-            getattr(graph, part).write.mode("overwrite").parquet(f"{self._at(key)}/{part}")
+        self.versions(key).replace({part: getattr(graph, part) for part in self.PARTS})
 
     def get(self, comments: DataFrame, article_ids: list[int], overrides: dict | None = None, override_cache: bool = False, ignore_cache: bool = False, config_in_cache_key: bool = False, **options) -> Graph:
         key = cache_key(article_ids, overrides, config_in_cache_key)
@@ -105,23 +103,73 @@ class GraphCache:
         graph = build(request(comments, article_ids), overrides, **options)
         if ignore_cache:
             return graph
-        if override_cache:
-            self.drop(key)
         self.store(key, graph)
         return self.load(key)
 
 
-def to_document(graph: Graph) -> DataFrame:
-    """The graph as the API hands it out: one row with JSON of the comments' sentences and of the edges.
-
-    This is for requests whose graph one reader can show; tables are the form for anything larger.
-    """
+def _json_items(graph: Graph) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Comments with their sentences, and edges, as JSON of each (``item``), with the columns that order them."""
     weights = [c for c in graph.nodes.columns if c.isupper()]
     split = F.struct("s_idx", "s", "e", F.struct(*weights).alias("wgts"))
-    per = graph.nodes.groupBy("c_idx", "id").agg(F.sort_array(F.collect_list(split)).alias("splits"))
-    comments = per.agg(F.to_json(F.sort_array(F.collect_list(F.struct("c_idx", "id", "splits")))).alias("comments"))
+    per = graph.nodes.groupBy("c_idx", "id").agg(F.sort_array(F.collect_list(split)).alias("splits"))  # sentences of a comment
     edge = F.struct("ord", F.struct("src_c", "src_s").alias("src"), F.struct("tgt_c", "tgt_s").alias("tgt"), F.struct(*[c for c in graph.edges.columns if c.isupper()]).alias("wgts"))
-    return comments.crossJoin(F.broadcast(graph.edges.agg(F.to_json(F.sort_array(F.collect_list(edge))).alias("edges"))))  # one row
+    comments = per.select("c_idx", "id", F.to_json(F.struct("c_idx", "id", "splits")).alias("item"))
+    return {"comments": (comments, ["c_idx", "id"]), "edges": (graph.edges.select("ord", *ENDS, F.to_json(edge).alias("item")), ["ord", *ENDS])}
+
+
+DOCUMENT_ROWS = 1_000_000
+
+
+def to_document(graph: Graph, limit: int = DOCUMENT_ROWS) -> DataFrame:
+    """The graph as the API hands it out: one row with JSON of the comments' sentences and of the edges.
+
+    This is for requests whose graph one reader can show: one of over ``limit`` sentences or edges is an error, and
+    ``document_parts`` is the form for it.
+    """
+    parts = []
+    for name, (rows, order) in _json_items(graph).items():
+        source = graph.nodes if name == "comments" else graph.edges
+        if source.limit(limit + 1).count() > limit:
+            raise GraphError(f"over {limit} rows of {name}; document_parts gives them in parts")
+        listed = F.transform(F.sort_array(F.collect_list(F.struct(*order, "item"))), lambda x: x["item"])
+        parts.append(rows.agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias(name)))
+    return parts[0].crossJoin(F.broadcast(parts[1]))  # one row each
+
+
+PART_BUCKET = 4096
+
+
+def document_parts(graph: Graph, per_part: int = 10_000) -> DataFrame:
+    """The document of any graph in parts: kind (comments, edges), part, start, bytes, json.
+
+    The parts of a kind, put together by their number, are the JSON array that ``to_document`` gives; ``start`` is the place of a
+    part's first byte in its UTF-8 form. A part holds ``per_part`` comments or edges, and a last one closes the array, which for an
+    empty table is all there is. Items are numbered in ranges of their order, so no task sorts them all.
+    """
+    if per_part < 1:
+        raise GraphError("a part holds one item at least")
+    out = []
+    for name, (rows, order) in _json_items(graph).items():
+        placed = ranked_position(rows, order, "_place").withColumn("part", F.floor(F.col("_place") / per_part))
+        items = F.transform(F.sort_array(F.collect_list(F.struct("_place", "item"))), lambda x: x["item"])
+        joined = placed.groupBy("part").agg(F.array_join(items, ",").alias("_items"))
+        made = joined.select("part", F.concat(F.when(F.col("part") == 0, "[").otherwise(","), "_items").alias("json"))
+        parts = materialise(made.withColumn("bytes", F.octet_length("json").cast("long")), "document")
+        end = parts.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("part"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("start"))
+        closing = end.select("part", "start", F.when(F.col("part") == 0, "[]").otherwise("]").alias("json")).withColumn("bytes", F.octet_length("json").cast("long"))
+        out.append(_started(parts).unionByName(closing).select(F.lit(name).alias("kind"), "part", "start", "bytes", "json"))
+    return out[0].union(out[1])
+
+
+def _started(parts: DataFrame) -> DataFrame:
+    """``start``: bytes of all parts before, summed up within buckets of parts, and over the buckets."""
+    dealt = parts.withColumn("_bucket", F.floor(F.col("part") / PART_BUCKET))
+    sums = dealt.groupBy("_bucket").agg(F.sum("bytes").alias("_sum"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 4,096 parts
+    offsets = sums.select("_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_in", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
+    return summed.join(offsets, "_bucket").select("part", "bytes", "json", (F.col("_before") + F.col("_in")).alias("start"))
 
 
 @dataclass
