@@ -18,6 +18,7 @@ SOME = (
     "edges_reply_to_all", "rank_votes_up_only", "rank_toxicity_split", "filter_edge_or", "bottom_edge_reply_to", "bottom_node_votes_any", "search_tfidf", "time_histogram",
     "ingest_taz", "ingest_zeit", "ingest_spiegel", "ingest_spiegel_paged", "ingest_articles", "text_vectors", "visible_comments", "vote_colour", "cluster_centroid", "source_counts", "add_single_edges", "cluster_reply_to_gmc", "cluster_same_article_gmc", "merge_ids_reply_to", "cluster_reply_to_gn", "cluster_same_comment_gn",
     "merge_temporal", "merge_similarity", "filter_edge_similarity", "bottom_edge_similarity", "config_sweep", "edges_temporal",
+    "store_versions", "graph_lookup", "graph_cache", "article_cache", "graph_document",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(WHERE), reason="test tables are not here")

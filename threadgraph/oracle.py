@@ -359,6 +359,22 @@ def oracle_sql() -> dict[str, str]:
     o["delete_article"] = f"""WITH {RAW}, a AS (SELECT DISTINCT conv_id AS id FROM conversations), gone AS (SELECT conv_id AS id FROM conversations GROUP BY conv_id HAVING count(*) > 6)
       SELECT 'article' AS kind, id FROM a WHERE id NOT IN (FROM gone) UNION ALL SELECT 'comment', id FROM raw WHERE article_id NOT IN (FROM gone)
       UNION ALL SELECT 'graph', id FROM a WHERE id NOT IN (FROM gone) AND id + 1 NOT IN (FROM gone)"""
+    long_ = "SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 6"
+    urls = "SELECT DISTINCT conv_id AS id, 'https://www.zeit.de/a/' || conv_id AS url FROM conversations"
+    o["store_versions"] = f"""WITH {RAW}, a AS ({urls}), gone AS ({long_}),
+      rows_ AS (
+        SELECT 'articles' AS kind, id, length(url) AS chars, id % 3 + 1 AS since, id IN (FROM gone) AS goes FROM a
+        UNION ALL SELECT 'comments', id, length(text), article_id % 3 + 1, article_id IN (FROM gone) FROM raw
+        UNION ALL SELECT 'graphs', id, length('[' || id || ', ' || (id + 1) || ']'), 4, id IN (FROM gone) OR id + 1 IN (FROM gone) FROM a
+      )
+      SELECT v.version::BIGINT AS version, k.kind, count(id) AS n, sum(id)::BIGINT AS ids, sum(chars)::BIGINT AS chars
+      FROM range(1, 6) v(version) CROSS JOIN (VALUES ('articles'), ('comments'), ('graphs')) k(kind)
+      LEFT JOIN rows_ r ON r.kind = k.kind AND r.since <= v.version AND NOT (r.goes AND v.version = 5) GROUP BY ALL"""
+    o["graph_lookup"] = f"WITH a AS ({urls}), gone AS ({long_}) SELECT id AS first_id, CASE WHEN id NOT IN (FROM gone) AND id + 1 NOT IN (FROM gone) THEN id END AS graph_id FROM a"
+    o["graph_cache"] = f"{STRUCTURAL} SELECT {PLAIN}, 'before' AS stored FROM E UNION ALL SELECT {PLAIN}, 'after' FROM E WHERE REPLY_TO IS NOT NULL"
+    o["article_cache"] = f"""WITH {RAW}, a AS ({urls}), k AS (SELECT url, CASE WHEN url = (SELECT min(url) FROM a) THEN 1000000 ELSE 0 END AS shift, id FROM a)
+      SELECT url, article_id + shift AS article_id, raw.id + shift AS id, md5(text) AS h FROM raw JOIN k ON k.id = article_id"""
+    o["graph_document"] = graph_document_sql()
     o["embedding_cosine"] = f"WITH {VECTORS} SELECT a.c_idx AS vec_id, round(CASE WHEN a.n = 0 AND b.n = 0 THEN 1 WHEN a.n = 0 OR b.n = 0 THEN 0 ELSE list_dot_product(a.e, b.e) / (a.n * b.n) END, 6) AS cos FROM v a JOIN v b ON b.c_idx = a.c_idx + 1"
     o["edges_similarity"] = f"WITH {RAW}, {COSINES} SELECT c_a, c_b, round((1 - cos) / 0.25 * 0.1, 6) AS weight FROM cosines WHERE cos < 0.75"
     o["edges_same_comment"] = f"{w} SELECT {ENDS}, w AS SAME_COMMENT FROM ({EDGES['SAME_COMMENT']})"
@@ -445,6 +461,22 @@ def oracle_sql() -> dict[str, str]:
     return {name: textwrap.dedent(sql) for name, sql in o.items()}
 
 
+def graph_document_sql(per_part: int = 100) -> str:
+    return f"""{STRUCTURAL}, items AS (
+        SELECT 'comments' AS kind, row_number() OVER (ORDER BY c_idx) - 1 AS place,
+          '{{"c_idx":' || c_idx || ',"id":' || any_value(id) || ',"splits":[' || string_agg('{{"s_idx":' || s_idx || ',"s":' || s || ',"e":' || e || ',"wgts":{{}}}}', ',' ORDER BY s_idx) || ']}}' AS item
+        FROM nodes GROUP BY c_idx
+        UNION ALL SELECT 'edges', row_number() OVER (ORDER BY {ENDS}) - 1,
+          '{{"ord":[' || concat_ws(',', {ENDS}) || '],"src":{{"src_c":' || src_c || ',"src_s":' || src_s || '}},"tgt":{{"tgt_c":' || tgt_c || ',"tgt_s":' || tgt_s
+          || '}},"wgts":{{' || concat_ws(',', {', '.join(f"""'"{t}":' || {t}::DOUBLE""" for t in TYPES)}) || '}}}}' FROM E
+      ), parts AS (
+        SELECT kind, place // {per_part} AS part, CASE WHEN min(place) = 0 THEN '[' ELSE ',' END || string_agg(item, ',' ORDER BY place) AS json FROM items GROUP BY ALL
+      ), closed AS (
+        FROM parts UNION ALL SELECT k.kind, coalesce(max(part) + 1, 0), CASE WHEN count(part) = 0 THEN '[]' ELSE ']' END FROM (VALUES ('comments'), ('edges')) k(kind) LEFT JOIN parts p ON p.kind = k.kind GROUP BY k.kind
+      )
+      SELECT kind, part, coalesce(sum(strlen(json)) OVER (PARTITION BY kind ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, strlen(json) AS bytes, md5(json) AS h FROM closed"""
+
+
 def _edge_top(base: str, kind: str, direction: str) -> str:
     return f"""{base}, ends AS (SELECT DISTINCT * FROM (SELECT *, src_c AS c, src_s AS s FROM E UNION ALL SELECT *, tgt_c, tgt_s FROM E)),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY c, s ORDER BY coalesce({kind}, 0) {direction}, {ENDS}) AS rn FROM ends),

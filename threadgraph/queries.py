@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from .plans import pipeline, sweeps
 from .schema import EDGE_WEIGHTS, ENDS, Graph
 from .sources import comments as src
 from .sources import ingest, pages, store
+from .storage import shared_path
 
 SHORT = {"reply_to": "REPLY_TO", "same_article": "SAME_ARTICLE", "similarity": "SIMILARITY", "same_group": "SAME_GROUP", "same_comment": "SAME_COMMENT", "temporal": "TEMPORAL"}
 WEIGHTS = {"size": "SIZE", "degree": "DEGREE_CENTRALITY", "recency": "RECENCY", "votes": "VOTES", "toxicity": "TOXICITY", "pagerank": "PAGERANK"}
@@ -320,6 +321,67 @@ def delete_article(s, d):
     return a.select(F.lit("article").alias("kind"), "id").union(c.select(F.lit("comment"), "id")).union(g.select(F.lit("graph"), "id"))
 
 
+def _stored(s, d) -> store.Store:
+    """A store filled article by article group: the articles of each rest by 3 come with their comments in a commit of their own, then
+    a graph for each pair of neighbouring articles; then articles of over 6 comments are deleted with all that hangs on them."""
+    own = store.Store(s, shared_path(s, "store"))
+    articles, replies = _articles(s, d), src.from_conversations(src.table(s, d, "conversations"))
+    for k in range(3):
+        own.add({"articles": articles.where(F.col("id") % 3 == k), "comments": replies.where(F.col("article_id") % 3 == k)})
+    own.append("graphs", articles.select("id", F.concat(F.lit("["), "id", F.lit(", "), F.col("id") + 1, F.lit("]")).alias("article_ids"), F.lit("{}").alias("graph")))
+    own.delete_articles(src.table(s, d, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 6"))
+    return own
+
+
+def store_versions(s, d):
+    """What each version of the store holds: a reader of an older one sees none of the later commits."""
+    own = _stored(s, d)
+    out = []
+    for number in own.versions.numbers():  # the five commits above
+        version = own.versions.at(number)
+        for name, column in (("articles", "url"), ("comments", "text"), ("graphs", "article_ids")):
+            sums = own.read(name, version).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.sum(F.length(column)).cast("long").alias("chars"))
+            out.append(sums.select(F.lit(number).cast("long").alias("version"), F.lit(name).alias("kind"), "n", "ids", "chars"))
+    return reduce(DataFrame.union, out)
+
+
+def graph_lookup(s, d):
+    """The stored graph of each article and the one after it, if it is there."""
+    own = _stored(s, d)
+    asked = _articles(s, d).select(F.array(F.col("id") + 1, F.col("id")).alias("wanted"))
+    return store.graph_ids(own.read("graphs"), asked, "wanted").select(F.get("wanted", F.lit(1)).alias("first_id"), F.col("id").alias("graph_id"))
+
+
+def graph_cache(s, d):
+    """A graph that was read, and what the cache holds when its key has been stored anew with the edges of REPLY_TO only."""
+    cache, own = pipeline.GraphCache(s, shared_path(s, "graphs")), structural(s, d)
+    key = pipeline.cache_key([1])
+    cache.store(key, own)
+    before = cache.load(key)
+    cache.store(key, before.with_(edges=before.edges.where("REPLY_TO is not null")))
+    after = cache.load(key)
+    return plain(before.edges).withColumn("stored", F.lit("before")).union(plain(after.edges).withColumn("stored", F.lit("after")))
+
+
+def article_cache(s, d):
+    """Comments of all articles, of which one has been asked for twice: what the cache has is given, and overriding scrapes anew."""
+    own = store.Store(s, shared_path(s, "store"))
+    articles, replies = _articles(s, d), src.from_conversations(src.table(s, d, "conversations"))
+    own.add({"articles": articles, "comments": replies})
+    first = articles.agg(F.min("url")).first()[0]
+    scraped = articles.where(F.col("url") == first).select((F.col("id") + 1_000_000).alias("id"), "url", "scraper")
+    answers = replies.join(articles.where(F.col("url") == first).select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    moved = answers.withColumn("article_id", F.col("article_id") + 1_000_000).withColumn("id", F.col("id") + 1_000_000)
+    own.get_article(first, lambda url: (scraped, moved))  # it is there: nothing is scraped
+    own.get_article(first, lambda url: (scraped, moved), override_cache=True)
+    return own.read("comments").join(own.read("articles").select(F.col("id").alias("article_id"), "url"), "article_id").select("url", "article_id", "id", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
+def graph_document(s, d):
+    """The document of a graph of structural edges in parts of 100 comments or edges."""
+    return pipeline.document_parts(structural(s, d), 100).select("kind", "part", "start", "bytes", F.md5(F.col("json").cast("binary")).alias("h"))
+
+
 def embedding_cosine(s, d):
     own = vectors(s, d)
     other = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
@@ -600,6 +662,11 @@ def queries() -> dict:
         "links_resolved": links_resolved,
         "chronological": chronological,
         "config_sweep": config_sweep,
+        "store_versions": store_versions,
+        "graph_lookup": graph_lookup,
+        "graph_cache": graph_cache,
+        "article_cache": article_cache,
+        "graph_document": graph_document,
     }
     for kind in ("same_comment", "same_comment_all", "same_article", "same_article_all", "reply_to", "reply_to_all", "temporal", "assembled"):
         q[f"edges_{kind}"] = partial(edges_query, kind=kind)

@@ -39,6 +39,13 @@ def graph_id(graphs: DataFrame, article_ids: list[int]) -> DataFrame:
     return graphs.where(F.col("article_ids") == json.dumps(sorted(int(a) for a in article_ids))).select("id")
 
 
+def graph_ids(graphs: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """Rows of ``asked`` with the ``id`` of the graphs of exactly the articles in ``column`` (an array of ids); null where there is none."""
+    ids = F.array_sort(F.col(column).cast("array<bigint>"))
+    key = F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))
+    return asked.withColumn("_key", key).join(graphs.select("id", F.col("article_ids").alias("_key")), "_key", "left").drop("_key")
+
+
 class Store:
     """The three tables under one path, in versions: what is read stays as it was, whatever is committed afterwards, and a change of
     several tables is seen whole or not at all."""
