@@ -78,7 +78,7 @@ def test_generators(graph, expected):
 
 def test_similarity_generator(spark, comments):
     vectors = spark.createDataFrame([(k, [float(k % 3), float(k % 2), 0.0]) for k in range(8)], "vec_id long, embedding array<double>")
-    got = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.similar_comments(comments, vectors, 0.75, 0.1, blocks=3).collect()}
+    got = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.similar_comments(comments, vectors, 0.75, 0.1, block_rows=4).collect()}
     own = {k: (k % 3, k % 2) for k in range(8)}
     want = {}
     for a in range(10):
@@ -91,6 +91,24 @@ def test_similarity_generator(spark, comments):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("block_rows", [1, 7, 1000])
+def test_similarity_blocks_equal_the_expression(spark, block_rows):
+    from threadgraph.functions.vectors import cosine
+
+    rng = random.Random(block_rows)
+    some = [None, [], [0.0, 0.0], [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 0.0], [float("inf"), 0.0, 1.0], [1.0, 2.0], [1.0, 2.0, 2.0], [1.0, 2.0, 2.0]]
+    rows = [(1000 * k + 7, some[k] if k < len(some) else [rng.gauss(0, 1) for _ in range(3)]) for k in range(150)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    comments = spark.createDataFrame([(k, "x") for k, _ in rows] + [(5, "no vector")], "c_idx long, text string")
+    got = sorted(tuple(r) for r in edges.similar_comments(comments, vectors, 0.75, 0.1, block_rows=block_rows).collect())
+    known = comments.join(vectors.withColumnRenamed("vec_id", "c_idx"), "c_idx", "left")
+    pairs = known.select(F.col("c_idx").alias("c_a"), F.col("embedding").alias("a")).join(known.select(F.col("c_idx").alias("c_b"), F.col("embedding").alias("b")), F.expr("c_a < c_b"))
+    cos = cosine(F.col("a"), F.col("b"))
+    want = pairs.withColumn("cos", cos).where("cos < 0.75").select("c_a", "c_b", ((1 - F.col("cos")) / (1 - 0.75) * 0.1).alias("w"))
+    assert got == sorted(tuple(r) for r in want.collect())  # to the last bit
+    assert edges.similar_comments(comments.limit(0), vectors).count() == 0 and edges.similar_comments(comments, vectors.limit(0)).count() == 151 * 150 // 2
+
+
 def test_rankers(graph, expected, rows):
     g = rank.recency(rank.votes(rank.size(rank.degree(graph))))
     nodes = {(r.c_idx, r.s_idx): r for r in g.nodes.collect()}

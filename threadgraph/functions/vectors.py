@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS_AT_ONCE = 64  # of a matrix of cosines, so that sums stay in the cache
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -25,6 +32,60 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     )
 
 
+def cosine_blocks(left: tuple, right: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """``cosine`` of every vector of ``left`` with every one of ``right``, as blocks of (first row, matrix).
+
+    Both are what ``packed`` gives. Products are added up dimension by dimension, so that each value is the one that the expression
+    gives, to the last bit, wherever in a block a pair stands; no value (NaN) where the expression has none.
+    """
+    (len_a, at_a, by_a), (len_b, at_b, by_b) = left, right
+    norm_a, norm_b = lengths_of(left), lengths_of(right)
+    for start in range(0, len(len_a), ROWS_AT_ONCE):
+        rows = slice(start, start + ROWS_AT_ONCE)
+        own_len, own_at, own_norm = len_a[rows], at_a[rows], norm_a[rows]
+        cos = np.full((len(own_len), len(len_b)), np.nan)
+        for size in np.intersect1d(own_len[own_len >= 0], len_b):
+            r, c = np.flatnonzero(own_len == size), np.flatnonzero(len_b == size)
+            a, b = by_a[size][own_at[r]], by_b[size][at_b[c]]
+            total = np.zeros((len(r), len(c)))
+            for k in range(size):
+                total += np.multiply.outer(a[:, k], b[:, k])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cos[np.ix_(r, c)] = total / np.multiply.outer(own_norm[r], norm_b[c])
+        zero_a, zero_b = own_norm == 0, norm_b == 0
+        cos[zero_a, :] = 0.0
+        cos[:, zero_b] = 0.0
+        cos[np.ix_(zero_a, zero_b)] = 1.0
+        cos[own_len < 0, :] = 0.0
+        cos[:, len_b < 0] = 0.0
+        yield start, cos
+
+
+def packed(embeddings: pa.ChunkedArray) -> tuple:
+    """Length of each vector (-1: missing), its place among those of this length, and a matrix for each length."""
+    one = embeddings.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(one), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place, by_size = np.zeros(len(size), dtype=np.int64), {}
+    for n in np.unique(size[size >= 0]):
+        rows = np.flatnonzero(size == n)
+        place[rows] = np.arange(len(rows))
+        values = one.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        by_size[n] = values.reshape(len(rows), n)
+    return size, place, by_size
+
+
+def lengths_of(vectors: tuple) -> np.ndarray:
+    size, place, by_size = vectors
+    out = np.full(len(size), np.nan)
+    for n, matrix in by_size.items():
+        squares = np.zeros(len(matrix))
+        for k in range(n):
+            squares += matrix[:, k] * matrix[:, k]
+        rows = size == n
+        out[rows] = np.sqrt(squares)[place[rows]]
+    return out
+
+
 def sentence_vectors(texts: DataFrame, word_vectors: DataFrame, size: int, key: str = "id", text: str = "text") -> DataFrame:
     """key, embedding: the mean of the unit vectors of a text's words; words that are unknown, or whose vector is 0, don't count.
 

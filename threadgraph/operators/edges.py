@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import spans
-from ..functions.vectors import cosine, norm
+from ..functions.vectors import cosine_blocks, packed
 from ..schema import EDGE_WEIGHTS, ENDS, NODE_WEIGHTS, Graph
 from ..storage import materialise
 
@@ -71,27 +74,44 @@ def edges_reply_to(comments: DataFrame, nodes: DataFrame, base: float = 1.0, onl
     return _spread(pairs, nodes.where("s_idx = 0") if only_root else nodes, "REPLY_TO")
 
 
-def similar_comments(comments: DataFrame, vectors: DataFrame, max_similarity: float = 0.75, base: float = 0.1, blocks: int = 16) -> DataFrame:
+BLOCK_ROWS = 1024
+
+
+def similar_comments(comments: DataFrame, vectors: DataFrame, max_similarity: float = 0.75, base: float = 0.1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """c_a, c_b, SIMILARITY of comments whose cosine is below ``max_similarity``; the weight grows with the distance.
 
-    What is asked for is most of all pairs. Vectors are dealt into blocks, and every pair of blocks is one join key.
+    What is asked for is most of all pairs. Vectors are dealt by hash into blocks of about ``block_rows``, as many as their number
+    asks for, and each pair of blocks is a group, which multiplies two matrices. A vector is sent once for each block: some
+    8 * size / ``block_rows`` bytes for each pair of comments, less than what the pair itself takes.
     """
+    if max_similarity == 1:
+        raise ZeroDivisionError("a similarity of 1 leaves no room for a weight")
     known = comments.select("c_idx").join(vectors.select(F.col("vec_id").alias("c_idx"), "embedding"), "c_idx", "left")
-    known = known.select("c_idx", "embedding", norm(F.col("embedding")).alias("norm"), F.pmod(F.hash("c_idx"), F.lit(blocks)).alias("block"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-
-    def keys(name):
-        key = F.transform(others, lambda o: F.concat_ws("-", F.least(F.col("block"), o), F.greatest(F.col("block"), o), (F.col("block") <= o).cast("int") if name == "a" else (o <= F.col("block")).cast("int")))
-        return known.select(F.col("c_idx").alias(f"c_{name}"), F.col("embedding").alias(f"v_{name}"), F.col("norm").alias(f"n_{name}"), F.explode(key).alias("key"))
-
-    cos = cosine(F.col("v_a"), F.col("v_b"), F.col("n_a"), F.col("n_b"))
-    pairs = keys("a").join(keys("b"), "key").where("c_a < c_b").withColumn("cos", cos).where(F.col("cos") < max_similarity)
-    return pairs.select("c_a", "c_b", ((1 - F.col("cos")) / (1 - max_similarity) * base).alias("SIMILARITY")).where("SIMILARITY <> 0")
+    blocks = max(1, -(-comments.count() // block_rows))
+    own = known.withColumn("block", F.pmod(F.xxhash64("c_idx"), F.lit(blocks)))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
+    dealt = own.select("c_idx", "embedding", "block", other).select("c_idx", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def multiplied(group: pa.Table) -> pa.Table:
+        low, high = group["i"][0], group["j"][0]
+        left, right = (group.filter(pc.equal(group["block"], x)) for x in (low, high))
+        ids_a, ids_b = left["c_idx"].to_numpy(), right["c_idx"].to_numpy()
+        found: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for start, cos in cosine_blocks(packed(left["embedding"]), packed(right["embedding"])) if len(ids_a) and len(ids_b) else []:
+            own_ids = ids_a[start : start + len(cos)]
+            with np.errstate(invalid="ignore"):
+                wanted = cos < max_similarity
+            if low == high:
+                wanted &= own_ids[:, None] < ids_b[None, :]
+            r, c = np.nonzero(wanted)
+            a, b = own_ids[r], ids_b[c]
+            found.append((np.minimum(a, b), np.maximum(a, b), (1 - cos[r, c]) / (1 - max_similarity) * base))
+        return pa.table({n: np.concatenate(x) for n, x in zip(("c_a", "c_b", "SIMILARITY"), zip(*found, strict=True), strict=True)})
+
+    return dealt.groupBy("i", "j").applyInArrow(multiplied, "c_a long, c_b long, SIMILARITY double").where("SIMILARITY <> 0")
 
 
 def edges_similarity(comments: DataFrame, nodes: DataFrame, vectors: DataFrame, max_similarity: float = 0.75, base: float = 0.1) -> DataFrame:
-    if max_similarity == 1:
-        raise ZeroDivisionError("a similarity of 1 leaves no room for a weight")
     return _spread(similar_comments(comments, vectors, max_similarity, base), nodes, "SIMILARITY")
 
 
