@@ -75,6 +75,7 @@ def edges_reply_to(comments: DataFrame, nodes: DataFrame, base: float = 1.0, onl
 
 
 BLOCK_ROWS = 1024
+GROUPS_A_TASK = 32
 
 
 def similar_comments(comments: DataFrame, vectors: DataFrame, max_similarity: float = 0.75, base: float = 0.1, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,6 +93,10 @@ def similar_comments(comments: DataFrame, vectors: DataFrame, max_similarity: fl
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other")
     dealt = own.select("c_idx", "embedding", "block", other).select("c_idx", "embedding", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
+    # Tasks are numbered here, as the work of a group grows with its square and a size in bytes tells nothing of it.
+    groups = blocks * (blocks + 1) // 2
+    tasks = min(groups, max(4 * comments.sparkSession.sparkContext.defaultParallelism, -(-groups // GROUPS_A_TASK)))
+
     def multiplied(group: pa.Table) -> pa.Table:
         low, high = group["i"][0], group["j"][0]
         left, right = (group.filter(pc.equal(group["block"], x)) for x in (low, high))
@@ -108,7 +113,7 @@ def similar_comments(comments: DataFrame, vectors: DataFrame, max_similarity: fl
             found.append((np.minimum(a, b), np.maximum(a, b), (1 - cos[r, c]) / (1 - max_similarity) * base))
         return pa.table({n: np.concatenate(x) for n, x in zip(("c_a", "c_b", "SIMILARITY"), zip(*found, strict=True), strict=True)})
 
-    return dealt.groupBy("i", "j").applyInArrow(multiplied, "c_a long, c_b long, SIMILARITY double").where("SIMILARITY <> 0")
+    return dealt.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(multiplied, "c_a long, c_b long, SIMILARITY double").where("SIMILARITY <> 0")
 
 
 def edges_similarity(comments: DataFrame, nodes: DataFrame, vectors: DataFrame, max_similarity: float = 0.75, base: float = 0.1) -> DataFrame:
