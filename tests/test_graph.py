@@ -415,3 +415,29 @@ def test_exact_pagerank_solves_its_equations(spark, seed):
         rank.pagerank_exact(g.nodes, edges_.where("false"), "REPLY_TO")
     with pytest.raises(GraphError):
         rank.pagerank_exact(g.nodes, edges_, "REPLY_TO", tolerance=0.0, iterations=1)
+
+
+@pytest.mark.parametrize("algorithm", ["GirvanNewman", "GreedyModularity"])
+def test_components_are_no_groups_of_their_own(spark, algorithm, monkeypatch):
+    """Thousands of small components are a stream of each task; as a group each they took most of the time. Batches of a few rows cut
+    components anywhere."""
+    chains = spark.range(400).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") % 9)).alias("s"))
+    ends = chains.where("s > 0").select(F.col("c").alias("src_c"), (F.col("s") - 1).alias("src_s"), F.col("c").alias("tgt_c"), F.col("s").alias("tgt_s"))
+    one = ends.select(*ENDS, *[F.lit(1.0 if w == "SAME_COMMENT" else None).cast("double").alias(w) for w in EDGE_WEIGHTS], F.array(*ENDS).alias("ord"))
+    nodes = chains.select(F.col("c").alias("c_idx"), F.col("s").alias("s_idx"), F.lit(None).cast("double").alias("CLUSTER_ID"))
+    used = []
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", lambda *a, **k: used.append(a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = community.cluster(Graph(None, nodes, one), "SAME_COMMENT", algorithm).nodes.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in got:
+        groups.setdefault(r.CLUSTER_ID, set()).add((r.c_idx, r.s_idx))
+    if algorithm == "GirvanNewman":  # the first of the longest chains, and in it the earliest of its two middle edges or the one
+        want = {frozenset((c, s) for s in range(c % 9 + 1)) for c in range(400) if c != 8}
+        want |= {frozenset((8, s) for s in part) for part in (range(4), range(4, 9))}
+        assert set(map(frozenset, groups.values())) == want
+    assert not used and len(got) == chains.count()
+    assert all(len({c for c, _ in own}) == 1 for own in groups.values())
