@@ -441,3 +441,17 @@ def test_components_are_no_groups_of_their_own(spark, algorithm, monkeypatch):
         assert set(map(frozenset, groups.values())) == want
     assert not used and len(got) == chains.count()
     assert all(len({c for c, _ in own}) == 1 for own in groups.values())
+
+
+def test_exact_pagerank_leaves_nodes_without_edges_out(spark, monkeypatch):
+    """Its vectors hold nodes with edges, and none of them goes through the driver."""
+    nodes = spark.range(50).select(F.col("id").alias("c_idx"), F.lit(0).cast("long").alias("s_idx"))
+    one = spark.createDataFrame([(0, 0, 1, 0, 1.0), (1, 0, 2, 0, 1.0), (0, 0, 2, 0, 3.0)], "src_c long, src_s long, tgt_c long, tgt_s long, REPLY_TO double")
+    sizes, real = [], rank.materialise
+    monkeypatch.setattr(rank, "materialise", lambda df, name: sizes.append((name, real(df, name))) or sizes[-1][1])
+    monkeypatch.setattr(rank.F, "broadcast", lambda df: pytest.fail("a broadcast goes through the driver"))
+    got = {r.c_idx: r.PAGERANK for r in rank.pagerank_exact(nodes, one, "REPLY_TO").collect()}
+    y = {0: 1.0, 1: 1 + 0.85 / 4, 2: 1 + 0.85 * 3 / 4 + 0.85 * (1 + 0.85 / 4)}
+    total = sum(y.values()) + 47
+    assert got == pytest.approx({k: y.get(k, 1.0) / total for k in range(50)}, abs=2e-12)
+    assert {df.count() for name, df in sizes if name == "pagerank-exact"} == {3}
