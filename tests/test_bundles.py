@@ -75,3 +75,32 @@ def test_few_rows_are_written_and_ranked(comments):
     pairs = graph.edges.select("src_c", "tgt_c").distinct().count()
     assert kept.bundles.table.count() == pairs < graph.edges.count() / 2
     assert for_top(graph.bundles, 1, "TEMPORAL", True).table.count() < pairs
+
+
+@pytest.mark.parametrize("block_rows", [3, 8, None])
+def test_similar_comments_are_left_out_in_blocks(spark, comments, block_rows):
+    """Blocks give the first neighbours and what isn't tied yet, not all pairs; missing vectors tie many weights."""
+    vectors = spark.createDataFrame([(k, [float(k % 3), float(k % 4 - 2), 1.0] if k % 6 else [0.0, 0.0, 0.0]) for k in range(0, 24) if k % 5 < 3], "vec_id long, embedding array<float>")
+    near = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.similar_comments(comments, vectors).collect()}
+    for k, descending in ((1, True), (2, True), (2, False), (30, True)):
+        want = set()
+        for c in range(24):
+            mine = sorted((-w if descending else w, a + b - c, (a, b)) for (a, b), w in near.items() if c in (a, b))
+            want |= {pair for _, _, pair in mine[:k]}
+        got = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.first_similar(comments, vectors, k, descending, block_rows=block_rows).collect()}
+        assert want <= set(got) and all(near[p] == w for p, w in got.items())
+        assert block_rows or len(got) <= 2 * k * 24
+    kept = [(r.c_a, r.c_b) for r in edges.tied_similar(comments, vectors, lambda w: w >= 0.3, block_rows=block_rows).collect()]
+    assert len(set(kept)) == len(kept) and all(near[p] >= 0.3 for p in kept)
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for a, b in sorted(p for p, w in near.items() if w >= 0.3):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            assert (a, b) in kept
+    assert block_rows or len(kept) < 24
