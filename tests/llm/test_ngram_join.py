@@ -139,6 +139,23 @@ def test_copies_as_hubs_of_their_batch(spark, docs_of, texts):
     components(texts, [mixed[k::9] for k in range(9)], 4)
 
 
+def test_shared_items_give_a_forest():
+    """Documents that share many items, in whatever order, give fewer rows than there are documents, and the same components."""
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = [(item, doc, None) for item in range(300) for doc in range(item % 3, 90, 3) if rng.random() < 0.7]
+    rows += [(10**6 + doc, doc, doc % 3) for doc in range(60, 90)]
+    names, kinds = ["item", "doc", "hub"], [pa.int64()] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[k : k + 50], strict=True), kinds, strict=True)], names=names) for k in range(0, len(rows), 50)]
+    pairs = [(r["u"], r["v"]) for b in nj._meet(batches) for r in b.to_pylist()]
+    links = Links(90)
+    for u, v in pairs:
+        links.join(u, v)
+    assert [links.find(k) for k in range(90)] == [k % 3 for k in range(90)]
+    assert len(pairs) == 87 < len({(d, i) for i, d, _ in rows}) / 50
+
+
 def test_one_of_each_nulls_repeats_and_empty(spark, docs_of):
     rng = random.Random(2)
     a, b, c = (words(rng, 50, 900) for _ in range(3))

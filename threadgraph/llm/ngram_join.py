@@ -12,7 +12,8 @@ links ends up in one component.
    repeated shingles in the global order: rarest first, then by hash. Shingles of one document alone come before all others.
    Documents with equal sets become one.
 3. Of two sets that link, the first few elements in that order, ``n - ceil(PERCENT / 100 * n) + 1`` of them, share one. Stars
-   around the least document of each shared element, and their connected components, give the groups that may link.
+   around the least document of each shared element, of which each task keeps a forest, and their connected components, give the
+   groups that may link.
 4. Within a group, the sets are stored in one prefix tree, whose nodes hold up to ``SEGMENT`` elements, and each set is looked
    up in it, a level at a time: the overlap counted along a path is shared by all sets below, and a subtree is left when the
    sizes, or the elements that remain on both sides, can't reach the overlap that is needed, when its sets were looked up
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, forest
 from .common import fresh_names, join_hot, materialise, table, text_or_empty
 from .hashing import give_back, mixed, powers, span_hashes
 from .suffix_dedup import release
@@ -527,14 +528,20 @@ def _stars(item, doc, hub):
 
 
 def _meet(batches):
-    """Rows by item, then document: (u, v) of each document and the least of all that share an item with it."""
-    hub = None
-    for batch in batches:
-        done = np.asarray(batch.column(2).is_valid())
-        item, doc = (batch.column(k).to_numpy()[~done] for k in range(2))
-        out, hub = _stars(item, doc, hub)
-        for part in (out.filter(out.column(2).is_valid()), batch.filter(batch.column(2).is_valid())):
-            yield part.select(["doc", "hub"]).rename_columns(["u", "v"])
+    """Rows by item, then document: (u, v) of each document and the least of all that share an item with it, less those that earlier
+    ones of the task have tied together. So a task gives fewer rows than it has documents, however many items they share."""
+
+    def stars():
+        hub = None
+        for batch in batches:
+            done = np.asarray(batch.column(2).is_valid())
+            item, doc = (batch.column(k).to_numpy()[~done] for k in range(2))
+            out, hub = _stars(item, doc, hub)
+            for part in (out.filter(out.column(2).is_valid()), batch.filter(batch.column(2).is_valid())):
+                yield part.select(["doc", "hub"]).rename_columns(["a", "b"])
+
+    for kept in forest(stars()):
+        yield kept.rename_columns(["u", "v"])
 
 
 # --- the join -----------------------------------------------------------------------------------------------------------
@@ -563,10 +570,10 @@ def components_of(sets: DataFrame) -> DataFrame:
 
     posted = live.select("id", "n", "items").mapInArrow(_prefixes, "item long, doc long, hub long")
     stars = posted.repartition("item").sortWithinPartitions("item", "doc").mapInArrow(_meet, "u long, v long").distinct()
-    # A copy has the stars of its representative, which shares its items, so its own are left out. It may be a hub, though: the
-    # least of its batch, when its representative is in another one. Its representative then is the hub.
-    stars = stars.join(copies.select(F.col("id").alias("u")), "u", "left_anti")
-    stars = stars.join(copies.select(F.col("id").alias("v"), "rep"), "v", "left").select("u", F.coalesce("rep", "v").alias("v"))
+    # A copy shares its items with its representative, which stands for it at both ends: what ties others together may be a copy's.
+    for end in "uv":
+        stars = stars.join(copies.select(F.col("id").alias(end), F.col("rep").alias(f"rep_{end}")), end, "left")
+    stars = stars.select(F.coalesce("rep_u", "u").alias("u"), F.coalesce("rep_v", "v").alias("v"))
     groups = materialise(connected_components(stars), "ngram-groups")
 
     weighed = groups.join(live.select(F.col("id").alias("node"), (F.octet_length("items") / 8).alias("w")), "node")
