@@ -1,9 +1,12 @@
 """Edges that come from bundles of two comments against edges generated one by one."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from threadgraph.operators import edges, filters, merge, rank
+from threadgraph.operators import community, edges, filters, merge, rank
 from threadgraph.plans import pipeline
 from threadgraph.schema import EDGE_WEIGHTS, ENDS, NODE, Graph
 from threadgraph.sources import comments as src
@@ -104,3 +107,28 @@ def test_similar_comments_are_left_out_in_blocks(spark, comments, block_rows):
             root[find(a)] = find(b)
             assert (a, b) in kept
     assert block_rows or len(kept) < 24
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_modularity_of_alike_sentences(seed):
+    """Comments as units give the communities that their sentences give one by one, with ties in the same order."""
+    rng = random.Random(seed)
+    n, reach = rng.randint(1, 25), rng.choice([1, 3, 9])
+    size = [rng.randint(1, rng.choice([2, 9])) for _ in range(n)]
+    chain = [(k, k + 1) for k in range(n - 1)]
+    pairs = sorted({*chain, *((a, b) for a in range(n) for b in range(a + 1, min(n, a + reach + 1)) if rng.random() < 0.8), *((c, c) for c in range(n) if size[c] > 1 and rng.random() < rng.choice([0, 0.7, 1]))})
+    ends = [((a << community.SHIFT) + s, (b << community.SHIFT) + t) for a, b in pairs for s in range(size[a]) for t in range(s + 1 if a == b else 0, size[b])]
+    m = len(ends) * rng.choice([1, 1, 30])
+    columns = np.array([(a, b, size[a], size[b]) for a, b in pairs], np.int64).reshape(-1, 4).T
+    want = sorted(sorted(g) for g in community.greedy_modularity(*zip(*ends, strict=True), m) if len(g) > 1) if ends else []
+    groups = {}
+    for node, side in zip(*community.AlikeSentences(*columns, m).run(), strict=True):
+        groups.setdefault(int(side), []).append(int(node))
+    assert sorted(groups.values()) == want and all(min(g) == side for side, g in groups.items())
+
+
+def test_modularity_never_makes_edges(comments, monkeypatch):
+    plain, graph = (pipeline.written(g) for g in both(comments))
+    want = rows(community.cluster(plain, "TEMPORAL", "GreedyModularity").nodes, *NODE, "CLUSTER_ID")
+    monkeypatch.setattr(community, "cluster_edges", None)
+    assert rows(community.cluster(graph, "TEMPORAL", "GreedyModularity").nodes, *NODE, "CLUSTER_ID") == want
