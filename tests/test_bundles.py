@@ -132,3 +132,18 @@ def test_modularity_never_makes_edges(comments, monkeypatch):
     want = rows(community.cluster(plain, "TEMPORAL", "GreedyModularity").nodes, *NODE, "CLUSTER_ID")
     monkeypatch.setattr(community, "cluster_edges", None)
     assert rows(community.cluster(graph, "TEMPORAL", "GreedyModularity").nodes, *NODE, "CLUSTER_ID") == want
+
+
+@pytest.mark.parametrize("root", [True, False])
+def test_counts_and_node_filters_by_comments(comments, root, monkeypatch):
+    """A sweep's numbers of edges come from bundles, and filters by nodes spread only bundles of comments that they take."""
+    plain, graph = (rank.size(pipeline.written(g)) for g in both(comments, root))
+    want = pipeline.Sweep.size(plain, 0).first()
+    made = []
+    monkeypatch.setattr(filters, "spread", lambda b, own=filters.spread: made.append(b.table.count()) or own(b))
+    for low, top in ((20.0, 3), (27.0, 1), (1000.0, 40)):
+        pairs = [(filters.node_threshold, (low, "SIZE"))] + [(filters.node_top, (top, "SIZE", strict)) for strict in (True, False)]
+        for step, own in pairs:
+            assert rows(step(graph, *own).edges, *ENDS, *EDGE_WEIGHTS, "ord") == rows(step(plain, *own).edges, *ENDS, *EDGE_WEIGHTS, "ord")
+    assert len(made) == 9 and min(made) == 0 and max(made[4], made[5]) < graph.bundles.table.count()
+    assert pipeline.Sweep.size(Graph(comments, graph.nodes, None, graph.bundles), 0).first() == want
