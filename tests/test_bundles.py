@@ -147,3 +147,21 @@ def test_counts_and_node_filters_by_comments(comments, root, monkeypatch):
             assert rows(step(graph, *own).edges, *ENDS, *EDGE_WEIGHTS, "ord") == rows(step(plain, *own).edges, *ENDS, *EDGE_WEIGHTS, "ord")
     assert len(made) == 9 and min(made) == 0 and max(made[4], made[5]) < graph.bundles.table.count()
     assert pipeline.Sweep.size(Graph(comments, graph.nodes, None, graph.bundles), 0).first() == want
+
+
+@pytest.mark.parametrize("block_rows", [3, 8, None])
+def test_similar_pairs_bring_their_sizes(spark, comments, block_rows, monkeypatch):
+    """Pairs of comments, which are quadratic, are neither joined nor shuffled behind the blocks, and low blocks' ids come first."""
+    vectors = spark.createDataFrame([(k, [float(k % 3), float(k % 4 - 2), 1.0]) for k in range(20)], "vec_id long, embedding array<float>")
+    n = edges.nodes_of(comments)
+    monkeypatch.setattr(edges, "similar_comments", lambda *a, own=edges.similar_comments, **more: own(*a, **{"block_rows": block_rows} | more))
+    sizes = {r.c_idx: r.n for r in n.groupBy("c_idx").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.similar_comments(comments, vectors).collect()}
+    graph = edges.bundled(comments, n, [edges.pairs_similarity(comments, n, vectors)])
+    got = {(r.c_a, r.c_b): (r.n_a, r.n_b, r.SIMILARITY) for r in graph.bundles.table.collect()}
+    assert got == {(a, b): (sizes[a], sizes[b], w) for (a, b), w in plain.items() if a in sizes and b in sizes} and len(got) > 50
+    plan = graph.bundles.table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
+    gaps = comments.withColumn("c_idx", F.col("c_idx") * 1000)  # dealt by hash
+    far = edges.similar_comments(gaps, vectors.withColumn("vec_id", F.col("vec_id") * 1000), sizes=n.withColumn("c_idx", F.col("c_idx") * 1000).groupBy("c_idx").agg(F.count(F.lit(1)).alias("n")))
+    assert {(r.c_a // 1000, r.c_b // 1000): (r.n_a, r.n_b, r.SIMILARITY) for r in far.collect()} == got
