@@ -165,3 +165,29 @@ def test_similar_pairs_bring_their_sizes(spark, comments, block_rows, monkeypatc
     gaps = comments.withColumn("c_idx", F.col("c_idx") * 1000)  # dealt by hash
     far = edges.similar_comments(gaps, vectors.withColumn("vec_id", F.col("vec_id") * 1000), sizes=n.withColumn("c_idx", F.col("c_idx") * 1000).groupBy("c_idx").agg(F.count(F.lit(1)).alias("n")))
     assert {(r.c_a // 1000, r.c_b // 1000): (r.n_a, r.n_b, r.SIMILARITY) for r in far.collect()} == got
+
+
+@pytest.mark.parametrize("least, lone", [(0.3, 0), (0.3, 2), (0.3, 30), (0.62, 2), (0.79, 0)])
+def test_first_comments_tie_most(spark, comments, least, lone, monkeypatch):
+    """Where most pairs pass, the first comments tie them; those that they leave apart are met with all others, and no block with a block."""
+    ids = [3 * k + 1 for k in range(60)]
+    own = spark.createDataFrame([(k,) for k in ids], "c_idx long")
+    rng = np.random.default_rng(5)
+    at = {k: [1.0, 0.0, 0.0] if k < 30 or n >= 60 - lone else rng.normal(size=3).tolist() for n, k in enumerate(ids)}
+    vectors = spark.createDataFrame(list(at.items()), "vec_id long, embedding array<float>")
+    near = sorted((r.c_a, r.c_b) for r in edges.similar_comments(own, vectors).collect() if r.SIMILARITY >= least)
+    made = []
+    monkeypatch.setattr(edges, "_tiles", lambda *a, tiles=edges._tiles: made.append(1) or tiles(*a))
+    kept = sorted((r.c_a, r.c_b) for r in edges.tied_similar(own, vectors, lambda w: w >= least, block_rows=20).collect())
+    assert len(set(kept)) == len(kept) <= len(near) and set(kept) <= set(near)
+    assert made == ([1] if least > 0.7 else [])
+
+    def forest(pairs):
+        root, out = {k: k for k in ids}, []
+        for a, b in pairs:
+            if root[a] != root[b]:
+                out.append((a, b))
+                root = {k: root[a] if v == root[b] else v for k, v in root.items()}
+        return out
+
+    assert forest(near) == forest(kept)
