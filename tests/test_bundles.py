@@ -191,3 +191,37 @@ def test_first_comments_tie_most(spark, comments, least, lone, monkeypatch):
         return out
 
     assert forest(near) == forest(kept)
+
+
+@pytest.mark.parametrize("k, descending, odd", [(1, True, False), (2, True, True), (2, False, False), (3, False, True), (2, True, False)])
+def test_first_neighbours_by_products(spark, k, descending, odd, monkeypatch):
+    """Products of matrices leave few pairs for the expression; copies, zero, missing and odd vectors and ties get the same neighbours."""
+    rng = np.random.default_rng(k)
+    at = {n: rng.normal(size=4).round(1).tolist() for n in range(90) if n % 4}
+    at |= {n: [1.0, -2.0, 0.5, 0.0] for n in range(20, 60, 3)} | {30: [0.0] * 4, 31: [0.0] * 4, 90: [0.0] * 4}
+    at |= {17: [float("nan")] * 4, 52: [1.0, 2.0], 80: [1e-200, 0.0, 0.0, 0.0], 81: []} if odd else {}
+    own = spark.createDataFrame([(n,) for n in range(91)], "c_idx long")
+    vectors = spark.createDataFrame(list(at.items()), "vec_id long, embedding array<double>")
+    near = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.similar_comments(own, vectors).collect()}
+    want = set()
+    for c in range(91):
+        mine = sorted((-w if descending else w, a + b - c, (a, b)) for (a, b), w in near.items() if c in (a, b))
+        want |= {pair for _, _, pair in mine[:k]}
+    monkeypatch.setattr(edges, "BOUND_ROWS", 8)
+    for block_rows in (13, None):
+        got = {(r.c_a, r.c_b): r.SIMILARITY for r in edges.first_similar(own, vectors, k, descending, block_rows=block_rows).collect()}
+        assert want <= set(got) and all(near[p] == w for p, w in got.items())
+        assert odd or block_rows or len(got) <= 2 * k * 91
+
+
+def test_few_pairs_get_the_expressions_value(monkeypatch):
+    """Of a pair of blocks only pairs within a bound are worked out one by one."""
+    from threadgraph.functions import vectors as vx
+
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(300, 16))
+    side = (np.full(300, 16), np.arange(300), {16: matrix})
+    whole = np.concatenate([cos for _, cos in vx.cosine_blocks(side, side)])
+    r, c = np.divmod(np.arange(90_000), 300)
+    assert (vx.cosines_of(side, side, r, c) == whole.ravel()).all()
+    assert np.abs(vx.units(side) @ vx.units(side).T - whole).max() < edges.NEAR / 1000
