@@ -225,3 +225,27 @@ def test_few_pairs_get_the_expressions_value(monkeypatch):
     r, c = np.divmod(np.arange(90_000), 300)
     assert (vx.cosines_of(side, side, r, c) == whole.ravel()).all()
     assert np.abs(vx.units(side) @ vx.units(side).T - whole).max() < edges.NEAR / 1000
+
+
+def test_sweep_never_makes_similar_pairs(spark, comments, monkeypatch):
+    """Configurations of SIMILARITY get their numbers from sums over pairs of vectors; no pair of comments is written down."""
+    import copy
+
+    from threadgraph.plans import sweeps
+
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(k, rng.normal(size=3).tolist()) for k in range(20)], "vec_id long, embedding array<float>")
+    picked = [(label, copy.deepcopy(own)) for label, own in sweeps.sweeps() if own["SimilarityComparator"]["active"]]
+    for label, own in picked:
+        for settings in own.values():
+            settings |= {k: v for k, v in (("top_k", 5), ("threshold", {"S_V": 2, "S_merge_01": 0.5, "S_merge_001": 0.78}.get(label, 0.1))) if k in settings}
+    both = copy.deepcopy(picked[0])
+    picked.append(("asc", both[1] | {"PageRankBottomFilter": both[1]["PageRankBottomFilter"] | {"descending_order": False, "strict": True}}))
+    assert len(picked) == 8
+    names = ["config_id", "description", "remaining_edges", "removed_edges", "groups"]
+    with monkeypatch.context() as m:
+        m.setattr(pipeline.Sweep, "implied", staticmethod(lambda branch: False))
+        want = rows(pipeline.sweep(comments, picked, vectors), *names)
+    monkeypatch.setattr(edges, "LEAST_ROWS", 5)
+    monkeypatch.setattr(edges, "similar_comments", None)
+    assert rows(pipeline.sweep(comments, picked, vectors), *names) == want
